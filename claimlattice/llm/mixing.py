@@ -54,7 +54,7 @@ def same(a, b):
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def solve(ws: Workspace, counts: DataFrame, goals: DataFrame, most: float, rounds: int = ROUNDS, close: float = 1e-10) -> DataFrame:
+def solve(ws: Workspace, counts: DataFrame, goals: DataFrame, most: float, rounds: int = ROUNDS, close: float = 1e-8) -> DataFrame:
     """``source, source_size, target, mean, dual``; ``dual`` is null where the target is 0 or the cap.
 
     ``counts(source, size, n)``.  Newton steps on f(l) = sum n*size*rate - target,
@@ -64,32 +64,32 @@ def solve(ws: Workspace, counts: DataFrame, goals: DataFrame, most: float, round
     mean = mean.select(F.col("source").alias("src"), (F.col("s") / F.col("k")).alias("mean"))
     state = goals.join(mean, same("source", "src"), "left").drop("src")
     inner = (F.col("target") > 0) & (F.col("target") < F.col("source_size") * most)
-    state = state.select("*", F.when(inner, F.lit(0.0)).alias("dual"), F.lit(-60.0).alias("low"), F.lit(60.0).alias("high"), F.lit(1.0).alias("off"))
-    state = ws.save(state, "dual-0")
+    state = ws.save(state.select("*", inner.alias("inner")), "dual-start")
+    fixed = state.filter("not inner").select("source", "source_size", "target", "mean", F.lit(None).cast("double").alias("dual"))
+    held = ["source", "source_size", "target", "mean", "dual", "low", "high"]
+    start = F.log(F.col("target") / F.col("source_size"))  # exact if all sizes were equal
+    state = state.filter("inner").select(*held[:4], start.alias("dual"), F.lit(-60.0).alias("low"), F.lit(60.0).alias("high"))
+    counts = counts.filter("size > 0").withColumnRenamed("source", "src")
     for i in range(1, rounds + 1):
         z = F.col("size") / F.col("mean")
         rate = F.exp(F.col("dual") * z)
         words = F.col("n") * F.col("size")
-        sums = counts.filter("size > 0").withColumnRenamed("source", "src").join(state, same("src", "source")).filter("dual is not null")
-        sums = sums.groupBy("src").agg(
-            F.sum(words * F.least(rate, F.lit(float(most)))).alias("got"),
+        step = counts.join(state, same("src", "source")).groupBy(*held).agg(
+            (F.sum(words * F.least(rate, F.lit(float(most)))) - F.col("target")).alias("gap"),
             F.sum(F.when(rate < most, words * rate * z).otherwise(0.0)).alias("slope"),
         )
-        step = state.join(sums, same("source", "src"), "left").drop("src")
-        gap = F.col("got") - F.col("target")
-        low = F.when(gap < 0, F.col("dual")).otherwise(F.col("low"))
-        high = F.when(gap > 0, F.col("dual")).otherwise(F.col("high"))
-        step = step.withColumn("gap", gap).withColumn("low", low).withColumn("high", high)
+        gap, done = F.col("gap"), F.abs("gap") <= F.col("target") * close
+        step = step.withColumn("low", F.when(gap < 0, F.col("dual")).otherwise(F.col("low")))
+        step = step.withColumn("high", F.when(gap > 0, F.col("dual")).otherwise(F.col("high")))
         newton = F.col("dual") - F.try_divide("gap", "slope")
         inside = (newton > F.col("low")) & (newton < F.col("high"))
-        moved = F.when(F.col("gap") == 0, F.col("dual")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
-        step = step.withColumn("off", F.coalesce(F.abs("gap") / F.col("target"), F.lit(0.0)))
-        step = step.withColumn("dual", F.when(F.col("dual").isNotNull(), F.when(F.col("off") <= close, F.col("dual")).otherwise(moved)))
-        state = ws.save(step.select(*state.columns), f"dual-{i}")
-        ws.drop(f"dual-{i - 1}")
-        if (state.agg(F.max("off")).first()[0] or 0.0) <= close:
+        moved = F.when(done, F.col("dual")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
+        state = ws.save(step.select(*held[:4], moved.alias("dual"), *held[5:], done.alias("done")), f"dual-{i}")
+        settled = state.agg(F.min("done")).first()[0]
+        state = state.drop("done")
+        if settled is not False:
             break
-    return state.select("source", "source_size", "target", "mean", "dual")
+    return fixed.unionByName(state.select(*held[:5]))
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, buckets: int = 64, with_rows: bool = True, ws: Workspace | None = None) -> DataFrame:
