@@ -8,8 +8,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .language import identify, learn
 from .mixing import mix
+from .packing import pack
+from .quality import classify
+from .set_join import similar_sets
+from .suffix_dedup import repeated_substrings
 from .url_filter import filter_urls, rules_frame
+from .vectors import near_vectors, top_k
+
+
+#: Rows whose crc32 of doc_id has this remainder by 4 are held out.
+HELD_OUT = 2
+
+
+def op2_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return classify(spark, docs, table(spark, sf_dir, "labels"), with_text=False).select("doc_id", "text_score", "meta_score", "score", "keep")
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeated_substrings(spark, table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == HELD_OUT, F.lit(False))
+    dictionaries = learn(docs.filter(~held_out))
+    return identify(docs.select("doc_id", "text", held_out.alias("held_out")), dictionaries, with_text=False)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +56,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, docs, with_rows=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(spark, pages, rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
