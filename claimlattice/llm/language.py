@@ -21,7 +21,8 @@ PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
 def normal(text: str) -> bytes:
-    return text.lower().encode("utf-8", "replace").translate(PLAIN)
+    """Lower-cased words of letters, one space apart, as bytes."""
+    return b" ".join(text.lower().encode("utf-8", "replace").translate(PLAIN).split())
 
 
 def learn(labelled: DataFrame, per_language: int = 200, chars: int = 2000, size: int = 1 << 16) -> dict[str, bytes]:

@@ -92,7 +92,7 @@ def solve(ws: Workspace, counts: DataFrame, goals: DataFrame, most: float, round
     return fixed.unionByName(state.select(*held[:5]))
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, buckets: int = 64, with_rows: bool = True, ws: Workspace | None = None) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, with_rows: bool = True, ws: Workspace | None = None) -> DataFrame:
     """``docs`` plus ``size, source_size, target, rate, copies, taken``.
 
     ``with_rows=False`` leaves out all columns of ``docs`` but doc_id and source.
@@ -100,19 +100,21 @@ def mix(spark: SparkSession, docs: DataFrame, weights=(3, 1, 2), share: float =
     Columns of these names in the input are replaced.  Null or wordless texts
     have size 0, rate 0 and no copy; null sources form one source, the last;
     sizes of nothing but 0 give targets of 0.  Rows of one source and size
-    differ by at most one copy; which get the extra one follows a hash of
-    doc_id, so reruns agree, and repeated rows count as rows of their own.
+    differ by at most one copy; those up to some hash of doc_id get the extra
+    one, so reruns agree and rows that repeat a doc_id go together.
 
-    A hot source or size is no hot task: counts are pre-aggregated, and rows
-    are ranked within (source, size, hash bucket), offset by bucket counts.
+    A hot source or size is no hot task: counts are pre-aggregated, rows are
+    ranked within one hash bucket of a (source, size) only, and the join with
+    the decisions can be split.
     """
     ws = ws or Workspace(spark, "mixing")
     most_copies = int(most)
     added = ["size", "source_size", "target", "rate", "copies", "taken"]
     keep = [c for c in docs.columns if c not in added]
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    bucket = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(buckets)).cast("int")
-    sized = docs.select("doc_id", "source", size.alias("size"), bucket.alias("bucket"))
+    order = F.xxhash64("doc_id", F.lit(17))
+    # Buckets cut the range of the hash, so they stand in its order.
+    sized = docs.select("doc_id", "source", size.alias("size"), order.alias("h"), F.shiftright(order, 58).cast("int").alias("bucket"))
     sized = ws.save(sized, "sized")
 
     by_bucket = ws.save(sized.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "by-bucket")
@@ -137,22 +139,20 @@ def mix(spark: SparkSession, docs: DataFrame, weights=(3, 1, 2), share: float =
     classes = classes.withColumn("k", F.least(F.col("upto") - before, F.col("n") * most_copies)).drop("upto")
     classes = ws.save(classes.withColumn("each", F.floor(F.col("k") / F.col("n"))).withColumn("extra", F.col("k") - F.col("each") * F.col("n")), "classes")
 
+    # The hash up to which a class's rows get the extra copy: ranked in one bucket only.
     offset = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    plan = by_bucket.withColumn("skip", F.coalesce(F.sum("n").over(offset), F.lit(0))).drop("n")
-    c = classes.select(F.col("source").alias("src"), F.col("size").alias("sz"), "source_size", "target", "rate", "each", "extra")
-    plan = plan.join(c, same("source", "src") & (F.col("size") == F.col("sz"))).drop("src", "sz")
-    plan = ws.save(plan.withColumnsRenamed({"source": "src", "size": "sz", "bucket": "bk"}), "plan")
-
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("doc_id"))
-    ranked = sized.withColumn("rank", rank).join(plan, same("source", "src") & (F.col("size") == F.col("sz")) & (F.col("bucket") == F.col("bk")))
-    copies = F.col("each") + (F.col("skip") + F.col("rank") <= F.col("extra")).cast("long")
-    mixed = ranked.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"))
+    turn = by_bucket.withColumn("skip", F.coalesce(F.sum("n").over(offset), F.lit(0))).withColumnsRenamed({"source": "src", "size": "sz"})
+    turn = turn.join(classes.select("source", "size", "extra"), same("source", "src") & (F.col("size") == F.col("sz")))
+    turn = turn.filter("skip < extra and extra <= skip + n").select("src", "sz", F.col("bucket").alias("bk"), (F.col("extra") - F.col("skip")).alias("nth"))
+    turn = ws.save(turn, "turn")
+    ranked = sized.join(turn, same("source", "src") & (F.col("size") == F.col("sz")) & (F.col("bucket") == F.col("bk")))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h")))
+    upto = ranked.filter("rank = nth").select("src", "sz", F.col("h").alias("upto"))
+    c = classes.withColumnsRenamed({"source": "c_source", "size": "c_size"}).join(upto, same("c_source", "src") & (F.col("c_size") == F.col("sz")), "left")
+    c = ws.save(c.select("c_source", "c_size", "source_size", "target", "rate", "each", "upto"), "decided")
+
+    rows = docs.select(*keep, size.alias("size"), order.alias("h")) if with_rows else sized
+    mixed = rows.join(c, same("source", "c_source") & (F.col("size") == F.col("c_size")))
+    mixed = mixed.withColumn("copies", F.col("each") + F.coalesce(F.col("h") <= F.col("upto"), F.lit(False)).cast("long"))
     mixed = mixed.withColumn("taken", F.col("copies") * F.col("size"))
-    if not with_rows:
-        return mixed
-    # The texts meet their copies by doc_id; repeated ids are matched by size and order.
-    nth = lambda frame: frame.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("doc_id")))
-    left = nth(docs.select(*keep, size.alias("size")))
-    right = nth(ws.save(mixed, "mixed")).withColumnsRenamed({"doc_id": "id", "source": "src", "size": "sz", "nth": "mth"})
-    on = same("doc_id", "id") & same("source", "src") & (F.col("size") == F.col("sz")) & (F.col("nth") == F.col("mth"))
-    return left.join(right, on).select(*keep, *added)
+    return mixed.select(*(keep if with_rows else ["doc_id", "source"]), *added)

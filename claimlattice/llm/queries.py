@@ -11,6 +11,7 @@ from .common import table
 from .language import identify, learn
 from .mixing import mix
 from .packing import pack
+from .paragraphs import without_repeats
 from .quality import classify
 from .set_join import similar_sets
 from .suffix_dedup import repeated_substrings
@@ -22,6 +23,11 @@ from .vectors import near_vectors, top_k
 HELD_OUT = 2
 
 
+def op1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_repeats(spark, docs, with_text=False).select("doc_id", "n_paragraphs", "n_removed", "words_removed", "removed")
+
+
 def op2_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
