@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame's sources; file sizes, so no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(docs: DataFrame) -> int:
+    """Bytes of ``docs(text)``: Catalyst's estimate from file sizes, so no job runs;
+    where it knows none (or multiplied some up), the texts are summed up."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 50 else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 class Workspace:

@@ -7,15 +7,17 @@ by frequency class (rare first), then by fingerprint; the class comes from a
 sketch of fixed size that counts every token of every document, so tokens of
 passages that many documents share stand last and make no lists.
 
-Index level: a list is sorted by set size and walked block by block; a
-partner outside the size range, or too far along in its order to reach the
-overlap still needed, is skipped by (size, position) alone.
-
-Answer level: in a long list sets are not paired with each other but with the
-first set of their size run.  Its computed overlaps then decide most other
-pairs: |x & y| <= min(|x & r|, |y & r|) + min(|x - r|, |y - r|) and
->= |x & r| + |y & r| - |r|.  Pairs within one component need no answer; only
-pairs of different components that the bounds leave open are computed.
+Index level: lists are sorted by set size and skipped through by (size,
+position): a row stays only if some other row of its list is in size range and
+not too far along in its order to reach the overlap still needed.
+
+Answer level: rows of a list are not paired with each other but put into the
+group of the list's most central set r (the one whose prefix tokens the most
+other sets share), and of further such sets until every two rows in size range
+are together in a group.  A group's sets are compared with r first.  Those that
+link with r are one component and need no answers among each other.  For the
+others, |x & y| <= min(|x & r|, |y & r|) + min(|x - r|, |y - r|) rules out most
+pairs, and only the rest are counted.  Only stars of local components leave.
 
 All sets that equal each other are one node, so copies are never paired.
 """
@@ -35,10 +37,10 @@ from .hashing import mix, shingles, slabs, texts_of
 
 #: The frequency sketch: counters, and rows into which they are cut on the way.
 BINS, CHUNKS = 1 << 20, 64
-#: Lists up to this length are paired at once; longer ones by the first of each size run.
-SHORT = 6
-#: Members that one task compares with one hub at a time.
-HUB = 256
+#: Lists up to this length are searched for rows without any partner; longer ones keep all rows.
+SEARCHED = 32
+#: Members and tokens of one block of a group.
+BLOCK, BLOCK_TOKENS = 512, 1 << 21
 LIST = {"tok": "<u8", "node": "<i8", "n": "<u4", "pos": "<u4"}
 
 
@@ -166,7 +168,7 @@ def reachable(n_a, pos_a, n_b, pos_b, percent: int):
 
 
 def _lists(percent: int):
-    """Pairs of short lists, pairs with the first of each size run of long ones, and the long lists."""
+    """Rows of lists of two sets or more, less those that no other row of the list can link with."""
 
     def run(key, table):
         c = gathered(table.column("payload").to_pylist(), LIST)
@@ -177,119 +179,132 @@ def _lists(percent: int):
         tok, node, n, pos = tok[new], node[new], n[new], pos[new]
         start = np.ones(len(tok), bool)
         start[1:] = tok[1:] != tok[:-1]
-        begin = np.flatnonzero(start)
-        size = np.diff(np.append(begin, len(tok)))
+        size = np.diff(np.append(np.flatnonzero(start), len(tok)))
         length = np.repeat(size, size)
-        lead, follow = [], []
-
-        def add(a, b):
-            ok = reachable(n[a], pos[a], n[b], pos[b], percent)
-            lead.append(node[a[ok]]), follow.append(node[b[ok]])
-
-        for d in range(1, SHORT):
-            a = np.flatnonzero(length[: len(tok) - d] <= SHORT)
+        stay = length > SEARCHED
+        for d in range(1, SEARCHED):
+            a = np.flatnonzero((length[: len(tok) - d] <= SEARCHED) & (length[: len(tok) - d] > d))
             a = a[tok[a] == tok[a + d]]
-            if not len(a):
-                break
-            add(a, a + d)
-        long_rows = length > SHORT
-        for g in np.flatnonzero(size > SHORT):
-            at, end = begin[g], begin[g] + size[g]
-            while at < end:
-                stop = at + np.searchsorted(n[at:end], 100 * n[at] // percent, "right")
-                add(np.full(stop - at - 1, at), np.arange(at + 1, stop))
-                at = stop
-        a, b = np.concatenate([np.zeros(0, np.int64), *lead]), np.concatenate([np.zeros(0, np.int64), *follow])
-        pairs = np.unique(np.stack([a, b], 1), axis=0)
-        k, m = len(pairs), int(long_rows.sum())
-        return pa.table(
-            {
-                "a": pa.concat_arrays([pa.array(pairs[:, 0]), pa.nulls(m, pa.int64())]),
-                "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(m, pa.int64())]),
-                "tok": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(tok[long_rows].view(np.int64))]),
-                "node": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(node[long_rows])]),
-                "n": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(n[long_rows])]),
-                "pos": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(pos[long_rows])]),
-            }
-        )
+            a = a[reachable(n[a], pos[a], n[a + d], pos[a + d], percent)]
+            stay[a] = stay[a + d] = True
+        return pa.table({"tok": tok[stay].view(np.int64), "node": node[stay], "n": n[stay]})
 
     return run
 
 
-def _overlaps(k: int):
-    """Overlap of each member with its hub; a group's hub row comes first."""
+def _groups(percent: int):
+    """Hub and member of each group, from whole lists sorted by token."""
+
+    def groups(tok, node, n, central):
+        order = np.lexsort((node, -central, tok))
+        tok, node, n = tok[order], node[order], n[order]
+        hubs, members = [], []
+        while len(tok):
+            start = np.ones(len(tok), bool)
+            start[1:] = tok[1:] != tok[:-1]
+            hub = np.flatnonzero(start)[np.cumsum(start) - 1]
+            small, large = np.minimum(n, n[hub]), np.maximum(n, n[hub])
+            # A partner of a set in range of the hub is in range of the hub twice over.
+            near = (10000 * small >= percent * percent * large) & ~start
+            hubs.append(node[hub[near]]), members.append(node[near])
+            rest = 100 * small < percent * large
+            tok, node, n = tok[rest], node[rest], n[rest]
+        return np.unique(np.stack([np.concatenate(hubs), np.concatenate(members)], 1), axis=0)
 
     def run(batches):
-        at, hub_set = None, None
+        held = None
         for batch in batches:
-            hubs, subs, nodes = (batch.column(i).to_pylist() for i in range(3))
-            out = []
-            for i, tokens in enumerate(token_sets(texts_of(batch.column(4)), k)):
-                # Rows of an id with another text than the class's have another node.
-                if node_of(tokens) != nodes[i]:
-                    continue
-                if nodes[i] == hubs[i]:
-                    at, hub_set = (hubs[i], subs[i]), tokens
-                elif at == (hubs[i], subs[i]):
-                    both = np.concatenate([hub_set, tokens])
-                    both.sort()
-                    out.append((hubs[i], nodes[i], len(hub_set), len(tokens), int((both[1:] == both[:-1]).sum())))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b", "na", "nb", "both"])
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            tok = held.column("tok").to_numpy()
+            last = int(np.flatnonzero(tok != tok[-1]).max(initial=-1)) + 1
+            if last:
+                yield out(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None and len(held):
+            yield out(held)
+
+    def out(t):
+        pairs = groups(*(t.column(c).to_numpy() for c in ("tok", "node", "n", "central")))
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["hub", "node"])
 
     return run
 
 
-def overlaps(ws: Workspace, pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, name: str) -> DataFrame:
-    """``a, b, na, nb, both`` of each of the distinct ``pairs(a, b)`` of nodes; a has the smaller set.
-
-    Members meet their hub (a) in groups of about HUB, each with a copy of the
-    hub's text, so a hub of very many members is no hot task.
-    """
-    degree = ws.save(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("subs")), f"{name}-degrees")
-    member = pairs.join(degree, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("subs")).cast("int").alias("sub"), F.col("b").alias("node"))
-    own = degree.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.col("a").alias("node"))
-    wanted = member.union(own).join(classes.select("node", F.col("rep").alias("doc_id")), "node")
-    wanted = ws.save(wanted, f"{name}-wanted")
-    rows = having(docs, wanted.select("doc_id")).join(wanted, "doc_id")
-    rows = rows.select("hub", "sub", "node", (F.col("hub") != F.col("node")).alias("member"), "text")
-    rows = rows.repartition("hub", "sub").sortWithinPartitions("hub", "sub", "member")
-    return ws.save(rows.mapInArrow(_overlaps(k), "a long, b long, na long, nb long, both long"), f"{name}-overlaps")
-
-
-def _cross(percent: int):
-    """Pairs of different components in long lists, rows sorted by (tok, n, node)."""
-
-    def one(t):
-        node, n, pos, comp = (t.column(c).to_numpy() for c in ("node", "n", "pos", "component"))
-        first = []
-        for i in range(len(node) - 1):
-            stop = np.searchsorted(n, 100 * n[i] // percent, "right")
-            j = np.arange(i + 1, stop)
-            j = j[comp[j] != comp[i]]
-            j = j[reachable(n[i], pos[i], n[j], pos[j], percent)]
-            if len(j):
-                first.append(np.stack([np.full(len(j), node[i]), node[j]], 1))
-            if sum(map(len, first)) > 1 << 16:
-                yield np.unique(np.concatenate(first), axis=0)
-                first = []
-        if first:
-            yield np.unique(np.concatenate(first), axis=0)
+def group_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """A smallest member of its component for each set of a group; the first set is the hub."""
+    n = np.array([len(s) for s in sets])
+    hub = sets[0]
+    o = np.array([int((hub[np.minimum(np.searchsorted(hub, s), len(hub) - 1)] == s).sum()) for s in sets])
+    linked = 100 * o >= percent * (n[0] + n - o)
+    root = np.where(linked, 0, np.arange(len(sets)))
+    far = np.flatnonzero(~linked)
+    if not len(far):
+        return root
+    need = needed(n[far][:, None], n[None, :], percent)
+    most = np.minimum(o[far][:, None], o[None, :]) + np.minimum((n - o)[far][:, None], (n - o)[None, :])
+    open_ = (most >= need) & (far[:, None] != np.arange(len(sets))[None, :])
+    if not open_.any():
+        return root
+    used = np.flatnonzero(open_.any(0) | np.isin(np.arange(len(sets)), far[open_.any(1)]))
+    at = np.full(len(sets), -1)
+    at[used] = np.arange(len(used))
+    tokens, column, times = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(used)), n[used])
+    shared = np.flatnonzero(times > 1)
+    place = np.full(len(tokens), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[column]
+    row, column = row[column >= 0], column[column >= 0]
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    some = far[open_.any(1)]
+    both = np.zeros((len(some), len(used)), np.float32)
+    for lo in range(0, len(shared), 2048):
+        a, b = np.searchsorted(column, (lo, lo + 2048))
+        dense = np.zeros((len(used), min(2048, len(shared) - lo)), np.float32)
+        dense[row[a:b], column[a:b] - lo] = 1
+        both += dense[at[some]] @ dense.T
+    x, y = np.nonzero((both >= need[open_.any(1)][:, used]) & open_[open_.any(1)][:, used])
+    x, y = some[x], used[y]
+    while len(x):
+        before = root.copy()
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], low), np.minimum.at(root, root[y], low)
+        np.minimum.at(root, x, low), np.minimum.at(root, y, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    return root
+
+
+def _compare(k: int, percent: int):
+    """Stars of the components of each group (or pair of a group's blocks), its hub first."""
 
     def run(batches):
-        held = None
+        held: dict = {"key": None, "nodes": [], "sets": []}
+
+        def done():
+            if len(held["sets"]) > 1:
+                nodes = np.array(held["nodes"])
+                root = group_links(held["sets"], percent)
+                own = np.flatnonzero(root != np.arange(len(root)))
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["a", "b"])
+
         for batch in batches:
-            now = pa.Table.from_batches([batch])
-            held = now if held is None else pa.concat_tables([held, now])
-            toks = held.column("tok").to_numpy()
-            cuts = np.flatnonzero(toks[1:] != toks[:-1]) + 1
-            for lo, hi in zip([0, *cuts], cuts):
-                for pairs in one(held.slice(lo, hi - lo)):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-            held = held.slice(cuts[-1] if len(cuts) else 0)
-        if held is not None:
-            for pairs in one(held):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
+            nodes = batch.column(3).to_pylist()
+            for i, tokens in enumerate(token_sets(texts_of(batch.column(5)), k)):
+                # Rows of an id with another text than the class's have another node.
+                if node_of(tokens) != nodes[i]:
+                    continue
+                if keys[i] != held["key"]:
+                    yield from done()
+                    held |= {"key": keys[i], "nodes": [], "sets": []}
+                if nodes[i] not in held["nodes"][-1:]:
+                    held["nodes"].append(nodes[i]), held["sets"].append(tokens)
+        yield from done()
 
     return run
 
@@ -314,38 +329,27 @@ def similar_sets(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int
     frequent = frequency_classes(profile)
     parts = part_count(spark, docs, part_bytes)
     blobs = docs.filter("doc_id is not null").select("text").mapInArrow(_prefixes(k, percent, frequent, parts), "part int, payload binary")
-    lists = blobs.groupBy("part").applyInArrow(_lists(percent), "a long, b long, tok long, node long, n long, pos long")
-    lists = ws.save(lists, "lists")
-
-    pairs = ws.save(lists.filter("tok is null").select("a", "b").distinct(), "pairs")
-    known = overlaps(ws, pairs, classes, docs, k, "first")
-    linked = f"100 * both >= {percent} * (na + nb - both)"
-    links = known.filter(linked).select("a", "b")
-    comps = ws.save(components(ws, links, "cc1"), "comps1")
-
-    # Long lists: pairs of different components, decided from what is known where that suffices.
-    rows = lists.filter("tok is not null").select("tok", "node", "n", "pos").join(comps, "node", "left")
-    rows = ws.save(rows.withColumn("component", F.coalesce("component", "node")), "long")
-    several = ws.save(rows.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("tok"), "several")
-    cross = rows.join(several, "tok").select("tok", "node", "n", "pos", "component")
-    cross = cross.repartition("tok").sortWithinPartitions("tok", "n", "node").mapInArrow(_cross(percent), "a long, b long")
-    cross = ws.save(cross.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"), "cross")
-    sides = known.select(F.col("a").alias("r"), F.col("b").alias("x"), F.col("na").alias("nr"), F.col("nb").alias("nx"), "both").union(
-        known.select(F.col("b").alias("r"), F.col("a").alias("x"), F.col("nb").alias("nr"), F.col("na").alias("nx"), "both")
-    )
-    x = sides.select("r", F.col("x").alias("a"), "nr", F.col("nx").alias("na"), F.col("both").alias("ra"))
-    y = sides.select("r", F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("both").alias("rb"))
-    bounds = cross.join(x, "a").join(y, ["b", "r"])
-    most = F.least("ra", "rb") + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
-    least = F.col("ra") + F.col("rb") - F.col("nr")
-    need = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100.0 + percent))
-    bounds = bounds.groupBy("a", "b").agg(F.min(F.when(most < need, 0).when(least >= need, 1)).alias("decided"))
-    decided = ws.save(bounds.filter("decided is not null"), "decided")
-    open_pairs = ws.save(cross.join(decided, ["a", "b"], "left_anti"), "open")
-    if not open_pairs.isEmpty():
-        links = links.union(overlaps(ws, open_pairs, classes, docs, k, "second").filter(linked).select("a", "b"))
-    links = links.union(decided.filter("decided = 1").select("a", "b"))
-    comps = components(ws, links, "cc2")
+    lists = ws.save(blobs.groupBy("part").applyInArrow(_lists(percent), "tok long, node long, n long"), "lists")
+
+    # How central: the share of a set's prefix that other sets have.
+    central = ws.save(lists.groupBy("node").agg((F.count(F.lit(1)) / (F.max("n") * (100 - percent) + 100)).alias("central")), "central")
+    rows = lists.join(central, "node").repartition("tok").sortWithinPartitions("tok")
+    groups = ws.save(rows.mapInArrow(_groups(percent), "hub long, node long").distinct(), "groups")
+
+    most = F.least(F.lit(BLOCK), F.greatest(F.lit(8), F.floor(F.lit(BLOCK_TOKENS) / F.col("n"))))
+    sizes = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).join(classes.select(F.col("node").alias("hub"), "n"), "hub")
+    sizes = ws.save(sizes.select("hub", F.ceil(F.col("m") / most).cast("int").alias("blocks")), "sizes")
+    upto = F.sequence(F.lit(0), F.col("blocks") - 1)
+    member = groups.join(sizes, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(upto))
+    member = member.select("hub", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node")
+    own = sizes.withColumn("i", F.explode(upto)).withColumn("j", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)))
+    own = own.select("hub", "i", "j", F.col("hub").alias("node"))
+    wanted = ws.save(member.union(own).join(classes.select("node", F.col("rep").alias("doc_id")), "node"), "wanted")
+    texts = having(docs, wanted.select("doc_id")).join(wanted, "doc_id")
+    texts = texts.select("hub", "i", "j", "node", (F.col("hub") != F.col("node")).alias("member"), "text")
+    texts = texts.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "member", "node")
+    links = ws.save(texts.mapInArrow(_compare(k, percent), "a long, b long"), "links")
+    comps = components(ws, links)
 
     per_node = ws.save(classes.join(comps, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")), "per-node")
     smallest = ws.save(per_node.groupBy("component").agg(F.min("rep").alias("component_id")), "smallest")

@@ -278,13 +278,15 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.95, t
 
     Null or zero vectors, and those with null or non-finite components or of
     another length than the commonest, have 0 links and are their own
-    component.  Rows that repeat a vec_id are vectors of their own, in one
-    component.  A null vec_id never is a representative.
+    component.  Rows that repeat a vec_id are vectors of their own.  A null
+    vec_id has no links.
     """
     ws = ws or Workspace(spark, "near-vectors")
     base = vectors.select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64("embedding", F.lit(1)).alias("h2"))
     rows = sound(base).filter(F.exists("embedding", lambda x: x != 0)).filter("vec_id is not null")
-    classes = ws.save(rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("embedding").alias("embedding")), "classes")
+    grouped = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("m"), F.first("embedding").alias("embedding"))
+    # A class goes by the first hash; the smallest vec_id comes in again at the end.
+    classes = ws.save(grouped.withColumn("rep", F.col("h1")), "classes")
     coded = classes.select("rep", "m", "embedding").mapInArrow(_code(tables, projections, width, seed), "rep long, m long, unit binary, codes array<int>")
     coded = ws.save(coded, "coded")
     entries = coded.select("rep", F.posexplode("codes").alias("t", "code"))
@@ -299,10 +301,12 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.95, t
     links = ws.save(met.mapInArrow(_bucket_links(least), "rep long, links long, other long"), "links")
     counts = links.filter("links > 0").groupBy("rep").agg(F.sum("links").alias("links"))
     comps = components(ws, links.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    per_class = classes.select("h1", "h2", "rep", "m").join(counts, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    per_class = classes.select("h1", "h2", "rep", "first", "m").join(counts, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     per_class = ws.save(
-        per_class.select("h1", "h2", F.coalesce("component", "rep").alias("component"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "per-class"
+        per_class.select("h1", "h2", "first", F.coalesce("component", "rep").alias("root"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "per-class"
     )
+    smallest = ws.save(per_class.groupBy("root").agg(F.min("first").alias("component")), "smallest")
+    per_class = ws.save(per_class.join(smallest, "root").select("h1", "h2", "links", "component"), "named")
     linkable = F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     out = base.withColumn("linkable", linkable).drop("embedding").join(per_class, ["h1", "h2"], "left")
     out = out.withColumn("links", F.when(F.col("linkable"), F.col("links"))).withColumn("component", F.when(F.col("linkable"), F.col("component")))
