@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,6 +131,12 @@ def _tagged(batch: pa.RecordBatch, kind: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), kind, np.int32)), *batch.columns], names=["kind", "part", "payload"])
 
 
+def _kinds(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """Records of a part (kind 0), and the spans that pass through it to their documents (kind 1)."""
+    first = pc.equal(table.column("kind"), 0)
+    return table.filter(first), table.filter(pc.invert(first)).select(["part", "payload"])
+
+
 def _pick(entries: dict, index: np.ndarray) -> dict:
     return {k: v[index] for k, v in entries.items()}
 
@@ -162,6 +169,7 @@ def _scan(length: int, cuts: list[int], parts: int):
     """Feeds the batches of one key range to a family; spans of duplicates (gram 0) and open runs, dealt by document."""
 
     def run(key, table):
+        table, spans = _kinds(table)
         e = gathered(table.column("payload").to_pylist(), ENTRY)
         e["both"] = e["gram"] ^ mix(e["run"])
         e = _pick(e, np.lexsort((e["at"], e["doc"], e["both"])))
@@ -184,7 +192,7 @@ def _scan(length: int, cuts: list[int], parts: int):
             o = _pick(every, np.flatnonzero(n[where] > 1))
             out.append((o["doc"], np.maximum(o["gram"], 1), o["at"], o["at"] + o["more"] + np.uint32(1)))
         columns = [np.concatenate(c).astype(t) for c, t in zip(zip(*out), SPAN.values())]
-        return pa.Table.from_batches([dealt(columns, _doc_key(columns[0]), parts)])
+        return pa.concat_tables([spans, pa.Table.from_batches([dealt(columns, _doc_key(columns[0]), parts)])])
 
     return run
 
@@ -259,12 +267,13 @@ def _copies(h, doc, at, first, length: int, parts: int):
 
 def _settle(length: int, parts: int):
     def run(key, table):
+        table, spans = _kinds(table)
         w = gathered(table.column("payload").to_pylist(), WINDOW)
         w = _pick(w, np.lexsort((w["at"], w["doc"], w["h"])))
         first = np.ones(len(w["h"]), bool)
         first[1:] = w["h"][1:] != w["h"][:-1]
         out = list(_copies(w["h"], w["doc"], w["at"], first, length, parts))
-        return pa.Table.from_batches(out).select(["part", "payload"]) if out else pa.table({"part": pa.nulls(0, pa.int32()), "payload": pa.nulls(0, pa.binary())})
+        return pa.concat_tables([spans, *[pa.Table.from_batches([b]).select(["part", "payload"]) for b in out]])
 
     return run
 
@@ -316,20 +325,17 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, length: int = 100,
     cuts = sorted(set(cuts))
     parts = part_count(spark, docs, part_bytes)
 
-    entries = ws.save(compared.mapInArrow(_entries(length, parts), "kind int, part int, payload binary"), "entries")
-    spans = entries.filter("kind = 0").groupBy("part").applyInArrow(_scan(length, cuts, parts), "part int, payload binary")
-    spans = spans.union(entries.filter("kind = 1").select("part", "payload"))
-    found = spans.groupBy("part").applyInArrow(_by_document, "doc_id long, spans binary, opened binary")
-    found = ws.save(found, "found")
-    ws.drop("entries")
+    schema = "part int, payload binary"
+    entries = compared.mapInArrow(_entries(length, parts), f"kind int, {schema}")
+    spans = entries.groupBy("part").applyInArrow(_scan(length, cuts, parts), schema)
+    found = ws.save(spans.groupBy("part").applyInArrow(_by_document, "doc_id long, spans binary, opened binary"), "found")
 
     opened = found.filter("octet_length(opened) > 0").select("doc_id", "opened")
     texts = having(compared, opened).join(opened, "doc_id").select("doc_id", "text", "opened")
-    windows = ws.save(texts.mapInArrow(_windows(length, parts), "kind int, part int, payload binary"), "windows")
-    copies = windows.filter("kind = 0").groupBy("part").applyInArrow(_settle(length, parts), "part int, payload binary")
-    copies = copies.union(windows.filter("kind = 1").select("part", "payload"))
-    more = ws.save(copies.groupBy("part").applyInArrow(_by_document, "doc_id long, spans binary, opened binary").select("doc_id", "spans"), "more")
-    ws.drop("windows")
+    windows = texts.mapInArrow(_windows(length, parts), f"kind int, {schema}")
+    copies = windows.groupBy("part").applyInArrow(_settle(length, parts), schema)
+    more = copies.groupBy("part").applyInArrow(_by_document, "doc_id long, spans binary, opened binary")
+    more = ws.save(more.select("doc_id", "spans"), "more")
 
     sure = found.filter("octet_length(spans) > 0").select("doc_id", "spans")
     gone = sure.union(more).groupBy("doc_id").agg(F.collect_list("spans").alias("s"))
