@@ -212,8 +212,7 @@ def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 100 = 0),
-      s AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(list_zip(q.embedding, e.embedding), x -> CAST(x[1] AS DOUBLE) * x[2]))
-        / (sqrt(list_sum(list_transform(q.embedding, x -> CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(e.embedding, x -> CAST(x AS DOUBLE) * x)))) AS c
+      s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS c
         FROM q JOIN e ON q.vec_id <> e.vec_id)
     SELECT query_id, vec_id, round(c, 4) AS cosine FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) <= 3""")
 def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

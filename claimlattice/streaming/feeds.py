@@ -24,10 +24,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def event_stream(spark: SparkSession, path: str, at: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """A table's file as a stream with a watermark on ``at``."""
+    """A table's files as a stream with a watermark on ``at``; ``path`` is a folder or one file."""
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(path)
-    return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        # A file source reads folders: the one file is picked by name.
+        path, name = path.rsplit("/", 1)
+        reader = reader.option("pathGlobFilter", name)
+    return reader.parquet(path).withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:

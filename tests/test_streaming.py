@@ -17,8 +17,10 @@ def test_late_rows_and_closing(spark, tmp_path):
 
     put(1_700_000_000, [(1, "2024-01-01 00:10:00"), (1, "2024-01-01 00:50:00")])
     put(1_700_000_100, [(1, "2024-01-01 05:00:00")])
+    # Late rows are told by the watermark of the batch before the last.
+    put(1_700_000_150, [(1, "2024-01-01 05:10:00")])
     put(1_700_000_200, [(1, "2024-01-01 00:20:00")])
     put(1_700_000_300, [(1, "2030-01-01 00:00:00")])
     stream = spark.readStream.schema("user_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("ts", "1 hour")
     got = {str(r["window"]["start"]): r["n"] for r in drained(windowed(stream, "1 hour")).collect()}
-    assert got == {"2024-01-01 00:00:00": 2, "2024-01-01 05:00:00": 1}
+    assert got == {"2024-01-01 00:00:00": 2, "2024-01-01 05:00:00": 2}
