@@ -99,7 +99,7 @@ def _occurrences(min_words: int, parts: int, bands: int, rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.zeros(len(enough), np.int32)), batch.column(0).take(doc), batch.column(1).take(doc), pa.array([these[i][1] for i in enough], pa.int32()),
-                        pa.array(node[enough].view(np.int64)), pa.nulls(len(enough), pa.int32()), pa.nulls(len(enough), pa.binary()),
+                        pa.array(node[enough].view(np.int64)), pa.array(n[enough].astype(np.int32)), pa.nulls(len(enough), pa.int32()), pa.nulls(len(enough), pa.binary()),
                     ],
                     names=NAMES,
                 )
@@ -116,13 +116,13 @@ def _occurrences(min_words: int, parts: int, bands: int, rows: int):
                     out = dealt([band, np.repeat(node[new].view(np.int64), bands)], band, parts)
                     m = len(out)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), *out.columns], names=NAMES
+                        [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *out.columns], names=NAMES
                     )
 
     return run
 
 
-NAMES = ["kind", "doc_id", "tkey", "idx", "node", "part", "payload"]
+NAMES = ["kind", "doc_id", "tkey", "idx", "node", "words", "part", "payload"]
 
 
 def _band_pairs(key, table):
@@ -231,7 +231,7 @@ def _verify(percent: int):
 
 
 def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80, min_words: int = 20, bands: int = BANDS, rows: int = ROWS, part_bytes: int = 8 << 20, ws: Workspace | None = None) -> DataFrame:
-    """``doc_id, tkey, removed``: per document that loses some, the numbers of its paragraphs to go.
+    """``doc_id, tkey, removed, words_removed``: per document that loses some, the numbers of its paragraphs to go.
 
     ``tkey`` is a fingerprint of the text, which tells texts of one doc_id
     apart.  Earliest: smallest doc_id, then tkey, then paragraph number.
@@ -242,9 +242,9 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
     parts = part_count(spark, docs, part_bytes)
-    schema = "kind int, doc_id long, tkey long, idx int, node long, part int, payload binary"
+    schema = "kind int, doc_id long, tkey long, idx int, node long, words int, part int, payload binary"
     found = ws.save(keyed.mapInArrow(_occurrences(min_words, parts, bands, rows), schema), "found")
-    places = found.filter("kind = 0").select("node", F.struct("doc_id", "tkey", "idx").alias("place"))
+    places = found.filter("kind = 0").select("node", "words", F.struct("doc_id", "tkey", "idx").alias("place"))
     nodes = ws.save(places.groupBy("node").agg(F.min("place").alias("first"), F.max("place").alias("last")), "nodes")
 
     blobs = found.filter("kind = 1").select("part", "payload")
@@ -280,28 +280,25 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80,
     clusters = ws.save(clusters.select("node", "first", F.coalesce("component", "node").alias("component")), "clusters")
     keepers = ws.save(clusters.groupBy("component").agg(F.min("first").alias("kept")), "keepers")
     per_node = ws.save(clusters.join(keepers, "component").select("node", "kept"), "per-node")
-    gone = places.join(per_node, "node").filter("place <> kept")
-    gone = gone.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.tkey").alias("tkey")).agg(F.array_sort(F.collect_set("place.idx")).alias("removed"))
+    # Equal rows of one document name a place twice.
+    gone = places.join(per_node, "node").filter("place <> kept").select("place", "words").distinct()
+    gone = gone.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.tkey").alias("tkey"))
+    gone = gone.agg(F.array_sort(F.collect_list("place.idx")).alias("removed"), F.sum("words").alias("words_removed"))
     return ws.save(gone, "gone")
 
 
-def _drop(names: list[str], with_text: bool):
+def _drop(names: list[str]):
     at_text, at_removed = names.index("text"), names.index("removed")
 
     def run(batches):
         for batch in batches:
             texts, lists = batch.column(at_text).to_pylist(), batch.column(at_removed).to_pylist()
-            count, gone_words = [], []
-            for i, (text, removed) in enumerate(zip(texts, lists)):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                spans = paragraph_spans(raw)
-                count.append(len(spans) if text else 0)
-                gone_words.append(0)
+            for i, removed in enumerate(lists):
                 if removed:
-                    edge, kept = 0, []
+                    raw = texts[i].encode("utf-8", "surrogatepass")
+                    spans, edge, kept = paragraph_spans(raw), 0, []
                     for j in removed:
                         a, b = spans[j]
-                        gone_words[-1] += len(raw[a:b].split())
                         kept.append(raw[edge:a])
                         # Of the line end before and behind the paragraph one goes with it.
                         edge = b + (raw[b : b + 1] == b"\n")
@@ -309,25 +306,29 @@ def _drop(names: list[str], with_text: bool):
                     texts[i] = b"".join(kept).decode("utf-8", "surrogatepass")
             columns = list(batch.columns)
             columns[at_text] = pa.array(texts, pa.string())
-            columns = [c for c, name in zip(columns, names) if with_text or name != "text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), pa.array(gone_words, pa.int64())], names=[n for n in names if with_text or n != "text"] + ["n_paragraphs", "words_removed"])
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, with_text: bool = True, ws: Workspace | None = None, **how) -> DataFrame:
     """All rows of ``docs`` (needs doc_id, text) with repeated paragraphs cut out of ``text``,
-    plus ``removed`` (paragraph numbers), ``n_removed, n_paragraphs, words_removed``.
+    plus ``removed`` (paragraph numbers), ``n_removed, words_removed``.
 
-    Clashing columns are replaced; see ``repeated_paragraphs`` for edge cases.
+    Without the text (``with_text=False``) no text is shuffled.  Clashing
+    columns are replaced; see ``repeated_paragraphs`` for edge cases.
     """
     ws = ws or Workspace(spark, "paragraphs")
-    added = ("removed", "n_removed", "n_paragraphs", "words_removed")
+    added = ("removed", "n_removed", "words_removed")
     names = [c for c in docs.columns if c not in added]
     docs = docs.select(*names)
     gone = repeated_paragraphs(spark, docs, ws=ws, **how).withColumnsRenamed({"doc_id": "gone_id", "tkey": "gone_key"})
-    on = (docs["doc_id"].cast("long") == gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_key"])
-    rows = docs.join(gone, on, "left").select(*names, F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
-    out = [f for f in rows.schema if with_text or f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", n_paragraphs long, words_removed long"
-    return rows.mapInArrow(_drop(rows.columns, with_text), schema).withColumn("n_removed", F.size("removed"))
+    keyed = docs.select(*[c for c in names if with_text or c != "text"], F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_key"))
+    rows = keyed.join(gone, (F.col("own_id") == F.col("gone_id")) & (F.col("own_key") == F.col("gone_key")), "left")
+    rows = rows.drop("own_id", "own_key", "gone_id", "gone_key")
+    rows = rows.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>"))).withColumn("n_removed", F.size("removed"))
+    rows = rows.withColumn("words_removed", F.coalesce("words_removed", F.lit(0).cast("long")))
+    if not with_text:
+        return rows
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(_drop(rows.columns), schema)

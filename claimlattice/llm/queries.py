@@ -25,7 +25,7 @@ HELD_OUT = 2
 
 def op1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return without_repeats(spark, docs, with_text=False).select("doc_id", "n_paragraphs", "n_removed", "words_removed", "removed")
+    return without_repeats(spark, docs, with_text=False).select("doc_id", "n_removed", "words_removed", "removed")
 
 
 def op2_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
