@@ -23,4 +23,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from . import claims, history, relational, search, streams  # noqa: F401
+    from . import claims, display, history, relational, search, streams  # noqa: F401
