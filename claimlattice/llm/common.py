@@ -24,6 +24,10 @@ def input_bytes(docs: DataFrame) -> int:
     return size if size < 1 << 50 else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
+#: Edges of a graph that one task of a components round handles.
+EDGES_PER_TASK = 100_000
+
+
 class Workspace:
     """Intermediate tables in the folder all executors share.
 
@@ -42,9 +46,10 @@ class Workspace:
         self.path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+        """Writes and rereads a frame; ``parts`` merges what a shuffle has dealt out into so few tasks and files."""
         path = f"{self.path}/{name}"
-        df.write.parquet(path)
+        (df.coalesce(parts) if parts else df).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
@@ -67,17 +72,21 @@ def components(ws: Workspace, links: DataFrame, name: str = "cc", most_rounds: i
     that adaptive execution may broadcast them or split a hot node's rows.
     """
 
-    def minima(edges, key, other, step):
-        return ws.save(edges.groupBy(key).agg(F.min(other).alias("m")), step)
-
     edges = ws.save(
         links.filter("a <> b")
         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
         .distinct(),
         f"{name}-0",
     )
-    before = None
+    total = F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))
+    before = tuple(edges.agg(F.count(F.lit(1)), total).first())
     for i in range(1, most_rounds + 1):
+        # Rounds only ever join what stands; tasks follow the number of edges.
+        parts = before[0] // EDGES_PER_TASK + 2
+
+        def minima(edges, key, other, step):
+            return ws.save(edges.groupBy(key).agg(F.min(other).alias("m")), step, parts)
+
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
             edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
@@ -88,6 +97,7 @@ def components(ws: Workspace, links: DataFrame, name: str = "cc", most_rounds: i
             .select(F.col("v").alias("hi"), F.least("u", "m").alias("lo"))
             .distinct(),
             f"{name}-{i}-mid",
+            parts,
         )
         low = minima(large, "hi", "lo", f"{name}-{i}-small")
         joined = large.join(low, "hi")
@@ -96,14 +106,15 @@ def components(ws: Workspace, links: DataFrame, name: str = "cc", most_rounds: i
             .union(joined.filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
             .distinct(),
             f"{name}-{i}",
+            parts,
         )
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        state = tuple(edges.agg(F.count(F.lit(1)), total).first())
         for step in ("large", "mid", "small"):
             ws.drop(f"{name}-{i}-{step}")
         ws.drop(f"{name}-{i - 1}")
-        if tuple(state) == before:
+        if state == before:
             break
-        before = tuple(state)
+        before = state
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(

@@ -4,8 +4,12 @@ A document's paragraphs are its lines; lines of over ``LONG`` words are cut
 further at sentence ends that the sentence itself picks (by a hash), so a
 passage is cut alike wherever it stands.  Paragraphs of at least
 ``min_words`` words take part.  Equal word sequences are one node; nodes that
-share a MinHash band are paired, pairs are verified by exact Jaccard of their
-5-word shingles, and of each component all but the earliest occurrence go.
+share a MinHash band are joined and verified by exact Jaccard of their 5-word
+shingles, and of each component all but the earliest occurrence go.
+
+Nodes of one band are not paired with each other but compared in groups around
+the most central of them (see ``set_join``), so a very common passage with many
+variants costs no pair that its group's hub can settle.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 from .blobs import dealt, gathered, having, part_count
 from .common import Workspace, components
 from .hashing import mix, shingles, slabs, texts_of
+from .set_join import by_group, compared, hub_groups
 
 WORDS = 5
 #: At Jaccard 0.8 a band of 3 agrees with p = 0.512, one of 9 bands with p = 0.998.
@@ -29,10 +34,7 @@ LONG = 80
 #: Of the sentence ends of a long line, one in so many cuts it.
 CUT = 4
 SENTENCE = re.compile(rb"[.!?][\x20\x09-\x0D]+")
-#: Band groups up to this size are paired at once; larger ones with their first node.
-SMALL = 4
-HUB = 512
-BAND = {"key": "<u8", "node": "<i8"}
+BAND = {"key": "<u8", "node": "<i8", "n": "<u4"}
 
 
 def paragraph_spans(text: bytes) -> list[tuple[int, int]]:
@@ -113,7 +115,7 @@ def _occurrences(min_words: int, parts: int, bands: int, rows: int):
                     take = np.zeros(len(n), bool)
                     take[new] = True
                     band = keys(flat[np.repeat(take, np.diff(bounds))], np.concatenate(([0], np.cumsum(np.diff(bounds)[new])))).reshape(-1)
-                    out = dealt([band, np.repeat(node[new].view(np.int64), bands)], band, parts)
+                    out = dealt([band, np.repeat(node[new].view(np.int64), bands), np.repeat(np.diff(bounds)[new].astype("<u4"), bands)], band, parts)
                     m = len(out)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *out.columns], names=NAMES
@@ -125,109 +127,42 @@ def _occurrences(min_words: int, parts: int, bands: int, rows: int):
 NAMES = ["kind", "doc_id", "tkey", "idx", "node", "words", "part", "payload"]
 
 
-def _band_pairs(key, table):
+def _band_lists(key, table):
+    """Nodes of the bands that two nodes or more have."""
     c = gathered(table.column("payload").to_pylist(), BAND)
     order = np.lexsort((c["node"], c["key"]))
-    k, node = c["key"][order], c["node"][order]
+    k, node, n = c["key"][order], c["node"][order], c["n"][order]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (node[1:] != node[:-1])
-    k, node = k[new], node[new]
+    k, node, n = k[new], node[new], n[new]
     start = np.ones(len(k), bool)
     start[1:] = k[1:] != k[:-1]
     size = np.diff(np.append(np.flatnonzero(start), len(k)))
-    length, lead = np.repeat(size, size), np.repeat(np.flatnonzero(start), size)
-    a, b = [], []
-    for d in range(1, SMALL):
-        i = np.flatnonzero(length[: len(k) - d] <= SMALL)
-        i = i[k[i] == k[i + d]]
-        a.append(i), b.append(i + d)
-    i = np.flatnonzero((length > SMALL) & ~start)
-    a.append(lead[i]), b.append(i)
-    a, b = np.concatenate(a), np.concatenate(b)
-    pairs = np.unique(np.stack([node[a], node[b]], 1), axis=0)
-    long = length > SMALL
-    return pa.table(
-        {
-            "key": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(k[long].view(np.int64))]),
-            "a": np.concatenate([pairs[:, 0], node[long]]),
-            "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(int(long.sum()), pa.int64())]),
-        }
-    )
-
-
-def _between(batches):
-    """Pairs of nodes of different components in large band groups, rows sorted by key."""
-
-    def pairs(t):
-        node, comp = t.column("a").to_numpy(), t.column("component").to_numpy()
-        for i in range(len(node) - 1):
-            other = node[i + 1 :][comp[i + 1 :] != comp[i]]
-            if len(other):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], other)), pa.array(np.maximum(node[i], other))], names=["a", "b"])
-
-    held = None
-    for batch in batches:
-        now = pa.Table.from_batches([batch])
-        held = now if held is None else pa.concat_tables([held, now])
-        keys = held.column("key").to_numpy()
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        for lo, hi in zip([0, *cuts], cuts):
-            yield from pairs(held.slice(lo, hi - lo))
-        held = held.slice(cuts[-1] if len(cuts) else 0)
-    if held is not None:
-        yield from pairs(held)
-
-
-def _fetch(min_words: int):
-    """The wanted paragraphs (idx) of each text."""
+    many = np.repeat(size, size) > 1
+    return pa.table({"tok": k[many].view(np.int64), "node": node[many], "n": n[many].astype(np.int64)})
 
-    def run(batches):
-        for batch in batches:
-            texts = texts_of(batch.column(0))
-            out, at = [], []
-            for i, (text, wanted) in enumerate(zip(texts, batch.column(1).to_pylist())):
-                spans = paragraph_spans(text)
-                for w in wanted:
-                    if w["idx"] < len(spans):
-                        a, b = spans[w["idx"]]
-                        out.append((w["hub"], w["sub"], w["node"], w["hub"] != w["node"], text[a:b]))
-            hub, sub, node, member, text = zip(*out) if out else ((),) * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hub, pa.int64()), pa.array(sub, pa.int32()), pa.array(node, pa.int64()), pa.array(member, pa.bool_()), pa.array(text, pa.binary())], names=["hub", "sub", "node", "member", "text"]
-            )
-
-    return run
 
-
-def _verify(percent: int):
-    """Pairs hub, member whose shingle sets reach the Jaccard; a group's hub comes first."""
-
-    def run(batches):
-        at, hub_set = None, None
-        for batch in batches:
-            hubs, subs, _, member = (batch.column(i).to_pylist() for i in range(4))
-            texts = batch.column(4).to_pylist()
-            nodes = batch.column(2).to_pylist()
-            a, b = [], []
-            for part in slabs([len(t) for t in texts]):
-                flat, bounds, n = shingles(texts[part], WORDS, True)
-                true = node_hash(flat, bounds, n).view(np.int64)
-                for j in range(len(n)):
-                    i = part.start + j
-                    if true[j] != nodes[i]:
-                        continue
-                    tokens = np.unique(flat[bounds[j] : bounds[j + 1]])
-                    if not member[i]:
-                        at, hub_set = (hubs[i], subs[i]), tokens
-                    elif at == (hubs[i], subs[i]):
-                        both = np.concatenate([hub_set, tokens])
-                        both.sort()
-                        same = int((both[1:] == both[:-1]).sum())
-                        if 100 * same >= percent * (len(both) - same):
-                            a.append(hubs[i]), b.append(nodes[i])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return run
+def _fetch(batches):
+    """The wanted paragraphs of each text, once for each group."""
+    for batch in batches:
+        out = []
+        for text, wanted in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
+            spans = paragraph_spans(text)
+            for w in wanted:
+                if w["idx"] < len(spans):
+                    a, b = spans[w["idx"]]
+                    out.append((w["hub"], w["i"], w["j"], w["node"], text[a:b]))
+        columns = zip(*out) if out else ((),) * 5
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["hub", "i", "j", "node", "text"])
+
+
+def _sets_of(texts):
+    for part in slabs([len(t) for t in texts]):
+        flat, bounds, n = shingles(texts[part], WORDS, True)
+        nodes = node_hash(flat, bounds, n).view(np.int64).tolist()
+        for i, node in enumerate(nodes):
+            yield node, np.unique(flat[bounds[i] : bounds[i + 1]])
 
 
 def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80, min_words: int = 20, bands: int = BANDS, rows: int = ROWS, part_bytes: int = 8 << 20, ws: Workspace | None = None) -> DataFrame:
@@ -248,32 +183,14 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80,
     nodes = ws.save(places.groupBy("node").agg(F.min("place").alias("first"), F.max("place").alias("last")), "nodes")
 
     blobs = found.filter("kind = 1").select("part", "payload")
-    grouped = ws.save(blobs.groupBy("part").applyInArrow(_band_pairs, "key long, a long, b long"), "grouped")
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        degree = ws.save(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("subs")), f"{name}-degrees")
-        member = pairs.join(degree, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("subs")).cast("int").alias("sub"), F.col("b").alias("node"))
-        own = degree.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.col("a").alias("node"))
-        wanted = member.union(own).join(nodes.select("node", "first"), "node")
-        wanted = wanted.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.tkey").alias("tkey")).agg(F.collect_list(F.struct("first.idx", "hub", "sub", "node")).alias("wanted"))
-        wanted = ws.save(wanted, f"{name}-wanted")
-        texts = having(docs, wanted).withColumn("tkey", F.xxhash64("text")).join(wanted, ["doc_id", "tkey"]).select("text", "wanted")
-        met = texts.mapInArrow(_fetch(min_words), "hub long, sub int, node long, member boolean, text binary")
-        met = met.repartition("hub", "sub").sortWithinPartitions("hub", "sub", "member")
-        return ws.save(met.mapInArrow(_verify(percent), "a long, b long"), f"{name}-links")
-
-    pairs = ws.save(grouped.filter("key is null").select("a", "b").distinct(), "pairs")
-    links = linked(pairs, "first")
-    comps = ws.save(components(ws, links, "cc1"), "components")
-    # In large groups nodes met the first one only: now those of different components meet.
-    rows_ = grouped.filter("key is not null").select("key", "a").join(comps.withColumnRenamed("node", "a"), "a", "left")
-    rows_ = ws.save(rows_.withColumn("component", F.coalesce("component", "a")), "large")
-    several = ws.save(rows_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"), "several")
-    between = rows_.join(several, "key").select("key", "a", "component").repartition("key").sortWithinPartitions("key", "a")
-    between = between.mapInArrow(_between, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    between = ws.save(between, "between")
-    if not between.isEmpty():
-        comps = ws.save(components(ws, links.union(linked(between, "second")), "cc2"), "components-2")
+    lists = ws.save(blobs.groupBy("part").applyInArrow(_band_lists, "tok long, node long, n long"), "lists")
+    wanted = hub_groups(ws, lists, percent, F.lit(bands)).join(nodes.select("node", "first"), "node")
+    wanted = wanted.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.tkey").alias("tkey")).agg(F.collect_list(F.struct("first.idx", "hub", "i", "j", "node")).alias("wanted"))
+    wanted = ws.save(wanted, "wanted")
+    texts = having(docs, wanted).withColumn("tkey", F.xxhash64("text")).join(wanted, ["doc_id", "tkey"]).select("text", "wanted")
+    met = by_group(texts.mapInArrow(_fetch, "hub long, i int, j int, node long, text binary"))
+    links = ws.save(met.mapInArrow(compared(percent, _sets_of), "a long, b long"), "links")
+    comps = ws.save(components(ws, links), "components")
 
     # Only nodes of a component or of several places can lose a paragraph.
     clusters = nodes.join(comps, "node", "left").filter("component is not null or first <> last")

@@ -278,8 +278,12 @@ def group_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return root
 
 
-def _compare(k: int, percent: int):
-    """Stars of the components of each group (or pair of a group's blocks), its hub first."""
+def compared(percent: int, sets_of):
+    """Stars of the components of each group (or pair of a group's blocks), its hub first.
+
+    Batches hold ``hub, i, j, node, member, text``; ``sets_of`` gives the node
+    and the set of each of some texts.
+    """
 
     def run(batches):
         held: dict = {"key": None, "nodes": [], "sets": []}
@@ -295,9 +299,9 @@ def _compare(k: int, percent: int):
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
             nodes = batch.column(3).to_pylist()
-            for i, tokens in enumerate(token_sets(texts_of(batch.column(5)), k)):
+            for i, (node, tokens) in enumerate(sets_of(texts_of(batch.column(5)))):
                 # Rows of an id with another text than the class's have another node.
-                if node_of(tokens) != nodes[i]:
+                if node != nodes[i]:
                     continue
                 if keys[i] != held["key"]:
                     yield from done()
@@ -309,6 +313,33 @@ def _compare(k: int, percent: int):
     return run
 
 
+def hub_groups(ws: Workspace, lists: DataFrame, percent: int, in_lists) -> DataFrame:
+    """``hub, i, j, node``: which sets are to be compared with each other, hubs included.
+
+    ``lists(tok, node, n)``; ``in_lists``: the number of lists that a set (of
+    size n) can be in, so that the share of those it is in tells how central
+    it is.  Large groups are cut into blocks, (i, j) names a pair of blocks.
+    """
+    stats = lists.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    stats = ws.save(stats.select("node", "n", (F.col("c") / in_lists).alias("central")), "central")
+    rows = lists.join(stats.select("node", "central"), "node").repartition("tok").sortWithinPartitions("tok")
+    groups = ws.save(rows.mapInArrow(_groups(percent), "hub long, node long").distinct(), "groups")
+    most = F.least(F.lit(BLOCK), F.greatest(F.lit(8), F.floor(F.lit(BLOCK_TOKENS) / F.col("n"))))
+    sizes = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).join(stats.select(F.col("node").alias("hub"), "n"), "hub")
+    sizes = ws.save(sizes.select("hub", F.ceil(F.col("m") / most).cast("int").alias("blocks")), "sizes")
+    upto = F.sequence(F.lit(0), F.col("blocks") - 1)
+    member = groups.join(sizes, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(upto))
+    member = member.select("hub", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node")
+    own = sizes.withColumn("i", F.explode(upto)).withColumn("j", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)))
+    return member.union(own.select("hub", "i", "j", F.col("hub").alias("node")))
+
+
+def by_group(texts: DataFrame) -> DataFrame:
+    """``hub, i, j, node, text`` rows with each group together and its hub first."""
+    texts = texts.select("hub", "i", "j", "node", (F.col("hub") != F.col("node")).alias("member"), "text")
+    return texts.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "member", "node")
+
+
 def similar_sets(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int = 85, part_bytes: int = 8 << 20, ws: Workspace | None = None) -> DataFrame:
     """``doc_id, n_shingles, node, component_id`` for every row of ``docs(doc_id, text)``.
 
@@ -331,24 +362,15 @@ def similar_sets(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int
     blobs = docs.filter("doc_id is not null").select("text").mapInArrow(_prefixes(k, percent, frequent, parts), "part int, payload binary")
     lists = ws.save(blobs.groupBy("part").applyInArrow(_lists(percent), "tok long, node long, n long"), "lists")
 
-    # How central: the share of a set's prefix that other sets have.
-    central = ws.save(lists.groupBy("node").agg((F.count(F.lit(1)) / (F.max("n") * (100 - percent) + 100)).alias("central")), "central")
-    rows = lists.join(central, "node").repartition("tok").sortWithinPartitions("tok")
-    groups = ws.save(rows.mapInArrow(_groups(percent), "hub long, node long").distinct(), "groups")
+    wanted = hub_groups(ws, lists, percent, F.col("n") * (100 - percent) / 100 + 1)
+    wanted = ws.save(wanted.join(classes.select("node", F.col("rep").alias("doc_id")), "node"), "wanted")
+    texts = by_group(having(docs, wanted.select("doc_id")).join(wanted, "doc_id"))
 
-    most = F.least(F.lit(BLOCK), F.greatest(F.lit(8), F.floor(F.lit(BLOCK_TOKENS) / F.col("n"))))
-    sizes = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).join(classes.select(F.col("node").alias("hub"), "n"), "hub")
-    sizes = ws.save(sizes.select("hub", F.ceil(F.col("m") / most).cast("int").alias("blocks")), "sizes")
-    upto = F.sequence(F.lit(0), F.col("blocks") - 1)
-    member = groups.join(sizes, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(upto))
-    member = member.select("hub", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node")
-    own = sizes.withColumn("i", F.explode(upto)).withColumn("j", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)))
-    own = own.select("hub", "i", "j", F.col("hub").alias("node"))
-    wanted = ws.save(member.union(own).join(classes.select("node", F.col("rep").alias("doc_id")), "node"), "wanted")
-    texts = having(docs, wanted.select("doc_id")).join(wanted, "doc_id")
-    texts = texts.select("hub", "i", "j", "node", (F.col("hub") != F.col("node")).alias("member"), "text")
-    texts = texts.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "member", "node")
-    links = ws.save(texts.mapInArrow(_compare(k, percent), "a long, b long"), "links")
+    def sets_of(batch):
+        for tokens in token_sets(batch, k):
+            yield node_of(tokens), tokens
+
+    links = ws.save(texts.mapInArrow(compared(percent, sets_of), "a long, b long"), "links")
     comps = components(ws, links)
 
     per_node = ws.save(classes.join(comps, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")), "per-node")
