@@ -201,7 +201,9 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80,
     gone = places.join(per_node, "node").filter("place <> kept").select("place", "words").distinct()
     gone = gone.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.tkey").alias("tkey"))
     gone = gone.agg(F.array_sort(F.collect_list("place.idx")).alias("removed"), F.sum("words").alias("words_removed"))
-    return ws.save(gone, "gone")
+    gone = ws.save(gone, "gone")
+    ws.drop("found", "nodes", "lists", "central", "groups", "sizes", "wanted", "links", "components", "clusters", "keepers", "per-node")
+    return gone
 
 
 def _drop(names: list[str]):

@@ -376,5 +376,6 @@ def similar_sets(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int
     per_node = ws.save(classes.join(comps, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")), "per-node")
     smallest = ws.save(per_node.groupBy("component").agg(F.min("rep").alias("component_id")), "smallest")
     per_node = ws.save(per_node.join(smallest, "component").select("node", "component_id"), "named")
+    ws.drop("lists", "central", "groups", "sizes", "wanted", "links", "classes", "per-node", "smallest")
     out = documents.withColumn("on", F.when(F.col("doc_id").isNotNull(), F.col("node"))).join(per_node.withColumnRenamed("node", "on"), "on", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -343,6 +343,7 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, length: int = 100,
     cut = having(compared, gone).join(gone, "doc_id").select("doc_id", "text", "spans")
     cut = cut.mapInArrow(_cut, "doc_id long, sha string, n_removed long, removed array<array<long>>, kept_sha256 string")
     cut = ws.save(cut, "cut")
+    ws.drop("found", "more", "gone")
     whole = docs.select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("sha")
     )
