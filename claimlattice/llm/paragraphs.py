@@ -184,7 +184,7 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80,
 
     blobs = found.filter("kind = 1").select("part", "payload")
     lists = ws.save(blobs.groupBy("part").applyInArrow(_band_lists, "tok long, node long, n long"), "lists")
-    wanted = hub_groups(ws, lists, percent, F.lit(bands)).join(nodes.select("node", "first"), "node")
+    wanted = hub_groups(ws, lists, percent, F.lit(bands), lists.groupBy("node").agg(F.max("n").alias("n"))).join(nodes.select("node", "first"), "node")
     wanted = wanted.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.tkey").alias("tkey")).agg(F.collect_list(F.struct("first.idx", "hub", "i", "j", "node")).alias("wanted"))
     wanted = ws.save(wanted, "wanted")
     texts = having(docs, wanted).withColumn("tkey", F.xxhash64("text")).join(wanted, ["doc_id", "tkey"]).select("text", "wanted")

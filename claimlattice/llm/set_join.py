@@ -1,17 +1,20 @@
 """N-gram Jaccard join by set relations, and its components.
 
 A document's set holds the fingerprints of its distinct word shingles.  Two
-sets with Jaccard >= t share a token among the first |x| - ceil(t|x|) + 1 in
-any one order of all tokens, so only these prefixes are indexed.  The order is
+sets with Jaccard >= t share at least l tokens among the first
+|x| - ceil(t|x|) + l in any one order of all tokens, so only these prefixes are
+indexed; l is 1 + |x| / 20 (the smaller of two).  The order is
 by frequency class (rare first), then by fingerprint; the class comes from a
 sketch of fixed size that counts every token of every document, so tokens of
 passages that many documents share stand last and make no lists.
 
-Index level: lists are sorted by set size and skipped through by (size,
-position): a row stays only if some other row of its list is in size range and
-not too far along in its order to reach the overlap still needed.
+Index level: lists are sorted by set size and walked by (size, position): a
+partner out of size range, or at a position so different that the tokens before
+and behind it cannot make up the overlap needed, is skipped.  Pairs of short
+lists go on only if they can meet in l lists; sets in too few long lists to
+meet others there alone leave these.  Chance meetings end here.
 
-Answer level: rows of a list are not paired with each other but put into the
+Answer level: rows of a long list are not paired with each other but put into the
 group of the list's most central set r (the one whose prefix tokens the most
 other sets share), and of further such sets until every two rows in size range
 are together in a group.  A group's sets are compared with r first.  Those that
@@ -37,10 +40,10 @@ from .hashing import mix, shingles, slabs, texts_of
 
 #: The frequency sketch: counters, and rows into which they are cut on the way.
 BINS, CHUNKS = 1 << 20, 64
-#: Lists up to this length are searched for rows without any partner; longer ones keep all rows.
-SEARCHED = 32
+#: Lists up to this length give pairs, longer ones groups.
+SHORT = 32
 #: Members and tokens of one block of a group.
-BLOCK, BLOCK_TOKENS = 512, 1 << 21
+BLOCK, BLOCK_TOKENS = 2048, 1 << 21
 LIST = {"tok": "<u8", "node": "<i8", "n": "<u4", "pos": "<u4"}
 
 
@@ -118,6 +121,11 @@ def needed(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
+def met(n):
+    """Least number of lists in which a set of n tokens meets any set it links with."""
+    return 1 + n // 20
+
+
 def _prefixes(k: int, percent: int, classes: np.ndarray, parts: int):
     def run(batches):
         seen: set[int] = set()
@@ -135,7 +143,7 @@ def _prefixes(k: int, percent: int, classes: np.ndarray, parts: int):
         for batch in batches:
             for tokens in token_sets(texts_of(batch.column(0)), k):
                 n = len(tokens)
-                first = n - least_overlap(n, percent) + 1
+                first = min(n, n - least_overlap(n, percent) + met(n))
                 # A set too small to lose a token links with its equals only.
                 if not n or 100 * n < percent * (n + 1):
                     continue
@@ -162,13 +170,13 @@ def _first(rank: np.ndarray, tokens: np.ndarray, first: int) -> np.ndarray:
 
 
 def reachable(n_a, pos_a, n_b, pos_b, percent: int):
-    """Whether a common token at these positions, if the first, leaves room for the overlap needed."""
-    rest = 1 + np.minimum(n_a - pos_a - 1, n_b - pos_b - 1)
-    return (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (rest >= needed(n_a, n_b, percent))
+    """Whether sets of these sizes with a common token at these positions can have the overlap needed."""
+    most = np.minimum(pos_a, pos_b) + 1 + np.minimum(n_a - pos_a - 1, n_b - pos_b - 1)
+    return (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (most >= needed(n_a, n_b, percent))
 
 
 def _lists(percent: int):
-    """Rows of lists of two sets or more, less those that no other row of the list can link with."""
+    """Pairs of short lists with the times they met here (tok null), and rows of long lists."""
 
     def run(key, table):
         c = gathered(table.column("payload").to_pylist(), LIST)
@@ -181,13 +189,24 @@ def _lists(percent: int):
         start[1:] = tok[1:] != tok[:-1]
         size = np.diff(np.append(np.flatnonzero(start), len(tok)))
         length = np.repeat(size, size)
-        stay = length > SEARCHED
-        for d in range(1, SEARCHED):
-            a = np.flatnonzero((length[: len(tok) - d] <= SEARCHED) & (length[: len(tok) - d] > d))
+        left, right, least = [], [], []
+        for d in range(1, SHORT):
+            a = np.flatnonzero(length[: max(0, len(tok) - d)] <= SHORT)
             a = a[tok[a] == tok[a + d]]
             a = a[reachable(n[a], pos[a], n[a + d], pos[a + d], percent)]
-            stay[a] = stay[a + d] = True
-        return pa.table({"tok": tok[stay].view(np.int64), "node": node[stay], "n": n[stay]})
+            left.append(np.minimum(node[a], node[a + d])), right.append(np.maximum(node[a], node[a + d])), least.append(n[a])
+        pairs, first, times = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0, return_index=True, return_counts=True)
+        long, k = length > SHORT, len(pairs)
+        m = int(long.sum())
+        return pa.table(
+            {
+                "tok": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(tok[long].view(np.int64))]),
+                "node": np.concatenate([pairs[:, 0], node[long]]),
+                "n": np.concatenate([np.concatenate(least)[first], n[long]]),
+                "other": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(m, pa.int64())]),
+                "times": pa.concat_arrays([pa.array(times.astype(np.int64)), pa.nulls(m, pa.int64())]),
+            }
+        )
 
     return run
 
@@ -313,20 +332,24 @@ def compared(percent: int, sets_of):
     return run
 
 
-def hub_groups(ws: Workspace, lists: DataFrame, percent: int, in_lists) -> DataFrame:
+def hub_groups(ws: Workspace, lists: DataFrame, percent: int, in_lists, sizes: DataFrame, pairs: DataFrame | None = None, least=1) -> DataFrame:
     """``hub, i, j, node``: which sets are to be compared with each other, hubs included.
 
+    ``sizes(node, n)`` of all sets; ``pairs(hub, node)`` are to be compared besides;
+    sets in fewer than ``least`` lists stay out of the groups of lists.
+
     ``lists(tok, node, n)``; ``in_lists``: the number of lists that a set (of
     size n) can be in, so that the share of those it is in tells how central
     it is.  Large groups are cut into blocks, (i, j) names a pair of blocks.
     """
     stats = lists.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
-    stats = ws.save(stats.select("node", "n", (F.col("c") / in_lists).alias("central")), "central")
-    rows = lists.join(stats.select("node", "central"), "node").repartition("tok").sortWithinPartitions("tok")
-    groups = ws.save(rows.mapInArrow(_groups(percent), "hub long, node long").distinct(), "groups")
+    stats = ws.save(stats.filter(F.col("c") >= least).select("node", (F.col("c") / in_lists).alias("central")), "central")
+    rows = lists.join(stats, "node").repartition("tok").sortWithinPartitions("tok")
+    groups = rows.mapInArrow(_groups(percent), "hub long, node long")
+    groups = ws.save((groups.union(pairs) if pairs is not None else groups).distinct(), "groups")
     most = F.least(F.lit(BLOCK), F.greatest(F.lit(8), F.floor(F.lit(BLOCK_TOKENS) / F.col("n"))))
-    sizes = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).join(stats.select(F.col("node").alias("hub"), "n"), "hub")
-    sizes = ws.save(sizes.select("hub", F.ceil(F.col("m") / most).cast("int").alias("blocks")), "sizes")
+    blocks = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).join(sizes.select(F.col("node").alias("hub"), "n"), "hub")
+    sizes = ws.save(blocks.select("hub", F.ceil(F.col("m") / most).cast("int").alias("blocks")), "sizes")
     upto = F.sequence(F.lit(0), F.col("blocks") - 1)
     member = groups.join(sizes, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(upto))
     member = member.select("hub", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node")
@@ -360,9 +383,17 @@ def similar_sets(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int
     frequent = frequency_classes(profile)
     parts = part_count(spark, docs, part_bytes)
     blobs = docs.filter("doc_id is not null").select("text").mapInArrow(_prefixes(k, percent, frequent, parts), "part int, payload binary")
-    lists = ws.save(blobs.groupBy("part").applyInArrow(_lists(percent), "tok long, node long, n long"), "lists")
-
-    wanted = hub_groups(ws, lists, percent, F.col("n") * (100 - percent) / 100 + 1)
+    lists = ws.save(blobs.groupBy("part").applyInArrow(_lists(percent), "tok long, node long, n long, other long, times long"), "lists")
+    pairs = lists.filter("tok is null").groupBy("node", "other").agg(F.sum("times").alias("times"), F.min("n").alias("n"))
+    long = lists.filter("tok is not null").select("tok", "node", "n")
+    # A pair may meet in long lists too, at most in as many as either set is in.
+    count = ws.save(long.groupBy("node").agg(F.count(F.lit(1)).alias("c")), "long-lists")
+    for side in ("node", "other"):
+        pairs = pairs.join(count.select(F.col("node").alias(side), F.col("c").alias(f"{side}_c")), side, "left")
+    more = F.least(*[F.coalesce(f"{side}_c", F.lit(0)) for side in ("node", "other")])
+    pairs = pairs.filter(F.col("times") + more >= 1 + F.floor(F.col("n") / 20)).select(F.col("node").alias("hub"), F.col("other").alias("node"))
+    in_lists = F.col("n") * (100 - percent) / 100 + 1 + F.floor(F.col("n") / 20)
+    wanted = hub_groups(ws, long, percent, in_lists, classes.select("node", "n"), pairs, 1 + F.floor(F.col("n") * percent / 100 / 20))
     wanted = ws.save(wanted.join(classes.select("node", F.col("rep").alias("doc_id")), "node"), "wanted")
     texts = by_group(having(docs, wanted.select("doc_id")).join(wanted, "doc_id"))
 
@@ -376,6 +407,6 @@ def similar_sets(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int
     per_node = ws.save(classes.join(comps, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")), "per-node")
     smallest = ws.save(per_node.groupBy("component").agg(F.min("rep").alias("component_id")), "smallest")
     per_node = ws.save(per_node.join(smallest, "component").select("node", "component_id"), "named")
-    ws.drop("lists", "central", "groups", "sizes", "wanted", "links", "classes", "per-node", "smallest")
+    ws.drop("lists", "long-lists", "central", "groups", "sizes", "wanted", "links", "classes", "per-node", "smallest")
     out = documents.withColumn("on", F.when(F.col("doc_id").isNotNull(), F.col("node"))).join(per_node.withColumnRenamed("node", "on"), "on", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
