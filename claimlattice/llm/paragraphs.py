@@ -1,9 +1,13 @@
 """Substring dedup by paragraph MinHash.
 
-A document's paragraphs are its lines; lines of over ``LONG`` words are cut
-further at sentence ends that the sentence itself picks (by a hash), so a
-passage is cut alike wherever it stands.  Paragraphs of at least
-``min_words`` words take part.  Equal word sequences are one node; nodes that
+A document's paragraphs are its lines, cut further at every sentence end that
+leaves ``min_words`` words on both sides within the line, so no piece of a line
+is too short to take part; sentences of over ``LONG`` words are also cut at
+words that the word itself picks (by a hash).  Lines of under ``min_words``
+words are joined up to that number, and what falls short goes to the paragraph
+before.  Only short lines that open a text, under ``min_words`` words in all up
+to the first longer line or the end, take no part.
+Equal word sequences are one node; nodes that
 share a MinHash band are joined and verified by exact Jaccard of their 5-word
 shingles, and of each component all but the earliest occurrence go.
 
@@ -30,37 +34,67 @@ from .set_join import by_group, compared, hub_groups
 WORDS = 5
 #: At Jaccard 0.8 a band of 3 agrees with p = 0.512, one of 9 bands with p = 0.998.
 BANDS, ROWS = 9, 3
+MIN_WORDS = 20
 LONG = 80
-#: Of the sentence ends of a long line, one in so many cuts it.
-CUT = 4
+#: Of the words of a long sentence, one in so many ends a piece.
+CUT = 16
 SENTENCE = re.compile(rb"[.!?][\x20\x09-\x0D]+")
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BAND = {"key": "<u8", "node": "<i8", "n": "<u4"}
 
 
-def paragraph_spans(text: bytes) -> list[tuple[int, int]]:
-    """[begin, end) of each paragraph; together they are the text without line ends."""
+def _places(text: bytes, begin: int, end: int):
+    """(end, words) of the pieces of a line at whose ends it may be cut."""
+    last = begin
+    for stop in [m.end() for m in SENTENCE.finditer(text, begin, end)] + [end]:
+        n = len(text[last:stop].split())
+        if n > LONG:
+            n = 0
+            for m in WORD.finditer(text, last, stop):
+                n += 1
+                if zlib.crc32(m.group().lower()) % CUT == 0:
+                    yield m.end(), n
+                    n = 0
+        if stop > last:
+            yield stop, n
+        last = stop
+
+
+def paragraph_spans(text: bytes, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """[begin, end) of each paragraph; together they are the text without the line ends between them."""
     spans, at = [], 0
+    #: Begin and words of the short lines joined so far.
+    run, held = None, 0
+
+    def close(end):
+        if run is not None:
+            spans.append((spans.pop()[0] if spans else run, end))
+
     for line in text.split(b"\n"):
-        end = at + len(line)
-        if line.count(b" ") > LONG:
-            begin, last = at, at
-            for m in SENTENCE.finditer(text, at, end):
-                sentence = text[last : m.start()]
-                last = m.end()
-                if last < end and zlib.crc32(sentence) % CUT == 0:
-                    spans.append((begin, last))
-                    begin = last
+        end, n = at + len(line), len(line.split())
+        if n >= min_words:
+            close(at - 1)
+            begin, run, held, inside = at, None, 0, 0
+            for stop, words in _places(text, at, end):
+                inside, n = inside + words, n - words
+                if inside >= min_words and n >= min_words:
+                    spans.append((begin, stop))
+                    begin, inside = stop, 0
             spans.append((begin, end))
         else:
-            spans.append((at, end))
+            run, held = at if run is None else run, held + n
+            if held >= min_words:
+                spans.append((run, end))
+                run, held = None, 0
         at = end + 1
+    close(len(text))
     return spans
 
 
 def paragraphs(texts: list[bytes], min_words: int):
     """(text number, paragraph number, bytes) of all paragraphs that take part."""
     for i, text in enumerate(texts):
-        for j, (a, b) in enumerate(paragraph_spans(text)):
+        for j, (a, b) in enumerate(paragraph_spans(text, min_words)):
             # Each word but the last has white space behind it: shorter ones have too few.
             if b - a >= 2 * min_words - 1:
                 yield i, j, text[a:b]
@@ -142,19 +176,23 @@ def _band_lists(key, table):
     return pa.table({"tok": k[many].view(np.int64), "node": node[many], "n": n[many].astype(np.int64)})
 
 
-def _fetch(batches):
+def _fetch(min_words: int):
     """The wanted paragraphs of each text, once for each group."""
-    for batch in batches:
-        out = []
-        for text, wanted in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
-            spans = paragraph_spans(text)
-            for w in wanted:
-                if w["idx"] < len(spans):
-                    a, b = spans[w["idx"]]
-                    out.append((w["hub"], w["i"], w["j"], w["node"], text[a:b]))
-        columns = zip(*out) if out else ((),) * 5
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["hub", "i", "j", "node", "text"])
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text, wanted in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
+                spans = paragraph_spans(text, min_words)
+                for w in wanted:
+                    if w["idx"] < len(spans):
+                        a, b = spans[w["idx"]]
+                        out.append((w["hub"], w["i"], w["j"], w["node"], text[a:b]))
+            columns = zip(*out) if out else ((),) * 5
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["hub", "i", "j", "node", "text"])
+
+    return run
 
 
 def _sets_of(texts):
@@ -165,7 +203,7 @@ def _sets_of(texts):
             yield node, np.unique(flat[bounds[i] : bounds[i + 1]])
 
 
-def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80, min_words: int = 20, bands: int = BANDS, rows: int = ROWS, part_bytes: int = 8 << 20, ws: Workspace | None = None) -> DataFrame:
+def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, bands: int = BANDS, rows: int = ROWS, part_bytes: int = 8 << 20, ws: Workspace | None = None) -> DataFrame:
     """``doc_id, tkey, removed, words_removed``: per document that loses some, the numbers of its paragraphs to go.
 
     ``tkey`` is a fingerprint of the text, which tells texts of one doc_id
@@ -188,7 +226,7 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80,
     wanted = wanted.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.tkey").alias("tkey")).agg(F.collect_list(F.struct("first.idx", "hub", "i", "j", "node")).alias("wanted"))
     wanted = ws.save(wanted, "wanted")
     texts = having(docs, wanted).withColumn("tkey", F.xxhash64("text")).join(wanted, ["doc_id", "tkey"]).select("text", "wanted")
-    met = by_group(texts.mapInArrow(_fetch, "hub long, i int, j int, node long, text binary"))
+    met = by_group(texts.mapInArrow(_fetch(min_words), "hub long, i int, j int, node long, text binary"))
     links = ws.save(met.mapInArrow(compared(percent, _sets_of), "a long, b long"), "links")
     comps = ws.save(components(ws, links), "components")
 
@@ -206,7 +244,7 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80,
     return gone
 
 
-def _drop(names: list[str]):
+def _drop(names: list[str], min_words: int):
     at_text, at_removed = names.index("text"), names.index("removed")
 
     def run(batches):
@@ -215,7 +253,7 @@ def _drop(names: list[str]):
             for i, removed in enumerate(lists):
                 if removed:
                     raw = texts[i].encode("utf-8", "surrogatepass")
-                    spans, edge, kept = paragraph_spans(raw), 0, []
+                    spans, edge, kept = paragraph_spans(raw, min_words), 0, []
                     for j in removed:
                         a, b = spans[j]
                         kept.append(raw[edge:a])
@@ -250,4 +288,4 @@ def without_repeats(spark: SparkSession, docs: DataFrame, with_text: bool = True
     if not with_text:
         return rows
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_drop(rows.columns), schema)
+    return rows.mapInArrow(_drop(rows.columns, how.get("min_words", MIN_WORDS)), schema)
