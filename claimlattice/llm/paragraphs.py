@@ -107,6 +107,16 @@ def node_hash(words: np.ndarray, bounds: np.ndarray, n: np.ndarray) -> np.ndarra
     return mix(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64))
 
 
+def distinct(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The size of each sequence's set of shingles."""
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort((shingles, owner))
+    s, o = shingles[order], owner[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (o[1:] != o[:-1])
+    return np.bincount(o[new], minlength=len(bounds) - 1)
+
+
 def _occurrences(min_words: int, parts: int, bands: int, rows: int):
     """kind 0: paragraphs with their nodes; kind 1: band keys of nodes new to the task."""
     seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -148,8 +158,9 @@ def _occurrences(min_words: int, parts: int, bands: int, rows: int):
                     new = np.array(new)
                     take = np.zeros(len(n), bool)
                     take[new] = True
-                    band = keys(flat[np.repeat(take, np.diff(bounds))], np.concatenate(([0], np.cumsum(np.diff(bounds)[new])))).reshape(-1)
-                    out = dealt([band, np.repeat(node[new].view(np.int64), bands), np.repeat(np.diff(bounds)[new].astype("<u4"), bands)], band, parts)
+                    fresh, ends = flat[np.repeat(take, np.diff(bounds))], np.concatenate(([0], np.cumsum(np.diff(bounds)[new])))
+                    band, size = keys(fresh, ends).reshape(-1), distinct(fresh, ends)
+                    out = dealt([band, np.repeat(node[new].view(np.int64), bands), np.repeat(size.astype("<u4"), bands)], band, parts)
                     m = len(out)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *out.columns], names=NAMES

@@ -42,3 +42,11 @@ def test_op1_no_piece_of_a_line_is_too_short():
         spans = paragraph_spans(text)
         assert [w for a, b in spans for w in text[a:b].split()] == text.split()
         assert all(len(text[a:b].split()) >= 20 for a, b in spans[1:])
+
+
+def test_op1_size_is_that_of_the_set(spark):
+    """A phrase said four times and twice: nearly the same set, far from the same number of shingles."""
+    phrase = " ".join(words(18))
+    rows = [(1, " ".join([phrase] * 2)), (2, " ".join([phrase] * 4)), (3, " ".join(words(60)))]
+    out = without_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] > 0 for r in out} == {1: False, 2: True, 3: False}
