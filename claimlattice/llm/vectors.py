@@ -27,16 +27,19 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def read_lists(values: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> np.ndarray:
+def read_lists(vec_ids: np.ndarray, values: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> np.ndarray:
     """Which (query, row) pairs can still be among the query's k best.
 
     For every dimension the block has one list sorted by value; a query reads
     it from the end that its weight favours.  After each depth a row's score
     lies between bounds made of what was read of it, the last value read and
     the list's far end.  Rows whose upper bound is under the k-th best lower
-    bound (or ``floor``, the k-th best of earlier blocks) are out.
+    bound (or ``floor``, the k-th best of earlier blocks) are out.  Of the rows of one
+    vec_id only the best lower bound counts, so repeated rows raise no bar.
     """
     n = len(values)
+    by_id = np.argsort(vec_ids, kind="stable")
+    begin = np.flatnonzero(np.concatenate(([True], vec_ids[by_id[1:]] != vec_ids[by_id[:-1]])))
     order = np.argsort(values, axis=0, kind="stable")
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
@@ -52,7 +55,10 @@ def read_lists(values: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: in
         last = np.hstack([np.take_along_axis(values, order[[n - t]], 0)[0], np.take_along_axis(values, order[[t - 1]], 0)[0]])
         upper = read + (both * last) @ unread
         lower = read + (both * np.hstack([low, high])) @ unread
-        bar = floor if n < k else np.maximum(floor, np.partition(lower, n - k, axis=1)[:, n - k])
+        m = len(begin)
+        if m < n:
+            lower = np.maximum.reduceat(lower[:, by_id], begin, axis=1)
+        bar = floor if m < k else np.maximum(floor, np.partition(lower, m - k, axis=1)[:, m - k])
         alive &= upper >= bar[:, None]
         if alive.sum() <= 2 * k * len(queries):
             break
@@ -98,7 +104,7 @@ def _search(ids: np.ndarray, weights: np.ndarray, k: int, scale: float):
             for lo in range(0, len(ids), QUERIES):
                 part = slice(lo, min(lo + QUERIES, len(ids)))
                 # One more than k: a query's own row is no candidate.
-                q, c = np.nonzero(read_lists(values, weights[part], floor[part], k + 1))
+                q, c = np.nonzero(read_lists(vec_ids, values, weights[part], floor[part], k + 1))
                 q += lo
                 other = ids[q] != vec_ids[c]
                 q, c = q[other], c[other]

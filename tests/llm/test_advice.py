@@ -3,6 +3,7 @@
 import numpy as np
 
 from claimlattice.llm.paragraphs import paragraph_spans, without_repeats
+from claimlattice.llm.vectors import _search, top_k
 
 RNG = np.random.default_rng(11)
 
@@ -50,3 +51,28 @@ def test_op1_size_is_that_of_the_set(spark):
     rows = [(1, " ".join([phrase] * 2)), (2, " ".join([phrase] * 4)), (3, " ".join(words(60)))]
     out = without_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["n_removed"] > 0 for r in out} == {1: False, 2: True, 3: False}
+
+
+def best_five(ids, x, query):
+    """The five best distinct (score, vec_id) for a query."""
+    xi = np.floor(256 * x)
+    s = xi @ xi[ids.index(query)]
+    return sorted({(-int(v), i) for i, v in zip(ids, s) if i != query})[:5]
+
+
+def test_op4_repeated_rows_cut_no_others(spark):
+    """A row repeated ten times, and an id of several vectors, among the queries' ids too."""
+    import pyarrow as pa
+
+    x = RNG.normal(size=(300, 8))
+    ids = list(range(300))
+    x[7] = 3 * x[0] / np.linalg.norm(x[0]) * np.linalg.norm(x, axis=1).max()
+    ids += [7] * 10 + [0] * 8 + [9] * 8
+    x = np.vstack([x, np.repeat(x[7:8], 10, 0), x[0] * np.linspace(2, 3, 8)[:, None], x[7] * np.linspace(0.5, 0.9, 8)[:, None]])
+    query = np.floor(256 * x[:1])
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(x.tolist())], names=["vec_id", "embedding"])
+    (got,) = list(_search(np.array([0]), query, 5, 256.0)([batch]))
+    assert sorted((-s, v) for v, s in zip(got.column(1).to_pylist(), got.column(2).to_pylist())) == best_five(ids, x, 0)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids[:310], x[:310])], "vec_id long, embedding array<double>").coalesce(1)
+    rows = sorted((r["rank"], -r["score"], r["vec_id"]) for r in top_k(spark, df).collect() if r["query_id"] == 0)
+    assert [r[1:] for r in rows] == best_five(ids[:310], x[:310], 0)
