@@ -92,21 +92,34 @@ def near_pairs(docs: DataFrame, least: float = 0.8, n: int = 3, key: str = "doc_
 
     Exact prefix filter: two such sets share one of the first
     |s| - ceil(least |s|) + 1 shingles in any one order; here rarest first, so
-    common shingles join nothing.  Equal texts are one row until the end.
+    common shingles join nothing.  Texts of equal sets are one class until the
+    end: classes are compared, then their members paired.
     """
     grams = docs.select(F.col(key).alias("id"), char_shingles(F.col(text), n).alias("s"))
-    flat = grams.select("id", F.explode("s").alias("g"))
+    sets = grams.select("id", F.explode("s").alias("g")).groupBy("id").agg(F.array_sort(F.collect_set("g")).alias("s"))
+    classes = sets.groupBy("s").agg(F.min("id").alias("c"))
+    members = sets.join(classes, "s").select("id", "c")
+    near = class_pairs(classes, least)
+    near = near.union(members.groupBy("c").count().filter("count > 1").select(F.col("c").alias("a"), F.col("c").alias("b"), F.lit(1.0)))
+    left, right = members.select(F.col("c").alias("a"), F.col("id").alias("x")), members.select(F.col("c").alias("b"), F.col("id").alias("y"))
+    pairs = near.join(left, "a").join(right, "b").filter((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+
+
+def class_pairs(classes: DataFrame, least: float) -> DataFrame:
+    """``a, b, jaccard`` of the classes ``c, s`` whose sets have Jaccard >= ``least``, a < b."""
+    flat = classes.select("c", F.explode("s").alias("g"))
     rarity = flat.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ranked = flat.join(rarity, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("r"))
+    ranked = flat.join(rarity, "g").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("r"))
     size = F.size("r")
     prefix = F.slice("r", F.lit(1), (size - F.ceil(size * F.lit(least)) + 1).cast("int"))
-    ranked = ranked.select("id", F.transform("r", lambda x: x["g"]).alias("s"), F.transform(prefix, lambda x: x["g"]).alias("p"))
-    index = ranked.select("id", F.size("s").alias("n"), F.explode("p").alias("g"))
+    ranked = ranked.select("c", F.transform("r", lambda x: x["g"]).alias("s"), F.transform(prefix, lambda x: x["g"]).alias("p"))
+    index = ranked.select("c", F.size("s").alias("n"), F.explode("p").alias("g"))
     x, y = index.alias("x"), index.alias("y")
-    near = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.id") < F.col("y.id")) & (F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n")))
-    near = near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    sets = ranked.select("id", "s")
-    near = near.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    near = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.c") < F.col("y.c")) & (F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n")))
+    near = near.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    sets = ranked.select("c", "s")
+    near = near.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     near = near.withColumn("jaccard", both / (F.size("sa") + F.size("sb") - both))
     return near.filter(F.col("jaccard") >= least).select("a", "b", "jaccard")
