@@ -82,18 +82,21 @@ def chain(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return (first ^ (first >> np.uint64(31))) + second
 
 
-def shingles(texts: list[bytes], k: int, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprints, bounds, words): shingles of k words of each text, in order, with repeats.
+def text_words(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, fingerprints, bounds): the words of some texts; those of text i are ``bounds[i]`` to ``bounds[i + 1]``.
 
-    Text i has ``fingerprints[bounds[i]:bounds[i + 1]]`` and ``words[i]`` words.
-    A text of 1 to k - 1 words has its whole sequence as its one shingle.
+    Starts count from the begin of the first text, with one byte between texts.
     """
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    data = np.frombuffer(b"\n".join(texts), np.uint8)
-    starts, h = word_hashes(data, lower)
-    begins = np.concatenate(([0], np.cumsum(sizes)))
-    first = np.searchsorted(starts, begins[:-1])
-    words = np.diff(np.append(first, len(h)))
+    starts, h = word_hashes(np.frombuffer(b"\n".join(texts), np.uint8), lower)
+    return starts, h, np.append(np.searchsorted(starts, np.cumsum(sizes) - sizes), len(h))
+
+
+def shingles_of(h: np.ndarray, first: np.ndarray, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, bounds): shingles of k words of the runs ``h[first[i]:first[i] + words[i]]``, in order, with repeats.
+
+    A run of 1 to k - 1 words has its whole sequence as its one shingle.
+    """
     counts = np.where(words >= k, words - k + 1, (words > 0).astype(np.int64))
     bounds = np.concatenate(([0], np.cumsum(counts)))
     out = np.zeros(bounds[-1], np.uint64)
@@ -102,10 +105,9 @@ def shingles(texts: list[bytes], k: int, lower: bool) -> tuple[np.ndarray, np.nd
         acc = h[:m]
         for j in range(1, k):
             acc = chain(acc, h[j : j + m])
-        doc = np.repeat(np.arange(len(texts)), words)
-        whole = doc[:m] == doc[k - 1 :]
+        at = np.repeat(first - bounds[:-1], counts) + np.arange(bounds[-1])
         long = np.repeat(words >= k, counts)
-        out[long] = acc[whole]
+        out[long] = acc[at[long]]
     short = np.flatnonzero((words > 0) & (words < k))
     if len(short):
         acc = h[first[short]]
@@ -113,7 +115,17 @@ def shingles(texts: list[bytes], k: int, lower: bool) -> tuple[np.ndarray, np.nd
             more = words[short] > j
             acc[more] = chain(acc[more], h[first[short][more] + j])
         out[bounds[short]] = acc ^ (np.uint64(0xA5A5A5A5) * words[short].astype(np.uint64))
-    return mix(out), bounds, words
+    return mix(out), bounds
+
+
+def shingles(texts: list[bytes], k: int, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprints, bounds, words): shingles of k words of each text, and how many words it has.
+
+    Text i has ``fingerprints[bounds[i]:bounds[i + 1]]`` and ``words[i]`` words.
+    """
+    _, h, at = text_words(texts, lower)
+    words = np.diff(at)
+    return *shingles_of(h, at[:-1], words, k), words
 
 
 def slabs(lengths, most: int = 2 * PIECE):

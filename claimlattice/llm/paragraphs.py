@@ -7,13 +7,19 @@ words that the word itself picks (by a hash).  Lines of under ``min_words``
 words are joined up to that number, and what falls short goes to the paragraph
 before.  Only short lines that open a text, under ``min_words`` words in all up
 to the first longer line or the end, take no part.
-Equal word sequences are one node; nodes that
-share a MinHash band are joined and verified by exact Jaccard of their 5-word
-shingles, and of each component all but the earliest occurrence go.
 
-Nodes of one band are not paired with each other but compared in groups around
-the most central of them (see ``set_join``), so a very common passage with many
-variants costs no pair that its group's hub can settle.
+Equal word sequences are one node; nodes that share a MinHash band are joined
+and verified by exact Jaccard of their 5-word shingles, and of each component
+all but the earliest occurrence go.  Nodes of one band are not paired with each
+other but compared with the most central of them (see ``set_join``).
+
+A passage that starts and ends within other paragraphs shares no paragraph with
+its copies.  So texts are cut a second time, into units that begin where a
+word pair's hash is least among its ``REACH`` neighbours: such places depend on
+the words around them alone and recur in every copy.  Equal units lead from an
+occurrence to the earliest one; neighbouring ones are a run, and from the ends of a
+run both texts are followed word by word as far as they agree.  Runs of at
+least ``min_words`` words go as well.
 """
 
 from __future__ import annotations
@@ -23,13 +29,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blobs import dealt, gathered, having, part_count
 from .common import Workspace, components
-from .hashing import mix, shingles, slabs, texts_of
-from .set_join import by_group, compared, hub_groups
+from .hashing import chain, mix, shingles, shingles_of, slabs, text_words, texts_of
+from .set_join import GROUP_TABLES, LISTED, dealt_lists, group_links, hub_pairs, lists_of
 
 WORDS = 5
 #: At Jaccard 0.8 a band of 3 agrees with p = 0.512, one of 9 bands with p = 0.998.
@@ -40,7 +46,11 @@ LONG = 80
 CUT = 16
 SENTENCE = re.compile(rb"[.!?][\x20\x09-\x0D]+")
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-BAND = {"key": "<u8", "node": "<i8", "n": "<u4"}
+BAND = {"tok": "<u8", "node": "<i8", "n": "<u4"}
+#: Units: no two begin within so many words; words followed from the ends of a run.
+REACH, FOLLOW = 6, 48
+UNIT = {"node": "<u8", "doc": "<i8", "tkey": "<u4", "at": "<u4", "n": "<u4"}
+COPY = {"doc": "<i8", "tkey": "<u4", "at": "<u4", "n": "<u4", "from_doc": "<i8", "from_tkey": "<u4", "from_at": "<u4"}
 
 
 def _places(text: bytes, begin: int, end: int):
@@ -91,15 +101,6 @@ def paragraph_spans(text: bytes, min_words: int = MIN_WORDS) -> list[tuple[int,
     return spans
 
 
-def paragraphs(texts: list[bytes], min_words: int):
-    """(text number, paragraph number, bytes) of all paragraphs that take part."""
-    for i, text in enumerate(texts):
-        for j, (a, b) in enumerate(paragraph_spans(text, min_words)):
-            # Each word but the last has white space behind it: shorter ones have too few.
-            if b - a >= 2 * min_words - 1:
-                yield i, j, text[a:b]
-
-
 def node_hash(words: np.ndarray, bounds: np.ndarray, n: np.ndarray) -> np.ndarray:
     """A fingerprint of each sequence of shingles."""
     place = mix(np.arange(len(words), dtype=np.uint64) - np.repeat(bounds[:-1], np.diff(bounds)).astype(np.uint64))
@@ -117,8 +118,54 @@ def distinct(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.bincount(o[new], minlength=len(bounds) - 1)
 
 
+def units(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and number of words of the units of some texts (words ``h``, text i from ``bounds[i]``)."""
+    none = np.iinfo(np.uint64).max
+    pair = np.full(len(h), none)
+    pair[:-1] = mix(chain(h[:-1], h[1:]))
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    pair[bounds[1:][np.diff(bounds) > 0] - 1] = none  # the last word of a text has no pair
+    place = np.arange(len(h)) + (text + 1) * REACH
+    wide = np.full(len(h) + (len(bounds) + 1) * REACH, none)
+    wide[place] = pair
+    before, behind = np.full(len(h), none), np.full(len(h), none)
+    for j in range(1, REACH + 1):
+        before, behind = np.minimum(before, wide[place - j]), np.minimum(behind, wide[place + j])
+    begin = np.union1d(np.flatnonzero((pair < before) & (pair <= behind)), bounds[:-1][np.diff(bounds) > 0])
+    return begin, np.diff(np.append(begin, len(h)))
+
+
+def copies_of(e: dict) -> tuple[np.ndarray, dict]:
+    """Of equal units: which entries come first, and all other places with where they come from."""
+    order = np.lexsort((e["at"], e["tkey"], e["doc"], e["node"]))
+    s = {k: v[order] for k, v in e.items()}
+    first = np.ones(len(order), bool)
+    first[1:] = s["node"][1:] != s["node"][:-1]
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(order) else order
+    # The same place again is a repeated row, not a copy.
+    other = (s["doc"] != s["doc"][lead]) | (s["tkey"] != s["tkey"][lead]) | (s["at"] != s["at"][lead])
+    at, lead = np.flatnonzero(other), lead[other]
+    copies = {k: s[k][at] for k in ("doc", "tkey", "at", "n")} | {f"from_{k}": s[k][lead] for k in ("doc", "tkey", "at")}
+    return order[first], copies
+
+
+def _text_key(doc: np.ndarray, tkey: np.ndarray) -> np.ndarray:
+    return mix(doc.view(np.uint64) + mix(tkey.astype(np.uint64)))
+
+
+NAMES = ["kind", "doc_id", "tkey", "idx", "at", "words", *LISTED]
+TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+
+def _rows(kind: int, batch: dict) -> pa.RecordBatch:
+    """A batch of all columns; those not in ``batch`` are null."""
+    n = len(next(iter(batch.values())))
+    batch = {"kind": np.full(n, kind, np.int32)} | batch
+    return pa.RecordBatch.from_arrays([pa.array(batch[c], t) if c in batch else pa.nulls(n, t) for c, t in zip(NAMES, TYPES)], names=NAMES)
+
+
 def _occurrences(min_words: int, parts: int, bands: int, rows: int):
-    """kind 0: paragraphs with their nodes; kind 1: band keys of nodes new to the task."""
+    """Kind 0: paragraphs with their nodes; 1: band keys of nodes new to the task; 2: units; 3: copies of units of this task."""
     seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def keys(flat, bounds):
@@ -132,63 +179,149 @@ def _occurrences(min_words: int, parts: int, bands: int, rows: int):
 
     def run(batches):
         seen: set[int] = set()
+        held, total = [], 0
+
+        def flush():
+            e = {k: np.concatenate(c) for k, c in zip(UNIT, zip(*held))}
+            held.clear()
+            first, copies = copies_of(e)
+            out = dealt([v[first] for v in e.values()], mix(e["node"][first]), parts)
+            yield _rows(2, {"part": out.column(0), "payload": out.column(1)})
+            if len(copies["doc"]):
+                out = dealt(list(copies.values()), _text_key(copies["doc"], copies["tkey"]), parts)
+                yield _rows(3, {"part": out.column(0), "payload": out.column(1)})
+
         for batch in batches:
-            found = list(paragraphs(texts_of(batch.column(2)), min_words))
-            for part in slabs([len(f[2]) for f in found]):
-                these = found[part]
-                flat, bounds, n = shingles([f[2] for f in these], WORDS, True)
-                enough = np.flatnonzero(n >= min_words)
-                if not len(enough):
+            whole = texts_of(batch.column(2))
+            for part in slabs([len(t) for t in whole]):
+                texts = whole[part]
+                docs, tkeys = (batch.column(c).to_numpy(zero_copy_only=False)[part] for c in (0, 1))
+                starts, h, bounds = text_words(texts, True)
+                if not len(h):
                     continue
-                node = node_hash(flat, bounds, n)
-                doc = pa.array([these[i][0] for i in enough])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.zeros(len(enough), np.int32)), batch.column(0).take(doc), batch.column(1).take(doc), pa.array([these[i][1] for i in enough], pa.int32()),
-                        pa.array(node[enough].view(np.int64)), pa.array(n[enough].astype(np.int32)), pa.nulls(len(enough), pa.int32()), pa.nulls(len(enough), pa.binary()),
-                    ],
-                    names=NAMES,
-                )
+                begin, n = units(h, bounds)
+                node = node_hash(h, np.append(begin, len(h)), n)
+                some = np.flatnonzero(n >= WORDS)
+                text = np.searchsorted(bounds, begin[some], "right") - 1
+                held.append((node[some], docs[text], tkeys[text].astype("<u4"), (begin[some] - bounds[text]).astype("<u4"), n[some].astype("<u4")))
+                total += len(some)
+                if total >= 1 << 19:
+                    yield from flush()
+                    total = 0
+
+                base = np.cumsum([len(t) + 1 for t in texts]) - [len(t) + 1 for t in texts]
+                spans = [(i, j, base[i] + a, base[i] + b) for i, t in enumerate(texts) for j, (a, b) in enumerate(paragraph_spans(t, min_words))]
+                text, idx, a, b = np.array(spans, np.int64).reshape(-1, 4).T
+                first, last = np.searchsorted(starts, a), np.searchsorted(starts, b)
+                enough = last - first >= min_words
+                text, idx, first, words = text[enough], idx[enough], first[enough], (last - first)[enough]
+                if not len(text):
+                    continue
+                flat, ends = shingles_of(h, first, words, WORDS)
+                node = node_hash(flat, ends, words)
+                yield _rows(0, {"doc_id": docs[text], "tkey": tkeys[text], "idx": idx.astype(np.int32), "at": (first - bounds[text]).astype(np.int32), "words": words.astype(np.int32), "node": node.view(np.int64)})
                 new = []
-                for i in enough.tolist():
-                    if (x := int(node[i])) not in seen:
+                for i, x in enumerate(node.tolist()):
+                    if x not in seen:
                         seen.add(x)
                         new.append(i)
                 if new:
                     new = np.array(new)
-                    take = np.zeros(len(n), bool)
+                    take = np.zeros(len(node), bool)
                     take[new] = True
-                    fresh, ends = flat[np.repeat(take, np.diff(bounds))], np.concatenate(([0], np.cumsum(np.diff(bounds)[new])))
+                    fresh, ends = flat[np.repeat(take, np.diff(ends))], np.concatenate(([0], np.cumsum(np.diff(ends)[new])))
                     band, size = keys(fresh, ends).reshape(-1), distinct(fresh, ends)
-                    out = dealt([band, np.repeat(node[new].view(np.int64), bands), np.repeat(size.astype("<u4"), bands)], band, parts)
-                    m = len(out)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *out.columns], names=NAMES
-                    )
+                    entries = {"tok": band, "node": np.repeat(node[new].view(np.int64), bands), "n": np.repeat(size.astype("<u4"), bands)}
+                    for out in dealt_lists(entries, band, parts):
+                        yield _rows(1, dict(zip(LISTED, out.columns)))
+        if held:
+            yield from flush()
 
     return run
 
 
-NAMES = ["kind", "doc_id", "tkey", "idx", "node", "words", "part", "payload"]
-
-
 def _band_lists(key, table):
     """Nodes of the bands that two nodes or more have."""
-    c = gathered(table.column("payload").to_pylist(), BAND)
-    order = np.lexsort((c["node"], c["key"]))
-    k, node, n = c["key"][order], c["node"][order], c["n"][order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (node[1:] != node[:-1])
-    k, node, n = k[new], node[new], n[new]
-    start = np.ones(len(k), bool)
-    start[1:] = k[1:] != k[:-1]
-    size = np.diff(np.append(np.flatnonzero(start), len(k)))
-    many = np.repeat(size, size) > 1
-    return pa.table({"tok": k[many].view(np.int64), "node": node[many], "n": n[many].astype(np.int64)})
+    c, length, _ = lists_of(table, BAND)
+    many = length > 1
+    return pa.table({"tok": c["tok"][many].view(np.int64), "node": c["node"][many], "n": c["n"][many].astype(np.int64)})
+
+
+def _unit_copies(parts: int):
+    def run(key, table):
+        _, copies = copies_of(gathered(table.column("payload").to_pylist(), UNIT))
+        return pa.Table.from_batches([dealt(list(copies.values()), _text_key(copies["doc"], copies["tkey"]), parts)])
+
+    return run
+
+
+RUN = "doc_id long, tkey long, begin int, end int, side string, at int, from_doc long, from_tkey long, from_at int"
+
+
+def _runs(key, table):
+    """Runs of copied units, once with the place that their begin comes from (l) and once with that of their end (r)."""
+    c = gathered(table.column("payload").to_pylist(), COPY)
+    order = np.lexsort((c["at"], c["tkey"], c["doc"]))
+    c = {k: v[order].astype(np.int64) for k, v in c.items()}
+    end = c["at"] + c["n"]
+    new = np.ones(len(end), bool)
+    # A repeated row's places stand twice.
+    new[1:] = (c["doc"][1:] != c["doc"][:-1]) | (c["tkey"][1:] != c["tkey"][:-1]) | (c["at"][1:] > end[:-1])
+    a = np.flatnonzero(new)
+    z = np.append(a[1:], len(end)) - 1
+    if not len(end):
+        a = z = np.zeros(0, np.int64)
+    out = [
+        {"doc_id": c["doc"][a], "tkey": c["tkey"][a], "begin": c["at"][a], "end": end[z], "side": np.full(len(a), side), "at": at, "from_doc": c["from_doc"][i], "from_tkey": c["from_tkey"][i], "from_at": c["from_at"][i] + more}
+        for side, i, at, more in (("l", a, c["at"][a], 0), ("r", z, end[z], c["n"][z]))
+    ]
+    schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[t]) for n, t in (f.split() for f in RUN.split(", "))])
+    return pa.concat_tables([pa.table([pa.array(o[f.name].tolist(), f.type) for f in schema], schema=schema) for o in out])
+
+
+def _around(batches):
+    """Words of a text before (l, backwards) or from (r) wanted places on."""
+    for batch in batches:
+        out = []
+        for doc, tkey, text, wanted in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            _, h, _ = text_words([text.encode("utf-8", "surrogatepass")], True)
+            h = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            for w in wanted:
+                at = w["at"]
+                words = h[max(0, at - FOLLOW) : at][::-1] if w["side"] == "l" else h[at : at + FOLLOW]
+                out.append((doc, tkey, at, w["side"], words.tolist()))
+        columns = zip(*out) if out else ((),) * 5
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "tkey", "at", "side", "words"])
+
+
+def repeated_runs(ws: Workspace, docs: DataFrame, found: DataFrame, parts: int) -> DataFrame:
+    """``doc_id, tkey, begin, end``: word ranges of ``docs(doc_id, tkey, text)`` that stand earlier as well."""
+    blobs = found.filter("kind = 2").select("part", "payload").groupBy("part").applyInArrow(_unit_copies(parts), "part int, payload binary")
+    blobs = blobs.union(found.filter("kind = 3").select("part", "payload"))
+    runs = ws.save(blobs.groupBy("part").applyInArrow(_runs, RUN), "runs")
+    ends = runs.select("doc_id", "tkey", "at", "side").union(runs.select("from_doc", "from_tkey", "from_at", "side"))
+    wanted = ws.save(ends.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("at", "side")).alias("wanted")), "ends")
+    texts = having(docs, wanted).withColumn("tkey", text_key()).join(wanted, ["doc_id", "tkey"]).dropDuplicates(["doc_id", "tkey"])
+    around = texts.select("doc_id", "tkey", "text", "wanted").mapInArrow(_around, "doc_id long, tkey long, at int, side string, words array<int>")
+    around = ws.save(around, "around")
+    source = around.select(F.col("doc_id").alias("from_doc"), F.col("tkey").alias("from_tkey"), F.col("at").alias("from_at"), "side", F.col("words").alias("from_words"))
+    both = runs.join(around, ["doc_id", "tkey", "at", "side"]).join(source, ["from_doc", "from_tkey", "from_at", "side"])
+    # Up to the first word that differs (or the shorter end).
+    stop = F.array_position(F.zip_with("words", "from_words", lambda a, b: F.coalesce(a == b, F.lit(False))), False)
+    agreed = F.when(stop > 0, stop - 1).otherwise(F.size("words")).cast("int")
+    both = both.withColumn("agreed", agreed).groupBy("doc_id", "tkey", "begin", "end")
+    more = [F.max(F.when(F.col("side") == s, F.col("agreed"))) for s in ("l", "r")]
+    return both.agg(more[0].alias("l"), more[1].alias("r")).select("doc_id", "tkey", (F.col("begin") - F.col("l")).alias("begin"), (F.col("end") + F.col("r")).alias("end"))
+
+
+def text_key():
+    """A fingerprint of the text that tells texts of one doc_id apart."""
+    return F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def _fetch(min_words: int):
-    """The wanted paragraphs of each text, once for each group."""
+    """The wanted paragraphs of each text."""
 
     def run(batches):
         for batch in batches:
@@ -198,10 +331,9 @@ def _fetch(min_words: int):
                 for w in wanted:
                     if w["idx"] < len(spans):
                         a, b = spans[w["idx"]]
-                        out.append((w["hub"], w["i"], w["j"], w["node"], text[a:b]))
-            columns = zip(*out) if out else ((),) * 5
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["hub", "i", "j", "node", "text"])
+                        out.append((w["node"], text[a:b]))
+            columns = zip(*out) if out else ((),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary()))], names=["node", "text"])
 
     return run
 
@@ -215,30 +347,35 @@ def _sets_of(texts):
 
 
 def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, bands: int = BANDS, rows: int = ROWS, part_bytes: int = 8 << 20, ws: Workspace | None = None) -> DataFrame:
-    """``doc_id, tkey, removed, words_removed``: per document that loses some, the numbers of its paragraphs to go.
-
-    ``tkey`` is a fingerprint of the text, which tells texts of one doc_id
-    apart.  Earliest: smallest doc_id, then tkey, then paragraph number.
-    Equal rows are one document, so a repeated row is no copy of itself.
-    Null, empty and short texts, and rows of a null doc_id, lose nothing.
+    """``doc_id, tkey, removed, cuts, n_removed, words_removed``: per document that loses some,
+    the numbers of its paragraphs to go and the word ranges [begin, end) to cut.
+
+    ``tkey`` tells texts of one doc_id apart.  Earliest: smallest doc_id, then
+    tkey, then place.  Equal rows are one document, so a repeated row is no
+    copy of itself.  Null, empty and short texts, and rows of a null doc_id,
+    lose nothing; an empty table gives no row.  Ties cannot be: places differ.
+    Very long texts are worked through whole, one at a time.
     """
     ws = ws or Workspace(spark, "paragraphs")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
+    keyed = docs.select("doc_id", text_key().alias("tkey"), "text")
     parts = part_count(spark, docs, part_bytes)
-    schema = "kind int, doc_id long, tkey long, idx int, node long, words int, part int, payload binary"
+    schema = "kind int, doc_id long, tkey long, idx int, at int, words int, tok long, node long, n long, part int, payload binary"
     found = ws.save(keyed.mapInArrow(_occurrences(min_words, parts, bands, rows), schema), "found")
-    places = found.filter("kind = 0").select("node", "words", F.struct("doc_id", "tkey", "idx").alias("place"))
+    places = found.filter("kind = 0").select("node", "at", "words", F.struct("doc_id", "tkey", "idx").alias("place"))
     nodes = ws.save(places.groupBy("node").agg(F.min("place").alias("first"), F.max("place").alias("last")), "nodes")
 
-    blobs = found.filter("kind = 1").select("part", "payload")
-    lists = ws.save(blobs.groupBy("part").applyInArrow(_band_lists, "tok long, node long, n long"), "lists")
-    wanted = hub_groups(ws, lists, percent, F.lit(bands), lists.groupBy("node").agg(F.max("n").alias("n"))).join(nodes.select("node", "first"), "node")
-    wanted = wanted.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.tkey").alias("tkey")).agg(F.collect_list(F.struct("first.idx", "hub", "i", "j", "node")).alias("wanted"))
+    keys = found.filter("kind = 1")
+    lists = keys.filter("payload is not null").select("part", "payload").groupBy("part").applyInArrow(_band_lists, "tok long, node long, n long")
+    lists = ws.save(lists.union(keys.filter("payload is null").select("tok", "node", "n")), "lists")
+    pairs = ws.save(hub_pairs(ws, lists, percent, F.lit(bands)), "pairs")
+    wanted = pairs.select("node").union(pairs.select("hub")).distinct().join(nodes.select("node", "first"), "node")
+    wanted = wanted.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.tkey").alias("tkey")).agg(F.collect_list(F.struct("first.idx", "node")).alias("wanted"))
     wanted = ws.save(wanted, "wanted")
-    texts = having(docs, wanted).withColumn("tkey", F.xxhash64("text")).join(wanted, ["doc_id", "tkey"]).select("text", "wanted")
-    met = by_group(texts.mapInArrow(_fetch(min_words), "hub long, i int, j int, node long, text binary"))
-    links = ws.save(met.mapInArrow(compared(percent, _sets_of), "a long, b long"), "links")
+    texts = having(docs, wanted).withColumn("tkey", text_key()).join(wanted, ["doc_id", "tkey"]).select("text", "wanted")
+    texts = ws.save(texts.mapInArrow(_fetch(min_words), "node long, text binary").dropDuplicates(["node"]), "texts")
+    sizes = lists.groupBy("node").agg(F.max("n").alias("n"))
+    links = ws.save(group_links(ws, pairs, sizes, percent, lambda rows: rows.join(texts, "node"), _sets_of), "links")
     comps = ws.save(components(ws, links), "components")
 
     # Only nodes of a component or of several places can lose a paragraph.
@@ -247,29 +384,39 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80,
     keepers = ws.save(clusters.groupBy("component").agg(F.min("first").alias("kept")), "keepers")
     per_node = ws.save(clusters.join(keepers, "component").select("node", "kept"), "per-node")
     # Equal rows of one document name a place twice.
-    gone = places.join(per_node, "node").filter("place <> kept").select("place", "words").distinct()
-    gone = gone.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.tkey").alias("tkey"))
-    gone = gone.agg(F.array_sort(F.collect_list("place.idx")).alias("removed"), F.sum("words").alias("words_removed"))
-    gone = ws.save(gone, "gone")
-    ws.drop("found", "nodes", "lists", "central", "groups", "sizes", "wanted", "links", "components", "clusters", "keepers", "per-node")
-    return gone
-
-
-def _drop(names: list[str], min_words: int):
-    at_text, at_removed = names.index("text"), names.index("removed")
+    gone = places.join(per_node, "node").filter("place <> kept").select("place.*", F.col("at").alias("begin"), (F.col("at") + F.col("words")).alias("end")).distinct()
+    gone = ws.save(gone, "gone-paragraphs")
+    runs = repeated_runs(ws, docs, found, parts).filter(F.col("end") - F.col("begin") >= min_words)
+    cuts = ws.save(gone.select("doc_id", "tkey", "begin", "end").union(runs), "cuts-apart")
+
+    text = Window.partitionBy("doc_id", "tkey").orderBy("begin")
+    before = F.max("end").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    cuts = cuts.withColumn("new", F.coalesce(F.col("begin") > before, F.lit(True)).cast("int"))
+    cuts = cuts.withColumn("cut", F.sum("new").over(text.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "tkey", "cut").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    cuts = cuts.groupBy("doc_id", "tkey").agg(
+        F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("cuts"), F.count(F.lit(1)).cast("int").alias("n_removed"), F.sum(F.col("end") - F.col("begin")).cast("long").alias("words_removed")
+    )
+    removed = gone.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_list("idx")).alias("removed"))
+    out = ws.save(cuts.join(removed, ["doc_id", "tkey"], "left"), "gone")
+    ws.drop("found", "nodes", "lists", "pairs", "wanted", "texts", "links", "components", "clusters", "keepers", "per-node", "gone-paragraphs", "runs", "ends", "around", "cuts-apart", *GROUP_TABLES)
+    return out
+
+
+def _drop(names: list[str]):
+    at_text, at_cuts = names.index("text"), names.index("cuts")
 
     def run(batches):
         for batch in batches:
-            texts, lists = batch.column(at_text).to_pylist(), batch.column(at_removed).to_pylist()
-            for i, removed in enumerate(lists):
-                if removed:
+            texts, lists = batch.column(at_text).to_pylist(), batch.column(at_cuts).to_pylist()
+            for i, cuts in enumerate(lists):
+                if cuts:
                     raw = texts[i].encode("utf-8", "surrogatepass")
-                    spans, edge, kept = paragraph_spans(raw, min_words), 0, []
-                    for j in removed:
-                        a, b = spans[j]
-                        kept.append(raw[edge:a])
-                        # Of the line end before and behind the paragraph one goes with it.
-                        edge = b + (raw[b : b + 1] == b"\n")
+                    starts, edge, kept = [m.start() for m in WORD.finditer(raw)], 0, []
+                    end = len(raw.rstrip(b" \t\n\v\f\r"))
+                    for c in cuts:
+                        # The white space behind a cut goes with it.
+                        kept.append(raw[edge : starts[c["begin"]]])
+                        edge = starts[c["end"]] if c["end"] < len(starts) else end
                     kept.append(raw[edge:])
                     texts[i] = b"".join(kept).decode("utf-8", "surrogatepass")
             columns = list(batch.columns)
@@ -280,23 +427,24 @@ def _drop(names: list[str], min_words: int):
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, with_text: bool = True, ws: Workspace | None = None, **how) -> DataFrame:
-    """All rows of ``docs`` (needs doc_id, text) with repeated paragraphs cut out of ``text``,
-    plus ``removed`` (paragraph numbers), ``n_removed, words_removed``.
+    """All rows of ``docs`` (needs doc_id, text) with repeated paragraphs and passages cut out of ``text``,
+    plus ``removed`` (paragraph numbers), ``cuts`` (word ranges), ``n_removed`` (their number), ``words_removed``.
 
     Without the text (``with_text=False``) no text is shuffled.  Clashing
     columns are replaced; see ``repeated_paragraphs`` for edge cases.
     """
     ws = ws or Workspace(spark, "paragraphs")
-    added = ("removed", "n_removed", "words_removed")
+    added = ("removed", "cuts", "n_removed", "words_removed")
     names = [c for c in docs.columns if c not in added]
     docs = docs.select(*names)
     gone = repeated_paragraphs(spark, docs, ws=ws, **how).withColumnsRenamed({"doc_id": "gone_id", "tkey": "gone_key"})
-    keyed = docs.select(*[c for c in names if with_text or c != "text"], F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_key"))
+    keyed = docs.select(*[c for c in names if with_text or c != "text"], F.col("doc_id").cast("long").alias("own_id"), text_key().alias("own_key"))
     rows = keyed.join(gone, (F.col("own_id") == F.col("gone_id")) & (F.col("own_key") == F.col("gone_key")), "left")
     rows = rows.drop("own_id", "own_key", "gone_id", "gone_key")
-    rows = rows.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>"))).withColumn("n_removed", F.size("removed"))
-    rows = rows.withColumn("words_removed", F.coalesce("words_removed", F.lit(0).cast("long")))
+    rows = rows.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    rows = rows.withColumn("cuts", F.coalesce("cuts", F.array().cast("array<struct<begin:int,end:int>>")))
+    rows = rows.withColumn("n_removed", F.coalesce("n_removed", F.lit(0))).withColumn("words_removed", F.coalesce("words_removed", F.lit(0).cast("long")))
     if not with_text:
         return rows
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_drop(rows.columns, how.get("min_words", MIN_WORDS)), schema)
+    return rows.mapInArrow(_drop(rows.columns), schema)

@@ -8,19 +8,23 @@ by frequency class (rare first), then by fingerprint; the class comes from a
 sketch of fixed size that counts every token of every document, so tokens of
 passages that many documents share stand last and make no lists.
 
-Index level: lists are sorted by set size and walked by (size, position): a
-partner out of size range, or at a position so different that the tokens before
-and behind it cannot make up the overlap needed, is skipped.  Pairs of short
-lists go on only if they can meet in l lists; sets in too few long lists to
-meet others there alone leave these.  Chance meetings end here.
-
-Answer level: rows of a long list are not paired with each other but put into the
-group of the list's most central set r (the one whose prefix tokens the most
-other sets share), and of further such sets until every two rows in size range
-are together in a group.  A group's sets are compared with r first.  Those that
-link with r are one component and need no answers among each other.  For the
-others, |x & y| <= min(|x & r|, |y & r|) + min(|x - r|, |y - r|) rules out most
-pairs, and only the rest are counted.  Only stars of local components leave.
+Index level: a list is sorted by set size and walked from each entry; the walk
+ends at the first partner out of size range, and partners at a position so
+different that the tokens before and behind it cannot make up the overlap
+needed are skipped.  Lists of up to ``SHORT`` entries give pairs, which go on
+only if they can meet in l lists; sets in too few long lists to meet others
+there alone leave these.  Chance meetings end here.
+
+Answer level: entries of a long list are never paired with each other.  Within
+windows of two neighbouring size classes, in one of which every two sets in
+size range are together, all are compared with the most central set r (the one
+whose prefix tokens the most other sets share).  Those that link with r are one
+component and need no answers among each other.  For a set x that does not,
+|x & y| <= min(|x & r|, |y & r|) + min(|x - r|, |y - r|) rules out most partners
+y, and only where some stay open are blocks of texts compared.
+
+A list is no single task: keys that one task meets often skip the dealing to
+parts, hubs are a partial aggregate, and their joins can be split.
 
 All sets that equal each other are one node, so copies are never paired.
 """
@@ -41,7 +45,9 @@ from .hashing import mix, shingles, slabs, texts_of
 #: The frequency sketch: counters, and rows into which they are cut on the way.
 BINS, CHUNKS = 1 << 20, 64
 #: Lists up to this length give pairs, longer ones groups.
-SHORT = 32
+SHORT = 4
+#: Entries of one key in one task from which on they go straight into the list.
+HOT = 32
 #: Members and tokens of one block of a group.
 BLOCK, BLOCK_TOKENS = 2048, 1 << 21
 LIST = {"tok": "<u8", "node": "<i8", "n": "<u4", "pos": "<u4"}
@@ -138,7 +144,7 @@ def _prefixes(k: int, percent: int, classes: np.ndarray, parts: int):
             node, n = (np.repeat(np.array([h[i] for h in held], t), size) for i, t in ((1, "<i8"), (2, "<u4")))
             pos = np.concatenate([np.arange(m, dtype="<u4") for m in size])
             held.clear()
-            return dealt([tok, node, n, pos], mix(tok), parts)
+            return dealt_lists({"tok": tok, "node": node, "n": n, "pos": pos}, mix(tok), parts)
 
         for batch in batches:
             for tokens in token_sets(texts_of(batch.column(0)), k):
@@ -156,14 +162,58 @@ def _prefixes(k: int, percent: int, classes: np.ndarray, parts: int):
                 held.append((tokens[order], node, n))
                 total += first
                 if total >= 1 << 20:
-                    yield flush()
+                    yield from flush()
                     total = 0
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
 
+def dealt_lists(entries: dict[str, np.ndarray], key: np.ndarray, parts: int):
+    """Batches ``tok, node, n, part, payload``: entries dealt into parts, those of keys that are hot here as rows.
+
+    One entry of a hot key is dealt as well, with a mark on its size, so that entries of other tasks
+    find themselves in a long list.
+    """
+    order = np.argsort(entries["tok"], kind="stable")
+    tok = entries["tok"][order]
+    start = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
+    size = np.diff(np.append(start, len(tok)))
+    hot = np.repeat(size > HOT, size)
+    deal = ~hot
+    deal[start] = True
+    pick = order[deal]
+    marked = entries | {"n": np.where(np.isin(np.arange(len(tok)), order[start[size > HOT]]), entries["n"] | MARK, entries["n"])}
+    out = dealt([c[pick] for c in marked.values()], key[pick], parts)
+    m = len(out)
+    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), *out.columns], names=LISTED)
+    pick = order[hot]
+    if m := len(pick):
+        rows = [pa.array(entries["tok"][pick].view(np.int64)), pa.array(entries["node"][pick]), pa.array(entries["n"][pick].astype(np.int64))]
+        yield pa.RecordBatch.from_arrays([*rows, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=LISTED)
+
+
+LISTED = ["tok", "node", "n", "part", "payload"]
+MARK = np.uint32(1 << 31)
+
+
+def lists_of(table: pa.Table, kind: dict[str, str]) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Entries of a part sorted by key, size and node, each node once a key; length of each one's list; whether it is marked."""
+    c = gathered(table.column("payload").to_pylist(), kind)
+    marked, c["n"] = c["n"] >= MARK, c["n"] & ~MARK
+    order = np.lexsort((~marked, c["node"], c["n"], c["tok"]))
+    c = {k: v[order] for k, v in c.items()}
+    new = np.ones(len(order), bool)
+    new[1:] = (c["tok"][1:] != c["tok"][:-1]) | (c["node"][1:] != c["node"][:-1])
+    c, marked = {k: v[new] for k, v in c.items()}, marked[order][new]
+    start = np.ones(len(marked), bool)
+    start[1:] = c["tok"][1:] != c["tok"][:-1]
+    begin = np.flatnonzero(start)
+    size = np.diff(np.append(begin, len(marked)))
+    return c, np.repeat(size, size), np.repeat(np.logical_or.reduceat(marked, begin) if len(begin) else marked, size)
+
+
 def _first(rank: np.ndarray, tokens: np.ndarray, first: int) -> np.ndarray:
     near = np.flatnonzero(rank <= np.partition(rank, first - 1)[first - 1])
     return near[np.lexsort((tokens[near], rank[near]))][:first]
@@ -179,30 +229,27 @@ def _lists(percent: int):
     """Pairs of short lists with the times they met here (tok null), and rows of long lists."""
 
     def run(key, table):
-        c = gathered(table.column("payload").to_pylist(), LIST)
-        order = np.lexsort((c["node"], c["n"], c["tok"]))
-        tok, node, n, pos = c["tok"][order], c["node"][order], c["n"][order].astype(np.int64), c["pos"][order].astype(np.int64)
-        new = np.ones(len(tok), bool)
-        new[1:] = (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])
-        tok, node, n, pos = tok[new], node[new], n[new], pos[new]
-        start = np.ones(len(tok), bool)
-        start[1:] = tok[1:] != tok[:-1]
-        size = np.diff(np.append(np.flatnonzero(start), len(tok)))
-        length = np.repeat(size, size)
+        c, length, hot = lists_of(table, LIST)
+        tok, node, n, pos = c["tok"], c["node"], c["n"].astype(np.int64), c["pos"].astype(np.int64)
         left, right, least = [], [], []
-        for d in range(1, SHORT):
-            a = np.flatnonzero(length[: max(0, len(tok) - d)] <= SHORT)
-            a = a[tok[a] == tok[a + d]]
-            a = a[reachable(n[a], pos[a], n[a + d], pos[a + d], percent)]
-            left.append(np.minimum(node[a], node[a + d])), right.append(np.maximum(node[a], node[a + d])), least.append(n[a])
-        pairs, first, times = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0, return_index=True, return_counts=True)
-        long, k = length > SHORT, len(pairs)
+        at = np.flatnonzero((length > 1) & (length <= SHORT) & ~hot)
+        step = 1
+        while len(at):
+            # All walks take a step; they end with the list or at the first set too large.
+            at = at[at + step < len(tok)]
+            at = at[(tok[at] == tok[at + step]) & (100 * n[at] >= percent * n[np.minimum(at + step, len(tok) - 1)])]
+            a = at[reachable(n[at], pos[at], n[at + step], pos[at + step], percent)]
+            left.append(np.minimum(node[a], node[a + step])), right.append(np.maximum(node[a], node[a + step])), least.append(n[a])
+            step += 1
+        none = np.zeros(0, np.int64)
+        pairs, first, times = np.unique(np.stack([np.concatenate([none, *left]), np.concatenate([none, *right])], 1), axis=0, return_index=True, return_counts=True)
+        long, k = (length > SHORT) | hot & (length > 1), len(pairs)
         m = int(long.sum())
         return pa.table(
             {
                 "tok": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(tok[long].view(np.int64))]),
                 "node": np.concatenate([pairs[:, 0], node[long]]),
-                "n": np.concatenate([np.concatenate(least)[first], n[long]]),
+                "n": np.concatenate([np.concatenate([none, *least])[first], n[long]]),
                 "other": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(m, pa.int64())]),
                 "times": pa.concat_arrays([pa.array(times.astype(np.int64)), pa.nulls(m, pa.int64())]),
             }
@@ -211,61 +258,54 @@ def _lists(percent: int):
     return run
 
 
-def _groups(percent: int):
-    """Hub and member of each group, from whole lists sorted by token."""
-
-    def groups(tok, node, n, central):
-        order = np.lexsort((node, -central, tok))
-        tok, node, n = tok[order], node[order], n[order]
-        hubs, members = [], []
-        while len(tok):
-            start = np.ones(len(tok), bool)
-            start[1:] = tok[1:] != tok[:-1]
-            hub = np.flatnonzero(start)[np.cumsum(start) - 1]
-            small, large = np.minimum(n, n[hub]), np.maximum(n, n[hub])
-            # A partner of a set in range of the hub is in range of the hub twice over.
-            near = (10000 * small >= percent * percent * large) & ~start
-            hubs.append(node[hub[near]]), members.append(node[near])
-            rest = 100 * small < percent * large
-            tok, node, n = tok[rest], node[rest], n[rest]
-        return np.unique(np.stack([np.concatenate(hubs), np.concatenate(members)], 1), axis=0)
+def overlaps(hub: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Tokens that each of some sorted sets shares with the hub."""
+    return np.array([int((hub[np.minimum(np.searchsorted(hub, s), len(hub) - 1)] == s).sum()) for s in sets], np.int64)
+
+
+def stars(percent: int, sets_of):
+    """``hub, node, n, o, linked``: every member of a group against its hub, which comes first.
+
+    Batches hold ``hub, i, node, member, text``; ``sets_of`` gives the node and
+    the set of each of some texts.  One set is held at a time: the hub's.
+    """
 
     def run(batches):
-        held = None
+        key, hub = None, None
         for batch in batches:
-            now = pa.Table.from_batches([batch])
-            held = now if held is None else pa.concat_tables([held, now])
-            tok = held.column("tok").to_numpy()
-            last = int(np.flatnonzero(tok != tok[-1]).max(initial=-1)) + 1
-            if last:
-                yield out(held.slice(0, last))
-                held = held.slice(last)
-        if held is not None and len(held):
-            yield out(held)
-
-    def out(t):
-        pairs = groups(*(t.column(c).to_numpy() for c in ("tok", "node", "n", "central")))
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["hub", "node"])
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            nodes, member = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            out = []
+            for i, (node, tokens) in enumerate(sets_of(texts_of(batch.column(4)))):
+                # Rows of an id with another text than the class's have another node.
+                if node != nodes[i]:
+                    continue
+                if not member[i]:
+                    key, hub = keys[i], tokens
+                elif keys[i] == key:
+                    o, n = int(overlaps(hub, [tokens])[0]), len(tokens)
+                    out.append((key[0], node, n, o, 100 * o >= percent * (len(hub) + n - o)))
+            columns = zip(*out) if out else ((),) * 5
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["hub", "node", "n", "o", "linked"])
 
     return run
 
 
-def group_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """A smallest member of its component for each set of a group; the first set is the hub."""
-    n = np.array([len(s) for s in sets])
-    hub = sets[0]
-    o = np.array([int((hub[np.minimum(np.searchsorted(hub, s), len(hub) - 1)] == s).sum()) for s in sets])
-    linked = 100 * o >= percent * (n[0] + n - o)
-    root = np.where(linked, 0, np.arange(len(sets)))
-    far = np.flatnonzero(~linked)
-    if not len(far):
-        return root
+def block_links(sets: list[np.ndarray], o: np.ndarray, far: np.ndarray, percent: int) -> np.ndarray:
+    """A smallest number of its component for each set of a block of a group: links of ``far`` sets with any.
+
+    ``o``: overlaps with the group's hub, which bound those of two members.
+    """
+    n, root = np.array([len(s) for s in sets]), np.arange(len(sets))
+    far = np.flatnonzero(far)
     need = needed(n[far][:, None], n[None, :], percent)
     most = np.minimum(o[far][:, None], o[None, :]) + np.minimum((n - o)[far][:, None], (n - o)[None, :])
     open_ = (most >= need) & (far[:, None] != np.arange(len(sets))[None, :])
     if not open_.any():
         return root
-    used = np.flatnonzero(open_.any(0) | np.isin(np.arange(len(sets)), far[open_.any(1)]))
+    some = far[open_.any(1)]
+    used = np.union1d(np.flatnonzero(open_.any(0)), some)
     at = np.full(len(sets), -1)
     at[used] = np.arange(len(used))
     tokens, column, times = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True, return_counts=True)
@@ -277,7 +317,6 @@ def group_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     row, column = row[column >= 0], column[column >= 0]
     by = np.argsort(column, kind="stable")
     row, column = row[by], column[by]
-    some = far[open_.any(1)]
     both = np.zeros((len(some), len(used)), np.float32)
     for lo in range(0, len(shared), 2048):
         a, b = np.searchsorted(column, (lo, lo + 2048))
@@ -297,70 +336,116 @@ def group_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return root
 
 
-def compared(percent: int, sets_of):
-    """Stars of the components of each group (or pair of a group's blocks), its hub first.
+def blocks(percent: int, sets_of):
+    """Stars of the components of each block of a group.
 
-    Batches hold ``hub, i, j, node, member, text``; ``sets_of`` gives the node
-    and the set of each of some texts.
+    Batches hold ``hub, i, j, node, far, o, text``.
     """
 
     def run(batches):
-        held: dict = {"key": None, "nodes": [], "sets": []}
+        held: dict = {"key": None, "rows": {}}
 
         def done():
-            if len(held["sets"]) > 1:
-                nodes = np.array(held["nodes"])
-                root = group_links(held["sets"], percent)
+            rows = list(held["rows"].items())
+            if len(rows) > 1:
+                nodes = np.array([r[0] for r in rows])
+                o, far, sets = zip(*[r[1] for r in rows])
+                root = block_links(list(sets), np.array(o), np.array(far), percent)
                 own = np.flatnonzero(root != np.arange(len(root)))
                 if len(own):
                     yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["a", "b"])
 
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
-            nodes = batch.column(3).to_pylist()
-            for i, (node, tokens) in enumerate(sets_of(texts_of(batch.column(5)))):
-                # Rows of an id with another text than the class's have another node.
+            nodes, far, o = (batch.column(c).to_pylist() for c in range(3, 6))
+            for i, (node, tokens) in enumerate(sets_of(texts_of(batch.column(6)))):
                 if node != nodes[i]:
                     continue
                 if keys[i] != held["key"]:
                     yield from done()
-                    held |= {"key": keys[i], "nodes": [], "sets": []}
-                if nodes[i] not in held["nodes"][-1:]:
-                    held["nodes"].append(nodes[i]), held["sets"].append(tokens)
+                    held |= {"key": keys[i], "rows": {}}
+                was = held["rows"].get(node)
+                held["rows"][node] = (o[i], far[i] or bool(was and was[1]), tokens)
         yield from done()
 
     return run
 
 
-def hub_groups(ws: Workspace, lists: DataFrame, percent: int, in_lists, sizes: DataFrame, pairs: DataFrame | None = None, least=1) -> DataFrame:
-    """``hub, i, j, node``: which sets are to be compared with each other, hubs included.
+def windows(percent: int):
+    """Both windows of a set of size n: two in size range (n <= m <= 100 n / percent) have one in common."""
+    size_class = F.floor(F.log(F.col("n").cast("double")) / (F.log(F.lit(100 / percent)) * 1.000000001))
+    return F.explode(F.array(size_class, size_class + 1))
+
 
-    ``sizes(node, n)`` of all sets; ``pairs(hub, node)`` are to be compared besides;
-    sets in fewer than ``least`` lists stay out of the groups of lists.
+def hub_pairs(ws: Workspace, lists: DataFrame, percent: int, in_lists, least=1) -> DataFrame:
+    """``hub, node``: which sets of lists ``lists(tok, node, n)`` are to be compared with which hub.
 
-    ``lists(tok, node, n)``; ``in_lists``: the number of lists that a set (of
-    size n) can be in, so that the share of those it is in tells how central
-    it is.  Large groups are cut into blocks, (i, j) names a pair of blocks.
+    ``in_lists``: the number of lists that a set (of size n) can be in, so that
+    the share of those it is in tells how central it is; sets in fewer than
+    ``least`` stay out.  Sets in size range are in one size class or in
+    neighbouring ones, so each list has a hub for every two neighbouring classes.
     """
     stats = lists.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
     stats = ws.save(stats.filter(F.col("c") >= least).select("node", (F.col("c") / in_lists).alias("central")), "central")
-    rows = lists.join(stats, "node").repartition("tok").sortWithinPartitions("tok")
-    groups = rows.mapInArrow(_groups(percent), "hub long, node long")
-    groups = ws.save((groups.union(pairs) if pairs is not None else groups).distinct(), "groups")
-    most = F.least(F.lit(BLOCK), F.greatest(F.lit(8), F.floor(F.lit(BLOCK_TOKENS) / F.col("n"))))
-    blocks = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).join(sizes.select(F.col("node").alias("hub"), "n"), "hub")
-    sizes = ws.save(blocks.select("hub", F.ceil(F.col("m") / most).cast("int").alias("blocks")), "sizes")
-    upto = F.sequence(F.lit(0), F.col("blocks") - 1)
-    member = groups.join(sizes, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(upto))
-    member = member.select("hub", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node")
-    own = sizes.withColumn("i", F.explode(upto)).withColumn("j", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)))
-    return member.union(own.select("hub", "i", "j", F.col("hub").alias("node")))
+    rows = lists.join(stats, "node").withColumn("w", windows(percent)).select("tok", "w", "node", "n", "central")
+    rows = ws.save(rows, "list-rows")
+    hubs = rows.groupBy("tok", "w").agg(F.max(F.struct("central", "node", "n")).alias("h"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    hubs = ws.save(hubs.filter("lo <> hi").select("tok", "w", F.col("h.node").alias("hub")), "hubs")
+    return rows.join(hubs, ["tok", "w"]).filter("node <> hub").select("hub", "node").distinct()
 
 
-def by_group(texts: DataFrame) -> DataFrame:
-    """``hub, i, j, node, text`` rows with each group together and its hub first."""
-    texts = texts.select("hub", "i", "j", "node", (F.col("hub") != F.col("node")).alias("member"), "text")
-    return texts.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "member", "node")
+#: Tables that a comparison of groups leaves.
+GROUP_TABLES = ("central", "list-rows", "hubs", "groups", "group-sizes", "star-members", "stars", "bounds", "open", "block-sizes", "block-members", "block-links")
+
+
+def group_links(ws: Workspace, pairs: DataFrame, sizes: DataFrame, percent: int, fetch, sets_of) -> DataFrame:
+    """Links ``a, b`` that say which members of groups ``pairs(hub, node)`` are in one component.
+
+    ``sizes(node, n)`` of all sets; ``fetch`` adds a column ``text`` to rows
+    with a column ``node``.  Each member travels to its hub once (hubs of
+    large groups to several tasks); those that do not link with it meet in
+    blocks whatever its overlap with both does not rule out.
+    """
+    pairs = ws.save(pairs, "groups")
+    few = F.greatest(F.lit(8), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_TOKENS) / F.col("n"))))
+    counts = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).join(sizes.select(F.col("node").alias("hub"), "n"), "hub")
+    counts = ws.save(counts.select("hub", F.ceil(F.col("m") / few).cast("int").alias("parts")), "group-sizes")
+    member = pairs.join(counts, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("i"), "node")
+    own = counts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("hub").alias("node"))
+    texts = fetch(ws.save(member.union(own), "star-members"))
+    texts = texts.select("hub", "i", "node", (F.col("hub") != F.col("node")).alias("member"), "text")
+    texts = texts.repartition("hub", "i").sortWithinPartitions("hub", "i", "member", "node")
+    star = ws.save(texts.mapInArrow(stars(percent, sets_of), "hub long, node long, n long, o long, linked boolean"), "stars")
+    links = star.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+
+    # Partners of sets that are far from their hub, in windows of two size classes.
+    rows = star.withColumn("r", F.col("n") - F.col("o")).withColumn("w", windows(percent))
+    most = [f(F.when(c, F.col(v))).alias(f"{p}_{v}") for p, c in (("far", ~F.col("linked")), ("any", F.lit(True))) for v, f in (("o", F.max), ("r", F.max), ("n", F.min))]
+    bounds = rows.groupBy("hub", "w").agg(*most, F.count(F.lit(1)).alias("m"), F.count_if(~F.col("linked")).alias("f")).filter("f > 0 and m > 1")
+    bounds = ws.save(bounds, "bounds")
+
+    def open_with(p):
+        best = F.least("o", f"{p}_o") + F.least("r", f"{p}_r")
+        return best * (100 + percent) >= percent * (F.col("n") + F.col(f"{p}_n"))
+
+    rows = rows.join(bounds, ["hub", "w"]).filter(open_with("far") | ~F.col("linked") & open_with("any"))
+    rows = ws.save(rows.select("hub", "w", "node", "n", "o", (~F.col("linked") & open_with("any")).alias("far")), "open")
+    if rows.isEmpty():
+        ws.drop("open")
+        return links
+    few = F.greatest(F.lit(8), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_TOKENS) / F.max("n"))))
+    dealt_ = rows.groupBy("hub", "w").agg(F.ceil(F.count_if("far") / few).cast("int").alias("fars"), F.ceil(F.count(F.lit(1)) / few).cast("int").alias("parts")).filter("fars > 0")
+    rows = rows.join(ws.save(dealt_, "block-sizes"), ["hub", "w"])
+    slot = lambda by, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(by)).cast("int")
+    every = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
+    side = rows.withColumn("i", every("fars")).withColumn("j", slot("parts", 1)).withColumn("far", F.lit(False))
+    far = rows.filter("far").withColumn("i", slot("fars", 2)).withColumn("j", every("parts"))
+    key = F.struct("hub", "w")
+    met = side.unionByName(far).groupBy(key.alias("key"), "i", "j", "node").agg(F.max("far").alias("far"), F.max("o").alias("o"))
+    met = ws.save(met.select(F.xxhash64("key").alias("group"), "i", "j", "node", "far", "o"), "block-members")
+    texts = fetch(met).select("group", "i", "j", "node", "far", "o", "text").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
+    more = ws.save(texts.mapInArrow(blocks(percent, sets_of), "a long, b long"), "block-links")
+    return links.union(more)
 
 
 def similar_sets(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int = 85, part_bytes: int = 8 << 20, ws: Workspace | None = None) -> DataFrame:
@@ -382,31 +467,36 @@ def similar_sets(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int
     classes = ws.save(documents.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
     frequent = frequency_classes(profile)
     parts = part_count(spark, docs, part_bytes)
-    blobs = docs.filter("doc_id is not null").select("text").mapInArrow(_prefixes(k, percent, frequent, parts), "part int, payload binary")
-    lists = ws.save(blobs.groupBy("part").applyInArrow(_lists(percent), "tok long, node long, n long, other long, times long"), "lists")
+    listed = "tok long, node long, n long, part int, payload binary"
+    found = ws.save(docs.filter("doc_id is not null").select("text").mapInArrow(_prefixes(k, percent, frequent, parts), listed), "prefixes")
+    lists = found.filter("payload is not null").select("part", "payload").groupBy("part").applyInArrow(_lists(percent), "tok long, node long, n long, other long, times long")
+    lists = ws.save(lists, "lists")
     pairs = lists.filter("tok is null").groupBy("node", "other").agg(F.sum("times").alias("times"), F.min("n").alias("n"))
-    long = lists.filter("tok is not null").select("tok", "node", "n")
+    long = lists.filter("tok is not null").select("tok", "node", "n").union(found.filter("payload is null").select("tok", "node", "n"))
     # A pair may meet in long lists too, at most in as many as either set is in.
+    # An entry of a hot key may count twice, which only lets more pairs through.
     count = ws.save(long.groupBy("node").agg(F.count(F.lit(1)).alias("c")), "long-lists")
     for side in ("node", "other"):
         pairs = pairs.join(count.select(F.col("node").alias(side), F.col("c").alias(f"{side}_c")), side, "left")
     more = F.least(*[F.coalesce(f"{side}_c", F.lit(0)) for side in ("node", "other")])
     pairs = pairs.filter(F.col("times") + more >= 1 + F.floor(F.col("n") / 20)).select(F.col("node").alias("hub"), F.col("other").alias("node"))
     in_lists = F.col("n") * (100 - percent) / 100 + 1 + F.floor(F.col("n") / 20)
-    wanted = hub_groups(ws, long, percent, in_lists, classes.select("node", "n"), pairs, 1 + F.floor(F.col("n") * percent / 100 / 20))
-    wanted = ws.save(wanted.join(classes.select("node", F.col("rep").alias("doc_id")), "node"), "wanted")
-    texts = by_group(having(docs, wanted.select("doc_id")).join(wanted, "doc_id"))
+    pairs = pairs.union(hub_pairs(ws, long, percent, in_lists, 1 + F.floor(F.col("n") * percent / 100 / 20))).distinct()
+
+    def fetch(wanted):
+        wanted = wanted.join(classes.select("node", F.col("rep").alias("doc_id")), "node")
+        return having(docs, wanted.select("doc_id")).join(wanted, "doc_id")
 
     def sets_of(batch):
         for tokens in token_sets(batch, k):
             yield node_of(tokens), tokens
 
-    links = ws.save(texts.mapInArrow(compared(percent, sets_of), "a long, b long"), "links")
+    links = group_links(ws, pairs, classes.select("node", "n"), percent, fetch, sets_of)
     comps = components(ws, links)
 
     per_node = ws.save(classes.join(comps, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")), "per-node")
     smallest = ws.save(per_node.groupBy("component").agg(F.min("rep").alias("component_id")), "smallest")
     per_node = ws.save(per_node.join(smallest, "component").select("node", "component_id"), "named")
-    ws.drop("lists", "long-lists", "central", "groups", "sizes", "wanted", "links", "classes", "per-node", "smallest")
+    ws.drop("prefixes", "lists", "long-lists", "classes", "per-node", "smallest", *GROUP_TABLES)
     out = documents.withColumn("on", F.when(F.col("doc_id").isNotNull(), F.col("node"))).join(per_node.withColumnRenamed("node", "on"), "on", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
