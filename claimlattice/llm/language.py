@@ -25,25 +25,29 @@ def normal(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(PLAIN).split())
 
 
-def learn(labelled: DataFrame, per_language: int = 200, chars: int = 2000, size: int = 1 << 16) -> dict[str, bytes]:
+def learn(labelled: DataFrame, per_language: int = 200, size: int = 1 << 16) -> dict[str, bytes]:
     """A raw-content dictionary for each non-null ``lang`` of ``labelled(doc_id, text, lang)``.
 
     A bounded sample: of each language the ``per_language`` rows with the
-    least hash of doc_id, ``chars`` characters of each, ``size`` bytes in all.
+    least hash of doc_id (then of text), repeated rows once, each with an
+    equal share of the ``size`` characters, from a place of its whole text
+    that a hash picks.  What reaches the driver is at most ``size`` characters
+    a language.  Without rows there is no dictionary.
     """
-    rows = labelled.filter("lang is not null and text is not null and text <> ''").withColumn("h", F.xxhash64("doc_id", F.lit(7)))
-    first = Window.partitionBy("lang").orderBy("h")
-    least = rows.select("lang", "h").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= per_language)
-    least = least.groupBy("lang").agg(F.max("h").alias("h")).collect()
-    if not least:
-        return {}
-    chosen = F.lit(False)
-    for x in least:
-        chosen |= (F.col("lang") == x["lang"]) & (F.col("h") <= x["h"])
-    texts: dict[str, list] = {}
-    for x in rows.filter(chosen).select("lang", "h", F.substring("text", 1, chars).alias("t")).collect():
-        texts.setdefault(x["lang"], []).append((x["h"], x["t"]))
-    return {lang: b" ".join(normal(t) for _, t in sorted(ts)[:per_language])[-size:] for lang, ts in sorted(texts.items())}
+    rows = labelled.filter("lang is not null and text is not null and text <> ''").select("lang", F.xxhash64("doc_id", F.lit(7)).alias("h"), F.xxhash64("text").alias("t"), "text")
+    order = Window.partitionBy("lang").orderBy("h", "t")
+    # Hashes alone are ranked; repeated rows are of one rank, of which one row stays.
+    least = rows.select("lang", "h", "t").withColumn("nth", F.dense_rank().over(order)).filter(F.col("nth") <= per_language)
+    least = least.groupBy("lang", "h", "t").agg(F.min("nth").alias("nth"))
+    share = F.ceil(F.lit(size) / F.count(F.lit(1)).over(Window.partitionBy("lang"))).cast("int")
+    least = least.withColumn("share", share)
+    room = F.greatest(F.length("text") - F.col("share"), F.lit(0)) + 1
+    place = (F.pmod(F.xxhash64("h", "t"), room) + 1).cast("int")
+    chosen = rows.join(F.broadcast(least), ["lang", "h", "t"]).select("lang", "nth", F.substring("text", place, F.col("share")).alias("text"))
+    texts: dict[str, dict] = {}
+    for x in chosen.groupBy("lang", "nth").agg(F.min("text").alias("text")).collect():
+        texts.setdefault(x["lang"], {})[x["nth"]] = x["text"]
+    return {lang: b" ".join(normal(t) for _, t in sorted(ts.items()))[:size] for lang, ts in sorted(texts.items())}
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = 3, block: int = 4096, margin: float = 0.01, with_text: bool = True) -> DataFrame:
@@ -54,7 +58,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = 3, bl
     was learned.  ``score`` weighs the winner against the others, halving an
     other's weight with each byte that it needs more.  ``rejected``: the
     runner-up is within ``margin``, or und.  Ties go to the first language in
-    order of code point.  Every block of a text counts, however long.
+    order of code point.  Every block of a text counts, however long; repeated
+    rows are each judged alike, and an empty table gives no row.
     """
     added = ("lang_pred", "score", "rejected")
     keep = [c for c in docs.columns if c not in added]
