@@ -374,8 +374,7 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80,
     wanted = ws.save(wanted, "wanted")
     texts = having(docs, wanted).withColumn("tkey", text_key()).join(wanted, ["doc_id", "tkey"]).select("text", "wanted")
     texts = ws.save(texts.mapInArrow(_fetch(min_words), "node long, text binary").dropDuplicates(["node"]), "texts")
-    sizes = lists.groupBy("node").agg(F.max("n").alias("n"))
-    links = ws.save(group_links(ws, pairs, sizes, percent, lambda rows: rows.join(texts, "node"), _sets_of), "links")
+    links = ws.save(group_links(ws, pairs, percent, lambda rows: rows.join(texts, "node"), _sets_of), "links")
     comps = ws.save(components(ws, links), "components")
 
     # Only nodes of a component or of several places can lose a paragraph.

@@ -50,6 +50,8 @@ SHORT = 4
 HOT = 32
 #: Members and tokens of one block of a group.
 BLOCK, BLOCK_TOKENS = 2048, 1 << 21
+#: Members that one task compares with a hub; a larger group goes to several.
+STAR = 256
 LIST = {"tok": "<u8", "node": "<i8", "n": "<u4", "pos": "<u4"}
 
 
@@ -398,18 +400,16 @@ def hub_pairs(ws: Workspace, lists: DataFrame, percent: int, in_lists, least=1)
 GROUP_TABLES = ("central", "list-rows", "hubs", "groups", "group-sizes", "star-members", "stars", "bounds", "open", "block-sizes", "block-members", "block-links")
 
 
-def group_links(ws: Workspace, pairs: DataFrame, sizes: DataFrame, percent: int, fetch, sets_of) -> DataFrame:
+def group_links(ws: Workspace, pairs: DataFrame, percent: int, fetch, sets_of) -> DataFrame:
     """Links ``a, b`` that say which members of groups ``pairs(hub, node)`` are in one component.
 
-    ``sizes(node, n)`` of all sets; ``fetch`` adds a column ``text`` to rows
-    with a column ``node``.  Each member travels to its hub once (hubs of
+    ``fetch`` adds a column ``text`` to rows with a column ``node``.  Each member travels to its hub once (hubs of
     large groups to several tasks); those that do not link with it meet in
     blocks whatever its overlap with both does not rule out.
     """
     pairs = ws.save(pairs, "groups")
-    few = F.greatest(F.lit(8), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_TOKENS) / F.col("n"))))
-    counts = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).join(sizes.select(F.col("node").alias("hub"), "n"), "hub")
-    counts = ws.save(counts.select("hub", F.ceil(F.col("m") / few).cast("int").alias("parts")), "group-sizes")
+    counts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
+    counts = ws.save(counts, "group-sizes")
     member = pairs.join(counts, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("i"), "node")
     own = counts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("hub").alias("node"))
     texts = fetch(ws.save(member.union(own), "star-members"))
@@ -491,7 +491,7 @@ def similar_sets(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int
         for tokens in token_sets(batch, k):
             yield node_of(tokens), tokens
 
-    links = group_links(ws, pairs, classes.select("node", "n"), percent, fetch, sets_of)
+    links = group_links(ws, pairs, percent, fetch, sets_of)
     comps = components(ws, links)
 
     per_node = ws.save(classes.join(comps, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")), "per-node")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,16 +11,16 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, components
 
-#: Candidates in a block of sorted lists, queries bounded together, shares of the lists read in turn.
-BLOCK, QUERIES, DEPTHS = 4096, 256, (1 / 16, 1 / 4, 1 / 2)
+#: Candidates in a block of sorted lists; shares of the lists read in turn; survivors that are resolved at once.
+BLOCK, DEPTHS, FEW = 8192, (1 / 8, 1 / 4, 1 / 2, 1), 64
+#: Scores between blocks are decimals of 38 digits, results are longs: both stop at their ends.
+MOST, LONG = 10**38 - 1, 2**63
 
 
 def sound(df: DataFrame) -> DataFrame:
-    """Rows whose ``embedding`` is of finite components and of the commonest length (ties: shorter)."""
+    """Rows whose ``embedding`` is of finite components, with their number ``dims``."""
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = df.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & whole)
-    size = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.filter(F.size("embedding") == (size["d"] if size else 0)).withColumn("dims", F.lit(size["d"] if size else 0))
+    return df.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & whole).withColumn("dims", F.size("embedding"))
 
 
 def matrix(column) -> np.ndarray:
@@ -27,118 +29,143 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def read_lists(vec_ids: np.ndarray, values: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> np.ndarray:
-    """Which (query, row) pairs can still be among the query's k best.
-
-    For every dimension the block has one list sorted by value; a query reads
-    it from the end that its weight favours.  After each depth a row's score
-    lies between bounds made of what was read of it, the last value read and
-    the list's far end.  Rows whose upper bound is under the k-th best lower
-    bound (or ``floor``, the k-th best of earlier blocks) are out.  Of the rows of one
-    vec_id only the best lower bound counts, so repeated rows raise no bar.
-    """
-    n = len(values)
-    by_id = np.argsort(vec_ids, kind="stable")
-    begin = np.flatnonzero(np.concatenate(([True], vec_ids[by_id[1:]] != vec_ids[by_id[:-1]])))
-    order = np.argsort(values, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    both = np.hstack([up, down])
-    low, high = values.min(0), values.max(0)
-    alive = np.ones((len(queries), n), bool)
-    for depth in DEPTHS:
-        t = max(1, int(n * depth))
-        top, bottom = rank >= n - t, rank < t
-        read = both @ np.hstack([values * top, values * bottom]).T
-        unread = np.hstack([~top, ~bottom]).T.astype(float)
-        last = np.hstack([np.take_along_axis(values, order[[n - t]], 0)[0], np.take_along_axis(values, order[[t - 1]], 0)[0]])
-        upper = read + (both * last) @ unread
-        lower = read + (both * np.hstack([low, high])) @ unread
-        m = len(begin)
-        if m < n:
-            lower = np.maximum.reduceat(lower[:, by_id], begin, axis=1)
-        bar = floor if m < k else np.maximum(floor, np.partition(lower, m - k, axis=1)[:, m - k])
-        alive &= upper >= bar[:, None]
-        if alive.sum() <= 2 * k * len(queries):
-            break
-    return alive
-
-
-def top_k(spark: SparkSession, vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, group: int = 4096, ws: Workspace | None = None) -> DataFrame:
+class Lists:
+    """The rows of a block in one list for each dimension, sorted by value, and the norms of the rows."""
+
+    def __init__(self, vec_ids: np.ndarray, values: np.ndarray):
+        self.ids, self.values = vec_ids, values
+        self.order = np.argsort(values.T, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(values.T, self.order, axis=1)
+        self.norms = (values**2).sum(1)
+        self.peak = np.abs(values).max(initial=0)
+        #: Entries read and rows resolved so far.
+        self.read = self.resolved = 0
+
+    def best(self, query_id: int, w: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """The k best (score, vec_id) for a query, ties to the smaller vec_id.
+
+        Every list is read from the end that its weight favours, those of
+        great weight deeper.  Of a row, the entries read give a part of its
+        score; the rest lies between what the lists' fronts and far ends
+        allow, and within the product of the norms of what is unread of row
+        and query.  A row stays while its upper bound reaches the k-th best
+        lower bound.  What was never read is an outsider with nothing but the
+        fronts' bound, so reading ends when no outsider can qualify and few rows are left.
+        """
+        if self.peak * np.abs(w).max() * len(w) >= 2**53:
+            return self.exact(query_id, w, k)
+        n, size = self.values.shape
+        alive = np.flatnonzero(self.ids != query_id)
+        part, rest_w, rest_x = np.zeros(n), np.full(n, w @ w), self.norms.copy()
+        open_ = np.ones((size, n), np.float32)
+        used = np.argsort(-np.abs(w), kind="stable")[: np.count_nonzero(w)]
+        share = np.abs(w) / max(np.median(np.abs(w[used])), 1e-300) if len(used) else w
+        done = np.zeros(size, int)
+        far = np.where(w > 0, self.sorted[:, 0], self.sorted[:, -1]) * w
+        slack = 1e-5 * (np.sqrt(self.norms * (w @ w)) + np.abs(w).sum() * self.peak) + 1e-9
+        for depth in DEPTHS:
+            if depth == 1:
+                # The lists are read to their ends, which leaves nothing open.
+                self.read += n * len(used) - done.sum()
+                part[alive] = self.values[alive] @ w
+                bar = self.bar(alive, part[alive], k)
+                alive = alive[part[alive] >= bar]
+                break
+            front = np.zeros(size)
+            for j in used:
+                upto = min(n, max(int(done[j]) + 1, int(np.ceil(n * depth * share[j]))))
+                step = slice(done[j], upto) if w[j] < 0 else slice(n - upto, n - done[j])
+                rows, x = self.order[j, step], self.sorted[j, step]
+                part[rows] += w[j] * x
+                rest_w[rows] -= w[j] ** 2
+                rest_x[rows] -= x * x
+                open_[j, rows] = 0
+                self.read += len(rows)
+                done[j] = upto
+                front[j] = self.sorted[j, upto - 1 if w[j] < 0 else n - upto]
+            unread = np.sqrt(np.maximum(0, rest_w[alive]) * np.maximum(0, rest_x[alive]))
+            between = np.stack([w * front, far]).astype(np.float32) @ open_
+            upper = part[alive] + np.minimum(between[0, alive], unread) + slack[alive]
+            lower = part[alive] + np.maximum(between[1, alive], -unread) - slack[alive]
+            alive = alive[upper >= self.bar(alive, lower, k)]
+            if len(alive) <= FEW:
+                break
+        self.resolved += len(alive)
+        return self.first([int(s) for s in self.values[alive] @ w], alive, k)
+
+    def bar(self, rows: np.ndarray, lower: np.ndarray, k: int) -> float:
+        """The k-th best lower bound; of several rows of one vec_id the best counts."""
+        ids, at = np.unique(self.ids[rows], return_inverse=True)
+        if len(ids) < k:
+            return -np.inf
+        if len(ids) < len(rows):
+            each = np.full(len(ids), -np.inf)
+            np.maximum.at(each, at, lower)
+            lower = each
+        return np.partition(lower, len(lower) - k)[len(lower) - k]
+
+    def exact(self, query_id: int, w: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """Products too large for doubles, row by row in integers of any size."""
+        q, rows = [int(x) for x in w], np.flatnonzero(self.ids != query_id)
+        return self.first([max(-MOST, min(MOST, sum(a * int(b) for a, b in zip(q, self.values[r])))) for r in rows], rows, k)
+
+    def first(self, scores: list[int], rows: np.ndarray, k: int) -> list[tuple[int, int]]:
+        return sorted({(s, int(self.ids[r])) for s, r in zip(scores, rows)}, key=lambda x: (-x[0], x[1]))[:k]
+
+
+def top_k(spark: SparkSession, vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, block: int | None = None, ws: Workspace | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k greatest inner products of each query.
 
     ``vectors(vec_id, embedding)``; components become floor(scale * x).
     Queries are the rows whose vec_id ``every`` divides, candidates all rows
-    of another vec_id; ties go to the smaller vec_id.  Null vectors, vectors
-    with null or non-finite components or of another length take no part, nor
-    do null vec_ids.  Rows that repeat an id and a vector count once.  Queries
-    travel in groups of about ``group``, so what a task holds is bounded; each
-    group reads the candidates once, in blocks.
+    of another vec_id and as many components; ties go to the smaller vec_id.
+    Null and empty vectors, vectors with null or non-finite components and
+    null vec_ids take no part; other columns are left out.  Rows that repeat
+    an id and a vector count once.  Scores are exact integers; those beyond a
+    long stop at its ends.  An empty table gives no row.
+
+    Candidates are dealt into blocks of about ``block`` rows (``BLOCK``); queries travel
+    to every block as rows, so no task or driver holds more than a block.
     """
     ws = ws or Workspace(spark, "top-k")
     rows = sound(vectors.select("vec_id", "embedding").filter("vec_id is not null"))
-    asked = ws.save(rows.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding").distinct(), "queries")
-    groups = -(-asked.count() // group)
-    schema = "query_id long, vec_id long, score long"
-    found = spark.createDataFrame([], schema)
-    for g in range(groups):
-        part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g).orderBy("vec_id").collect()
-        if part:
-            ids = np.array([r["vec_id"] for r in part], np.int64)
-            weights = np.floor(scale * np.array([r["embedding"] for r in part], np.float64))
-            found = found.union(rows.select("vec_id", "embedding").mapInArrow(_search(ids, weights, k, scale), schema))
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "dims", F.transform("embedding", lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("double")).alias("v")).distinct()
+    rows = ws.save(rows, "vectors")
+    blocks = max(1, -(-rows.count() // (block or BLOCK)))
+    candidates = rows.select("dims", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "vec_id", "v")
+    asked = rows.filter(F.col("vec_id") % every == 0).select("dims", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "vec_id", "v")
+    met = candidates.union(asked).repartition("dims", "block").sortWithinPartitions("dims", "block", "asks")
+    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score decimal(38,0)")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return found.select("query_id", "rank", "vec_id", "score")
+    limit = [F.lit(str(x)).cast("decimal(38,0)") for x in (-LONG, LONG - 1)]
+    return found.select("query_id", "rank", "vec_id", F.greatest(F.least("score", limit[1]), limit[0]).cast("long").alias("score"))
 
 
-def _search(ids: np.ndarray, weights: np.ndarray, k: int, scale: float):
+def _search(k: int):
+    """Batches ``dims, block, asks, vec_id, v``: a block's candidates come before its queries."""
+
     def search(batches):
-        best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
-        floor = np.full(len(ids), -np.inf)
-
-        def block(vec_ids, values):
-            if np.abs(values).max() * np.abs(weights).max() * values.shape[1] >= 2**53:
-                raise OverflowError("inner products beyond 2^53 are not exact here")
-            for lo in range(0, len(ids), QUERIES):
-                part = slice(lo, min(lo + QUERIES, len(ids)))
-                # One more than k: a query's own row is no candidate.
-                q, c = np.nonzero(read_lists(vec_ids, values, weights[part], floor[part], k + 1))
-                q += lo
-                other = ids[q] != vec_ids[c]
-                q, c = q[other], c[other]
-                scores = np.einsum("ij,ij->i", weights[q], values[c]) if len(q) < 1 << 18 else np.concatenate([np.einsum("ij,ij->i", weights[a], values[b]) for a, b in zip(np.array_split(q, 1 + len(q) // (1 << 18)), np.array_split(c, 1 + len(q) // (1 << 18)))])
-                at = np.searchsorted(q, np.arange(lo, part.stop + 1))
-                for i in range(lo, part.stop):
-                    mine = slice(at[i - lo], at[i - lo + 1])
-                    if mine.start < mine.stop:
-                        s, v = np.concatenate([best[i][0], scores[mine]]), np.concatenate([best[i][1], vec_ids[c[mine]]])
-                        pick = np.lexsort((v, -s))
-                        # Repeated rows must not crowd out others.
-                        v, s = v[pick], s[pick]
-                        new = np.ones(len(v), bool)
-                        new[1:] = (v[1:] != v[:-1]) | (s[1:] != s[:-1])
-                        best[i] = (s[new][:k], v[new][:k])
-                        if len(best[i][0]) == k:
-                            floor[i] = best[i][0][-1]
-
-        held, n = [], 0
+        key, held, lists = None, [], None
         for batch in batches:
-            held.append((batch.column(0).to_numpy(zero_copy_only=False), np.floor(scale * matrix(batch.column(1)))))
-            n += len(batch)
-            while n >= BLOCK:
-                v, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                block(v[:BLOCK], x[:BLOCK])
-                held, n = [(v[BLOCK:], x[BLOCK:])], n - BLOCK
-        if n:
-            block(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-        size = [len(b[0]) for b in best]
-        if sum(size):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, size)), pa.array(np.concatenate([b[1] for b in best])), pa.array(np.concatenate([b[0] for b in best]).astype(np.int64))],
-                names=["query_id", "vec_id", "score"],
-            )
+            dims, block, asks, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            change = np.flatnonzero((np.diff(dims) != 0) | (np.diff(block) != 0) | (np.diff(asks) != 0)) + 1
+            out = []
+            for lo, hi in zip([0, *change], [*change, len(batch)]):
+                if lo == hi:
+                    continue
+                if key != (dims[lo], block[lo]):
+                    key, held, lists = (dims[lo], block[lo]), [], None
+                x = matrix(batch.column(4).slice(lo, hi - lo))
+                if not asks[lo]:
+                    held.append((ids[lo:hi], x))
+                    continue
+                if lists is None and held:
+                    lists = Lists(np.concatenate([h[0] for h in held]), np.vstack([h[1] for h in held]))
+                for query, w in zip(ids[lo:hi], x) if lists else ():
+                    out += [(int(query), v, s) for s, v in lists.best(query, w, k)]
+            q, v, s = zip(*out) if out else ((),) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array([Decimal(x) for x in s], pa.decimal128(38, 0))], names=["query_id", "vec_id", "score"])
 
     return search
 
