@@ -3,7 +3,7 @@
 import numpy as np
 
 from claimlattice.llm.paragraphs import paragraph_spans, without_repeats
-from claimlattice.llm.vectors import _search, top_k
+from claimlattice.llm.vectors import Lists, top_k
 
 RNG = np.random.default_rng(11)
 
@@ -62,17 +62,38 @@ def best_five(ids, x, query):
 
 def test_op4_repeated_rows_cut_no_others(spark):
     """A row repeated ten times, and an id of several vectors, among the queries' ids too."""
-    import pyarrow as pa
-
     x = RNG.normal(size=(300, 8))
     ids = list(range(300))
     x[7] = 3 * x[0] / np.linalg.norm(x[0]) * np.linalg.norm(x, axis=1).max()
     ids += [7] * 10 + [0] * 8 + [9] * 8
     x = np.vstack([x, np.repeat(x[7:8], 10, 0), x[0] * np.linspace(2, 3, 8)[:, None], x[7] * np.linspace(0.5, 0.9, 8)[:, None]])
-    query = np.floor(256 * x[:1])
-    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(x.tolist())], names=["vec_id", "embedding"])
-    (got,) = list(_search(np.array([0]), query, 5, 256.0)([batch]))
-    assert sorted((-s, v) for v, s in zip(got.column(1).to_pylist(), got.column(2).to_pylist())) == best_five(ids, x, 0)
+    got = Lists(np.array(ids), np.floor(256 * x)).best(0, np.floor(256 * x[0]), 5)
+    assert sorted((-s, v) for s, v in got) == best_five(ids, x, 0)
     df = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids[:310], x[:310])], "vec_id long, embedding array<double>").coalesce(1)
     rows = sorted((r["rank"], -r["score"], r["vec_id"]) for r in top_k(spark, df).collect() if r["query_id"] == 0)
     assert [r[1:] for r in rows] == best_five(ids[:310], x[:310], 0)
+
+
+def test_op4_reads_lists_and_resolves_few(sf):
+    """On sf0.1 nearly all of the lists are read (64 dimensions prune late), but few rows are resolved."""
+    import duckdb
+
+    rows = duckdb.connect().execute("SELECT vec_id, embedding FROM '/root/testdata/sf0.1/embeddings.parquet' ORDER BY vec_id").fetchall()
+    ids, x = np.array([r[0] for r in rows]), np.floor(256 * np.array([r[1] for r in rows], np.float32).astype(float))
+    lists, queries = Lists(ids, x), np.flatnonzero(ids % 50 == 0)
+    for i in queries:
+        assert sorted((-s, v) for s, v in lists.best(ids[i], x[i], 5)) == [(s, v) for s, v in best_five(list(ids), x / 256, ids[i])]
+    assert lists.resolved <= 64 * len(queries) < 0.05 * len(queries) * len(ids)
+    # Vectors with clear neighbours need less than the whole lists.
+    near = x[:1] + RNG.normal(size=(6, 64))
+    few = Lists(np.arange(2006), np.floor(np.vstack([x, near])))
+    few.best(0, x[0], 5)
+    assert few.read < 0.9 * few.values.size
+
+
+def test_op4_large_components(spark):
+    rows = [(0, [1e12, 1.0]), (1, [1e12, 2.0]), (2, [1e3, -1.0]), (3, [1e18, 0.0]), (50, [-1e12, 5.0])]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in top_k(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4).collect()}
+    f = [[int(np.floor(256 * v)) for v in x] for _, x in rows]
+    dot = lambda a, b: max(-(2**63), min(2**63 - 1, sum(p * q for p, q in zip(f[a], f[b]))))
+    assert [got[0, r] for r in (1, 2, 3, 4)] == [(3, dot(0, 3)), (1, dot(0, 1)), (2, dot(0, 2)), (50, dot(0, 4))]
