@@ -24,7 +24,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 40
 
 
-def targets(sources: DataFrame, weights, share: float, most: float) -> DataFrame:
+def running(ws: Workspace, df: DataFrame, order: list, sums: dict, name: str) -> DataFrame:
+    """``df`` plus ``place`` (from 0) in the order given and the sums of all rows before each, by range partitions.
+
+    Only one row a partition meets in a window of its own.
+    """
+    parts = ws.save(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
+    own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {"place": F.lit(1)} | sums
+    whole = parts.groupBy("part").agg(*[F.sum(x).alias(f"of_{k}") for k, x in sums.items()])
+    whole = whole.select(F.col("part").alias("at_part"), *[F.coalesce(F.sum(f"of_{k}").over(before), F.lit(0)).alias(f"to_{k}") for k in sums])
+    rows = parts.withColumns({f"in_{k}": F.coalesce(F.sum(x).over(own), F.lit(0)) for k, x in sums.items()}).join(whole, F.col("part") == F.col("at_part"))
+    return rows.select(*df.columns, *[(F.col(f"in_{k}") + F.col(f"to_{k}")).alias(k) for k in sums])
+
+
+def targets(ws: Workspace, sources: DataFrame, weights, share: float, most: float) -> DataFrame:
     """``sources(source, source_size)`` plus ``target``: water-filling under caps.
 
     Sources in order of code point, null last, take the weights in turn.  A
@@ -33,21 +48,15 @@ def targets(sources: DataFrame, weights, share: float, most: float) -> DataFrame
     target = min(cap, L * weight).
     """
     n = len(weights)
-    # One row a source: the window without partition sorts sources, not documents.
-    at = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    w = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (at % n + 1).cast("int")))
+    w = running(ws, sources, [F.col("source").asc_nulls_last()], {}, "sources")
+    w = w.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("place") % n + 1).cast("int"))).drop("place")
     w = w.withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("fills_at", F.col("cap") / F.col("weight"))
-    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    upto = Window.orderBy("fills_at", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    w = w.withColumn("budget", F.sum("source_size").over(whole) * F.lit(float(share)))
-    left = F.col("budget") - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))
-    free = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))
+    w = ws.save(running(ws, w, [F.col("fills_at"), F.col("source").asc_nulls_last()], {"caps": F.col("cap"), "weights": F.col("weight")}, "by-level"), "levels")
+    budget, weights_ = w.agg(F.sum("source_size") * F.lit(float(share)), F.sum("weight")).first()
     # If the sources that fill earlier are full, this is the level of the others.
-    w = w.withColumn("level", left / free)
-    level = F.max(F.when(F.col("level") <= F.col("fills_at"), F.col("level"))).over(whole)
-    return w.withColumn("at", level).select(
-        "source", "source_size", F.coalesce(F.least("cap", F.col("at") * F.col("weight")), F.col("cap")).alias("target")
-    )
+    level = (F.lit(budget) - F.col("caps")) / (F.lit(weights_) - F.col("weights"))
+    at = w.withColumn("level", level).agg(F.max(F.when(F.col("level") <= F.col("fills_at"), F.col("level")))).first()[0]
+    return w.select("source", "source_size", F.coalesce(F.least("cap", F.lit(at).cast("double") * F.col("weight")), F.col("cap")).alias("target"))
 
 
 def same(a, b):
@@ -101,7 +110,8 @@ def mix(spark: SparkSession, docs: DataFrame, weights=(3, 1, 2), share: float =
     have size 0, rate 0 and no copy; null sources form one source, the last;
     sizes of nothing but 0 give targets of 0.  Rows of one source and size
     differ by at most one copy; those up to some hash of doc_id get the extra
-    one, so reruns agree and rows that repeat a doc_id go together.
+    one, so reruns agree and rows that repeat a doc_id go together.  Very long
+    texts count whole; an empty table gives no row.
 
     A hot source or size is no hot task: counts are pre-aggregated, rows are
     ranked within one hash bucket of a (source, size) only, and the join with
@@ -120,7 +130,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights=(3, 1, 2), share: float =
     by_bucket = ws.save(sized.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "by-bucket")
     counts = ws.save(by_bucket.groupBy("source", "size").agg(F.sum("n").alias("n")), "counts")
     sources = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).cast("long").alias("source_size"))
-    goals = ws.save(targets(sources, weights, share, most), "goals")
+    goals = ws.save(targets(ws, sources, weights, share, most), "goals")
     duals = solve(ws, counts, goals, most)
 
     # Copies of each (source, size) class: differences of the rounded running sum of rates.

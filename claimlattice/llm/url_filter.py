@@ -53,29 +53,23 @@ def interval_ends(rules: DataFrame) -> DataFrame:
     """``under, at, past, top`` rows: behind key (under, at, past) rule ``top`` is innermost, or none.
 
     Rules of one host nest by path.  Their ends, in order, drive a stack: a
-    start pushes its rule, an end pops it.  ``past`` is 0 at a start and 2 at
-    an end, so urls (1) that start with ``at`` lie between the two.
+    start pushes its rule, an end pops it.  The stack's height is a running
+    sum, and what lies on top at height d is the last start that reached d.
+    ``past`` is 0 at a start and 2 at an end, so urls (1) that start with
+    ``at`` lie between the two.
     """
     top = F.max_by(F.struct("verdict", "host", "path"), F.when(F.col("verdict") == "block", 1).otherwise(0))
     rules = rules.groupBy(reversed_host(F.col("host")).alias("under"), F.col("path").alias("at")).agg(top.alias("rule"))
-    nothing = F.lit(None).cast("struct<verdict:string,host:string,path:string>")
     ends = F.array(
-        F.struct(F.col("at"), F.lit(0).alias("past"), F.col("rule")),
+        F.struct(F.col("at"), F.lit(0).alias("past")),
         # U+10FFFF sorts behind every character, so at + U+10FFFF ends the prefix's interval.
-        F.struct(F.concat("at", F.lit("\U0010ffff")).alias("at"), F.lit(2).alias("past"), nothing.alias("rule")),
+        F.struct(F.concat("at", F.lit("\U0010ffff")).alias("at"), F.lit(2).alias("past")),
     )
-    events = rules.select("under", F.explode(ends).alias("e")).groupBy("under").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    rule = "struct<verdict:string,host:string,path:string>"
-    swept = F.expr(
-        f"""aggregate(es,
-            named_struct('stack', cast(array() as array<{rule}>),
-                         'out', cast(array() as array<struct<at:string,past:int,top:{rule}>>)),
-            (s, e) -> transform(array(if(e.past = 0, concat(array(e.rule), s.stack), slice(s.stack, 2, size(s.stack)))),
-                stack -> named_struct('stack', stack,
-                    'out', concat(s.out, array(named_struct('at', e.at, 'past', e.past, 'top', get(stack, 0))))))[0],
-            s -> s.out)"""
-    )
-    return events.select("under", F.explode(swept).alias("x")).select("under", "x.at", "x.past", "x.top")
+    events = rules.select("under", "rule", F.explode(ends).alias("e")).select("under", "e.at", "e.past", "rule")
+    order = Window.partitionBy("under").orderBy("at", "past")
+    events = events.withColumn("height", F.sum(1 - F.col("past")).over(order))
+    opened = F.last(F.when(F.col("past") == 0, F.col("rule")), ignorenulls=True).over(Window.partitionBy("under", "height").orderBy("at", "past"))
+    return events.select("under", "at", "past", F.when(F.col("height") > 0, opened).alias("top"))
 
 
 def filter_urls(spark: SparkSession, pages: DataFrame, rules: DataFrame, default: str = "allow", ws: Workspace | None = None) -> DataFrame:
@@ -85,7 +79,7 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: DataFrame, default
     Two verdicts for one rule: block.  No rule: ``default``.  Null urls, urls
     without ``://`` and empty ones have empty host and path and fit no rule;
     repeated rows each get their verdict; empty tables give empty results.
-    Size of memory: rules of one host form one array, urls none.
+    Very long urls are keys like others.
     """
     ws = ws or Workspace(spark, "url-filter")
     host, path = split_url(F.col("url"))
@@ -105,15 +99,11 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: DataFrame, default
     events = events.repartitionByRange("under", "at", "past", "host").withColumn("part", F.spark_partition_id())
     events = ws.save(events, "events")
 
-    # What is open where a part begins: the last end before its first key.
-    firsts = events.groupBy("part").agg(F.min(F.struct("under", "at", "past")).alias("k"))
-    marks = firsts.select("part", "k.under", "k.at", "k.past", F.lit(None).cast(ends.schema["top"].dataType).alias("top"), F.lit(1).alias("kind")).unionByName(
-        ends.select(F.lit(None).cast("int").alias("part"), "under", "at", "past", "top", F.lit(0).alias("kind"))
-    )
-    end = F.struct("under", "top")
-    order = Window.orderBy("under", "at", "past", "kind", "part")
-    opened = F.last(F.when(F.col("kind") == 0, end), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    opened = marks.withColumn("opened", opened).filter("kind = 1").select("part", F.col("opened").alias("carried"))
+    # What is open where a part begins: the last end of the parts before.  One row a part.
+    of_end = lambda *c: F.when(F.col("past") != 1, F.struct(*c))
+    lasts = events.groupBy("part").agg(F.max_by(of_end("under", "top"), of_end("under", "at", "past")).alias("end"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    opened = lasts.select("part", F.last("end", ignorenulls=True).over(before).alias("carried"))
 
     sweep = Window.partitionBy("part").orderBy("under", "at", "past").rangeBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("past") != 1, F.struct("under", "top")), ignorenulls=True).over(sweep)

@@ -6,6 +6,7 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -175,45 +176,91 @@ def _search(k: int):
 #: found with p = 0.976 (0.999 at cosine 0.97).  At cosine 0 (distance 1.414) one agrees
 #: with p = 0.486, all of a table with 2.3e-6.
 TABLES, PROJECTIONS, WIDTH = 40, 18, 2.0
-#: Buckets over this many rows are compared in pairs of blocks of about as many.
-BUCKET = 512
+#: Buckets of up to SMALL rows give pairs of ids; larger ones are compared in pairs of blocks of about BUCKET rows.
+SMALL, BUCKET = 16, 512
+MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _projections(dims: int, tables: int, projections: int, width: float, seed: int):
-    rng = np.random.default_rng(seed)
-    return rng.standard_normal((dims, tables * projections)), rng.uniform(0, width, tables * projections)
+class Hashing:
+    """``codes`` of unit vectors in all tables."""
 
+    def __init__(self, tables: int, projections: int, width: float, seed: int):
+        self.tables, self.projections, self.width, self.seed, self.known = tables, projections, width, seed, {}
+
+    def codes(self, unit: np.ndarray) -> np.ndarray:
+        dims = unit.shape[1]
+        if dims not in self.known:
+            rng = np.random.default_rng(self.seed)
+            n = self.tables * self.projections
+            self.known[dims] = rng.standard_normal((dims, n)), rng.uniform(0, self.width, n)
+        a, b = self.known[dims]
+        cells = np.floor((unit @ a + b) / self.width).astype(np.int64).astype(np.uint64).reshape(len(unit), self.tables, self.projections)
+        h = np.zeros((len(unit), self.tables), np.uint64)
+        for j in range(self.projections):
+            h = (h ^ cells[:, :, j]) * MULTIPLY
+            h ^= h >> np.uint64(29)
+        return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1 (scaled first, so that no square overflows)."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _code(hashing: Hashing):
+    """``rep, t, code``: a row for each table; t tells numbers of components apart as well."""
 
-def _code(tables: int, projections: int, width: float, seed: int):
     def code(batches):
         for batch in batches:
-            x = matrix(batch.column(2))
-            unit = x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
-            a, b = _projections(x.shape[1], tables, projections, width, seed)
-            cells = np.floor((unit @ a + b) / width).astype(np.int64).astype(np.uint64).reshape(len(x), tables, projections)
-            h = np.zeros((len(x), tables), np.uint64)
-            for j in range(projections):
-                h = (h ^ cells[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            codes = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([r.tobytes() for r in unit], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(codes.reshape(-1)))],
-                names=["rep", "m", "unit", "codes"],
-            )
+            rep, dims = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for d in np.unique(dims):
+                mine = np.flatnonzero(dims == d)
+                codes = hashing.codes(units(matrix(batch.column(2).take(pa.array(mine)))))
+                t = np.tile(d * hashing.tables + np.arange(hashing.tables), len(mine)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rep[mine], hashing.tables)), pa.array(t), pa.array(codes.reshape(-1))], names=["rep", "t", "code"])
 
     return code
 
 
-def _bucket_links(least: float):
-    """Links of each (table, bucket, block pair); a pair counts in the first table where it meets."""
+def meets_large(codes_a, codes_b, large_a, tables: int) -> np.ndarray:
+    """First table in which both share a large bucket; ``tables`` if none."""
+    equal = (codes_a == codes_b) & ((large_a[:, None] >> np.arange(tables)) & 1).astype(bool)
+    return np.where(equal.any(1), equal.argmax(1), tables)
 
-    def seen_before(codes, tables, a, b):
-        equal = codes[a] == codes[b]
-        first = np.where(equal.any(1), equal.argmax(1), codes.shape[1])
-        return first < tables[a]
 
-    def compare(keys, rep, m, unit, codes, side):
+def linked(rep, links, a, b) -> pa.RecordBatch:
+    """Counts (other = rep) and edges as one batch."""
+    some = np.flatnonzero(links)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([rep[some], a])), pa.array(np.concatenate([links[some], np.zeros(len(a), np.int64)])), pa.array(np.concatenate([rep[some], b]))], names=["rep", "links", "other"]
+    )
+
+
+def _pair_links(least: float, hashing: Hashing):
+    """Links among pairs ``a, b`` of ids, but for those that a large bucket compares."""
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            a, b, m_a, m_b, large = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "m_a", "m_b", "large_a"))
+            dims = pa.compute.list_value_length(batch.column("x_a")).to_numpy(zero_copy_only=False)
+            for d in np.unique(dims):
+                mine = np.flatnonzero(dims == d)
+                x, y = (units(matrix(batch.column(c).take(pa.array(mine)))) for c in ("x_a", "x_b"))
+                new = meets_large(hashing.codes(x), hashing.codes(y), large[mine], hashing.tables) == hashing.tables
+                near = mine[new & (np.einsum("ij,ij->i", x, y) >= least)]
+                both = np.concatenate([a[near], b[near]])
+                yield linked(both, np.concatenate([m_b[near], m_a[near]]), a[near], b[near])
+
+    return run
+
+
+def _bucket_links(least: float, hashing: Hashing):
+    """Links of each (table, bucket, block pair) of large buckets; a pair counts in the first of them where it meets."""
+
+    def compare(keys, rep, m, unit, codes, large, side):
         n = len(rep)
         links = np.zeros(n, np.int64)
         edges = []
@@ -221,15 +268,14 @@ def _bucket_links(least: float):
         change[1:] = (keys[1:] != keys[:-1]).any(1)
         begin = np.flatnonzero(change)
         size = np.diff(np.append(begin, n))
-        group = np.repeat(np.arange(len(begin)), size)
-        tables = keys[:, 0]
+        tables = keys[:, 0] % hashing.tables
         mixed = keys[:, 2] != keys[:, 3]
 
         def check(a, b):
             # In a pair of different blocks only rows of different sides meet.
             ok = ~mixed[a] | (side[a] != side[b])
             a, b = a[ok], b[ok]
-            new = ~seen_before(codes, tables, a, b)
+            new = meets_large(codes[a], codes[b], large[a], hashing.tables) == tables[a]
             a, b = a[new], b[new]
             near = np.einsum("ij,ij->i", unit[a], unit[b]) >= least
             a, b = a[near], b[near]
@@ -237,14 +283,7 @@ def _bucket_links(least: float):
             np.add.at(links, b, m[a])
             return a, b
 
-        small = size <= 48
-        for d in range(1, int(size[small].max()) if small.any() else 0):
-            a = np.arange(n - d)
-            a = a[small[group[: n - d]] & (group[: n - d] == group[d:])]
-            for part in np.array_split(a, 1 + len(a) // 65536):
-                edges.append(check(part, part + d))
-        for g in np.flatnonzero(~small):
-            lo, hi = begin[g], begin[g] + size[g]
+        for lo, hi in zip(begin, begin + size):
             found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for r in range(lo, hi, 256):
                 a, b = np.nonzero(unit[r : r + 256][: hi - r] @ unit[lo:hi].T >= least - 1e-9)
@@ -253,9 +292,9 @@ def _bucket_links(least: float):
                 for pa_, pb_ in zip(np.array_split(a, 1 + len(a) // 65536), np.array_split(b, 1 + len(a) // 65536)):
                     x, y = check(pa_, pb_)
                     found[0].append(x), found[1].append(y)
-            a, b = np.concatenate(found[0]), np.concatenate(found[1])
+            a, b = np.concatenate(found[0]) - lo, np.concatenate(found[1]) - lo
             # A star per local component says as much as all its links.
-            root = np.arange(n)
+            root = np.arange(hi - lo)
             while len(a):
                 low = np.minimum(root[a], root[b])
                 before = root.copy()
@@ -263,20 +302,10 @@ def _bucket_links(least: float):
                 root = root[root]
                 if (root == before).all():
                     break
-            own = np.arange(lo, hi)
-            own = own[root[own] != own]
-            edges.append((own, root[own]))
-        a = np.concatenate([e[0] for e in edges]) if edges else np.zeros(0, np.int64)
-        b = np.concatenate([e[1] for e in edges]) if edges else np.zeros(0, np.int64)
-        some = np.flatnonzero(links)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([rep[some], rep[a]])),
-                pa.array(np.concatenate([links[some], np.zeros(len(a), np.int64)])),
-                pa.array(np.concatenate([rep[some], rep[b]])),
-            ],
-            names=["rep", "links", "other"],
-        )
+            own = np.flatnonzero(root != np.arange(hi - lo))
+            edges.append((own + lo, root[own] + lo))
+        a, b = np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges])
+        return linked(rep, links, rep[a], rep[b])
 
     def run(batches):
         held = None
@@ -286,15 +315,18 @@ def _bucket_links(least: float):
             keys = np.stack([held.column(i).to_numpy() for i in range(4)], 1)
             last = int(np.flatnonzero((keys != keys[-1]).any(1)).max(initial=-1)) + 1
             if last and len(held) >= 4096:
-                yield done(held.slice(0, last), keys[:last])
+                yield from done(held.slice(0, last), keys[:last])
                 held = held.slice(last).combine_chunks()
         if held is not None and len(held):
-            yield done(held, np.stack([held.column(i).to_numpy() for i in range(4)], 1))
+            yield from done(held, np.stack([held.column(i).to_numpy() for i in range(4)], 1))
 
     def done(t, keys):
-        unit = np.stack([np.frombuffer(x, np.float64) for x in t.column("unit").to_pylist()])
-        codes = t.column("codes").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
-        return compare(keys, t.column("rep").to_numpy(), t.column("m").to_numpy(), unit, codes, t.column("side").to_numpy())
+        dims = keys[:, 0] // hashing.tables
+        for d in np.unique(dims):
+            mine = np.flatnonzero(dims == d)
+            part = t.take(pa.array(mine))
+            unit = units(matrix(part.column("x").combine_chunks()))
+            yield compare(keys[mine], *(part.column(c).to_numpy() for c in ("rep", "m")), unit, hashing.codes(unit), *(part.column(c).to_numpy() for c in ("large", "side")))
 
     return run
 
@@ -306,33 +338,48 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.95, t
     bucket of any table are compared by exact cosine, none linked below
     ``least``.  Equal vectors are one class with a multiplicity: its rows link
     with each other and with all rows of linked classes, and no copy is ever
-    paired.  Large buckets are split into block pairs; a pair that meets in
-    several tables counts in the first; only counts, links of small buckets
-    and stars of large ones leave a task.
-
-    Null or zero vectors, and those with null or non-finite components or of
-    another length than the commonest, have 0 links and are their own
-    component.  Rows that repeat a vec_id are vectors of their own.  A null
-    vec_id has no links.
+    paired.  Buckets of few rows give pairs of ids, each pair once for all
+    tables, and only then vectors travel; large buckets are split into block
+    pairs, and a pair that meets in several of them counts in the first.
+
+    Null, empty or zero vectors and those with null or non-finite components
+    have 0 links and are their own component; vectors of different numbers of
+    components never link.  Rows that repeat a vec_id are vectors of their
+    own.  A null vec_id has no links.  Ties at ``least`` link; an empty table
+    gives no row; other columns are left out.
     """
     ws = ws or Workspace(spark, "near-vectors")
+    if tables > 62:
+        raise ValueError("at most 62 tables: a long holds a bit for each")
+    hashing = Hashing(tables, projections, width, seed)
     base = vectors.select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64("embedding", F.lit(1)).alias("h2"))
     rows = sound(base).filter(F.exists("embedding", lambda x: x != 0)).filter("vec_id is not null")
-    grouped = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("m"), F.first("embedding").alias("embedding"))
+    grouped = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("m"), F.first("dims").alias("dims"), F.first("embedding").alias("embedding"))
     # A class goes by the first hash; the smallest vec_id comes in again at the end.
     classes = ws.save(grouped.withColumn("rep", F.col("h1")), "classes")
-    coded = classes.select("rep", "m", "embedding").mapInArrow(_code(tables, projections, width, seed), "rep long, m long, unit binary, codes array<int>")
-    coded = ws.save(coded, "coded")
-    entries = coded.select("rep", F.posexplode("codes").alias("t", "code"))
+    entries = ws.save(classes.select("rep", "dims", "embedding").mapInArrow(_code(hashing), "rep long, t long, code int"), "entries")
     full = entries.groupBy("t", "code").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     full = ws.save(full.withColumn("blocks", F.ceil(F.col("c") / BUCKET).cast("int")), "buckets")
-    members = entries.join(full, ["t", "code"]).withColumn("side", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int"))
+
+    together = entries.join(full.filter(F.col("c") <= SMALL), ["t", "code"]).groupBy("t", "code").agg(F.array_sort(F.collect_list("rep")).alias("reps"))
+    pairs = F.transform(F.slice("reps", F.col("i") + 2, SMALL), lambda b: F.struct(F.get("reps", "i").alias("a"), b.alias("b")))
+    pairs = together.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("reps") - 2))).select(F.explode(pairs).alias("p")).select("p.*").distinct()
+    pairs = ws.save(pairs, "pairs")
+
+    members = entries.join(full.filter(F.col("c") > SMALL), ["t", "code"]).withColumn("side", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int"))
+    members = ws.save(members.select("rep", "t", "code", "blocks", "side"), "members")
+    large = members.groupBy("rep").agg(F.bit_or(F.expr(f"shiftleft(1L, cast(t % {tables} as int))")).alias("large"))
+    vector = classes.select("rep", "m", F.col("embedding").alias("x")).join(large, "rep", "left").withColumn("large", F.coalesce("large", F.lit(0).cast("long")))
+    vector = ws.save(vector, "vectors")
+    of = lambda s: vector.select(*[F.col(c).alias(n) for c, n in (("rep", s), ("m", f"m_{s}"), ("x", f"x_{s}"), ("large", f"large_{s}"))])
+    met = pairs.join(of("a"), "a").join(of("b").drop("large_b"), "b")
+    links = met.mapInArrow(_pair_links(least, hashing), "rep long, links long, other long")
+
     members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = ws.save(members.select("rep", "t", "code", F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "side"), "members")
-    met = members.join(coded, "rep").select("t", "code", "i", "j", "side", "rep", "m", "unit", "codes")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), members.count() // 20000)
-    met = met.repartition(parts, "t", "code", "i", "j").sortWithinPartitions("t", "code", "i", "j")
-    links = ws.save(met.mapInArrow(_bucket_links(least), "rep long, links long, other long"), "links")
+    members = members.select("rep", "t", "code", F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "side")
+    met = members.join(vector, "rep").select("t", "code", "i", "j", "side", "rep", "m", "x", "large")
+    met = met.repartition("t", "code", "i", "j").sortWithinPartitions("t", "code", "i", "j")
+    links = ws.save(links.union(met.mapInArrow(_bucket_links(least, hashing), "rep long, links long, other long")), "links")
     counts = links.filter("links > 0").groupBy("rep").agg(F.sum("links").alias("links"))
     comps = components(ws, links.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     per_class = classes.select("h1", "h2", "rep", "first", "m").join(counts, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
@@ -343,6 +390,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.95, t
     per_class = ws.save(per_class.join(smallest, "root").select("h1", "h2", "links", "component"), "named")
     linkable = F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     out = base.withColumn("linkable", linkable).drop("embedding").join(per_class, ["h1", "h2"], "left")
+    ws.drop("entries", "buckets", "pairs", "members", "vectors", "links", "per-class", "smallest", "classes")
     out = out.withColumn("links", F.when(F.col("linkable"), F.col("links"))).withColumn("component", F.when(F.col("linkable"), F.col("component")))
     component = F.coalesce("component", "vec_id")
     return out.select(
