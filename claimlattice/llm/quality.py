@@ -194,7 +194,7 @@ def gradients(judges: list[dict], forms: list[dict], models: list[np.ndarray], s
                     z = scaled(forms[v], views[v][chosen])
                     sums[v][c] += (c - chance(z @ models[v].T)).T @ z
                     counts[v, c] += int(chosen.sum())
-        yield pa.RecordBatch.from_arrays([pa.array([0, 0, 1, 1]), pa.array([0, 1, 0, 1]), pa.array(counts.reshape(-1)), pa.array([s[c].reshape(-1).tolist() for s in sums for c in (0, 1)], pa.list_(pa.float64()))], names=["view", "label", "n", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([0, 0, 1, 1], pa.int32()), pa.array([0, 1, 0, 1], pa.int32()), pa.array(counts.reshape(-1)), pa.array([s[c].reshape(-1).tolist() for s in sums for c in (0, 1)], pa.list_(pa.float64()))], names=["view", "label", "n", "sums"])
 
     return run
 
