@@ -39,6 +39,7 @@ class Lists:
         self.sorted = np.take_along_axis(values.T, self.order, axis=1)
         self.norms = (values**2).sum(1)
         self.peak = np.abs(values).max(initial=0)
+        self.distinct = len(np.unique(vec_ids)) == len(vec_ids)
         #: Entries read and rows resolved so far.
         self.read = self.resolved = 0
 
@@ -51,7 +52,9 @@ class Lists:
         allow, and within the product of the norms of what is unread of row
         and query.  A row stays while its upper bound reaches the k-th best
         lower bound.  What was never read is an outsider with nothing but the
-        fronts' bound, so reading ends when no outsider can qualify and few rows are left.
+        fronts' bound, so reading ends when no outsider can qualify and few rows
+        are left; where a quarter rules hardly any row out, the lists are read to
+        their ends next.
         """
         if self.peak * np.abs(w).max() * len(w) >= 2**53:
             return self.exact(query_id, w, k)
@@ -60,35 +63,41 @@ class Lists:
         part, rest_w, rest_x = np.zeros(n), np.full(n, w @ w), self.norms.copy()
         open_ = np.ones((size, n), np.float32)
         used = np.argsort(-np.abs(w), kind="stable")[: np.count_nonzero(w)]
-        share = np.abs(w) / max(np.median(np.abs(w[used])), 1e-300) if len(used) else w
+        if not len(used):
+            return self.first([0] * len(alive), alive, k)
+        share = np.abs(w) / np.median(np.abs(w[used]))
         done = np.zeros(size, int)
         far = np.where(w > 0, self.sorted[:, 0], self.sorted[:, -1]) * w
         slack = 1e-5 * (np.sqrt(self.norms * (w @ w)) + np.abs(w).sum() * self.peak) + 1e-9
+        idle = False
         for depth in DEPTHS:
-            if depth == 1:
+            if depth == 1 or idle:
                 # The lists are read to their ends, which leaves nothing open.
                 self.read += n * len(used) - done.sum()
-                part[alive] = self.values[alive] @ w
-                bar = self.bar(alive, part[alive], k)
-                alive = alive[part[alive] >= bar]
+                part = self.values @ w
+                alive = alive[part[alive] >= self.bar(alive, part[alive], k)]
                 break
-            front = np.zeros(size)
+            front, steps = np.zeros(size), []
             for j in used:
                 upto = min(n, max(int(done[j]) + 1, int(np.ceil(n * depth * share[j]))))
-                step = slice(done[j], upto) if w[j] < 0 else slice(n - upto, n - done[j])
-                rows, x = self.order[j, step], self.sorted[j, step]
-                part[rows] += w[j] * x
-                rest_w[rows] -= w[j] ** 2
-                rest_x[rows] -= x * x
-                open_[j, rows] = 0
-                self.read += len(rows)
+                steps.append(slice(done[j], upto) if w[j] < 0 else slice(n - upto, n - done[j]))
                 done[j] = upto
                 front[j] = self.sorted[j, upto - 1 if w[j] < 0 else n - upto]
+            rows, x = (np.concatenate([of[j, s] for j, s in zip(used, steps)]) for of in (self.order, self.sorted))
+            long = [s.stop - s.start for s in steps]
+            weight = np.repeat(w[used], long)
+            part += np.bincount(rows, weight * x, n)
+            rest_w -= np.bincount(rows, weight * weight, n)
+            rest_x -= np.bincount(rows, x * x, n)
+            open_.reshape(-1)[np.repeat(used * n, long) + rows] = 0
+            self.read += len(rows)
             unread = np.sqrt(np.maximum(0, rest_w[alive]) * np.maximum(0, rest_x[alive]))
             between = np.stack([w * front, far]).astype(np.float32) @ open_
             upper = part[alive] + np.minimum(between[0, alive], unread) + slack[alive]
             lower = part[alive] + np.maximum(between[1, alive], -unread) - slack[alive]
+            before = len(alive)
             alive = alive[upper >= self.bar(alive, lower, k)]
+            idle = depth >= 1 / 4 and 10 * len(alive) > 9 * before
             if len(alive) <= FEW:
                 break
         self.resolved += len(alive)
@@ -96,7 +105,7 @@ class Lists:
 
     def bar(self, rows: np.ndarray, lower: np.ndarray, k: int) -> float:
         """The k-th best lower bound; of several rows of one vec_id the best counts."""
-        ids, at = np.unique(self.ids[rows], return_inverse=True)
+        ids, at = (rows, None) if self.distinct else np.unique(self.ids[rows], return_inverse=True)
         if len(ids) < k:
             return -np.inf
         if len(ids) < len(rows):
