@@ -46,10 +46,13 @@ class Workspace:
         self.path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
-    def save(self, df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
-        """Writes and rereads a frame; ``parts`` merges what a shuffle has dealt out into so few tasks and files."""
+    def save(self, df: DataFrame, name: str, parts: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+        """Writes and rereads a frame; ``parts`` merges what a shuffle has dealt out into so few tasks and files.
+
+        ``by``: columns whose values become folders (``name/column=value``).
+        """
         path = f"{self.path}/{name}"
-        (df.coalesce(parts) if parts else df).write.parquet(path)
+        (df.coalesce(parts) if parts else df).write.partitionBy(*by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -38,8 +38,8 @@ from .hashing import chain, mix, shingles, shingles_of, slabs, text_words, texts
 from .set_join import GROUP_TABLES, LISTED, dealt_lists, group_links, hub_pairs, lists_of
 
 WORDS = 5
-#: At Jaccard 0.8 a band of 3 agrees with p = 0.512, one of 9 bands with p = 0.998.
-BANDS, ROWS = 9, 3
+#: At Jaccard 0.8 a band of 2 agrees with p = 0.64, one of 7 bands with p = 0.9992 (9 bands of 3: 0.998).
+BANDS, ROWS = 7, 2
 MIN_WORDS = 20
 LONG = 80
 #: Of the words of a long sentence, one in so many ends a piece.
@@ -279,32 +279,15 @@ def _runs(key, table):
     return pa.concat_tables([pa.table([pa.array(o[f.name].tolist(), f.type) for f in schema], schema=schema) for o in out])
 
 
-def _around(batches):
-    """Words of a text before (l, backwards) or from (r) wanted places on."""
-    for batch in batches:
-        out = []
-        for doc, tkey, text, wanted in zip(*(batch.column(c).to_pylist() for c in range(4))):
-            _, h, _ = text_words([text.encode("utf-8", "surrogatepass")], True)
-            h = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            for w in wanted:
-                at = w["at"]
-                words = h[max(0, at - FOLLOW) : at][::-1] if w["side"] == "l" else h[at : at + FOLLOW]
-                out.append((doc, tkey, at, w["side"], words.tolist()))
-        columns = zip(*out) if out else ((),) * 5
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "tkey", "at", "side", "words"])
-
-
-def repeated_runs(ws: Workspace, docs: DataFrame, found: DataFrame, parts: int) -> DataFrame:
-    """``doc_id, tkey, begin, end``: word ranges of ``docs(doc_id, tkey, text)`` that stand earlier as well."""
+def copied_runs(found: DataFrame, parts: int) -> DataFrame:
+    """Runs of units that stand earlier as well, in the columns of RUN."""
     blobs = found.filter("kind = 2").select("part", "payload").groupBy("part").applyInArrow(_unit_copies(parts), "part int, payload binary")
     blobs = blobs.union(found.filter("kind = 3").select("part", "payload"))
-    runs = ws.save(blobs.groupBy("part").applyInArrow(_runs, RUN), "runs")
-    ends = runs.select("doc_id", "tkey", "at", "side").union(runs.select("from_doc", "from_tkey", "from_at", "side"))
-    wanted = ws.save(ends.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("at", "side")).alias("wanted")), "ends")
-    texts = having(docs, wanted).withColumn("tkey", text_key()).join(wanted, ["doc_id", "tkey"]).dropDuplicates(["doc_id", "tkey"])
-    around = texts.select("doc_id", "tkey", "text", "wanted").mapInArrow(_around, "doc_id long, tkey long, at int, side string, words array<int>")
-    around = ws.save(around, "around")
+    return blobs.groupBy("part").applyInArrow(_runs, RUN)
+
+
+def followed(runs: DataFrame, around: DataFrame) -> DataFrame:
+    """``doc_id, tkey, begin, end``: word ranges of the runs, extended on both sides as far as both texts agree."""
     source = around.select(F.col("doc_id").alias("from_doc"), F.col("tkey").alias("from_tkey"), F.col("at").alias("from_at"), "side", F.col("words").alias("from_words"))
     both = runs.join(around, ["doc_id", "tkey", "at", "side"]).join(source, ["from_doc", "from_tkey", "from_at", "side"])
     # Up to the first word that differs (or the shorter end).
@@ -320,20 +303,33 @@ def text_key():
     return F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+FETCHED = "node long, text binary, doc_id long, tkey long, at int, side string, words array<int>"
+
+
 def _fetch(min_words: int):
-    """The wanted paragraphs of each text."""
+    """Of each text the wanted paragraphs (``node, text``), and the words before (l, backwards) or from (r) wanted places on."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for text, wanted in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
-                spans = paragraph_spans(text, min_words)
+            for doc, tkey, text, wanted in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                raw = text.encode("utf-8", "surrogatepass")
+                spans, h = None, None
                 for w in wanted:
-                    if w["idx"] < len(spans):
-                        a, b = spans[w["idx"]]
-                        out.append((w["node"], text[a:b]))
-            columns = zip(*out) if out else ((),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary()))], names=["node", "text"])
+                    at, side = w["at"], w["side"]
+                    if side is None:
+                        spans = paragraph_spans(raw, min_words) if spans is None else spans
+                        if at < len(spans):
+                            a, b = spans[at]
+                            out.append((w["node"], raw[a:b], None, None, None, None, None))
+                        continue
+                    if h is None:
+                        h = (text_words([raw], True)[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    words = h[max(0, at - FOLLOW) : at][::-1] if side == "l" else h[at : at + FOLLOW]
+                    out.append((None, None, doc, tkey, at, side, words.tolist()))
+            columns = zip(*out) if out else ((),) * 7
+            types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["node", "text", "doc_id", "tkey", "at", "side", "words"])
 
     return run
 
@@ -361,19 +357,27 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80,
     keyed = docs.select("doc_id", text_key().alias("tkey"), "text")
     parts = part_count(spark, docs, part_bytes)
     schema = "kind int, doc_id long, tkey long, idx int, at int, words int, tok long, node long, n long, part int, payload binary"
-    found = ws.save(keyed.mapInArrow(_occurrences(min_words, parts, bands, rows), schema), "found")
+    found = ws.save(keyed.mapInArrow(_occurrences(min_words, parts, bands, rows), schema), "found", by=("kind",))
     places = found.filter("kind = 0").select("node", "at", "words", F.struct("doc_id", "tkey", "idx").alias("place"))
     nodes = ws.save(places.groupBy("node").agg(F.min("place").alias("first"), F.max("place").alias("last")), "nodes")
 
     keys = found.filter("kind = 1")
     lists = keys.filter("payload is not null").select("part", "payload").groupBy("part").applyInArrow(_band_lists, "tok long, node long, n long")
     lists = ws.save(lists.union(keys.filter("payload is null").select("tok", "node", "n")), "lists")
+    ws.drop("found/kind=1")
     pairs = ws.save(hub_pairs(ws, lists, percent, F.lit(bands)), "pairs")
-    wanted = pairs.select("node").union(pairs.select("hub")).distinct().join(nodes.select("node", "first"), "node")
-    wanted = wanted.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.tkey").alias("tkey")).agg(F.collect_list(F.struct("first.idx", "node")).alias("wanted"))
-    wanted = ws.save(wanted, "wanted")
-    texts = having(docs, wanted).withColumn("tkey", text_key()).join(wanted, ["doc_id", "tkey"]).select("text", "wanted")
-    texts = ws.save(texts.mapInArrow(_fetch(min_words), "node long, text binary").dropDuplicates(["node"]), "texts")
+    runs = ws.save(copied_runs(found, parts), "runs")
+    ws.drop("found/kind=2", "found/kind=3", "lists", "list-rows", "hubs")
+
+    # Each text that a comparison needs travels once.
+    nothing = F.lit(None).cast("string").alias("side"), F.lit(None).cast("long").alias("node")
+    wanted = pairs.select("node").union(pairs.select("hub")).distinct().join(nodes.select("node", "first"), "node").select("first.doc_id", "first.tkey", F.col("first.idx").alias("at"), nothing[0], "node")
+    for place in (("doc_id", "tkey", "at"), ("from_doc", "from_tkey", "from_at")):
+        wanted = wanted.union(runs.select(*place, "side", nothing[1]))
+    wanted = ws.save(wanted.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("at", "side", "node")).alias("wanted")), "wanted")
+    fetched = having(docs, wanted).withColumn("tkey", text_key()).join(wanted, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "wanted")
+    fetched = ws.save(fetched.mapInArrow(_fetch(min_words), FETCHED), "fetched")
+    texts = fetched.filter("node is not null").select("node", "text").dropDuplicates(["node"])
     links = ws.save(group_links(ws, pairs, percent, lambda rows: rows.join(texts, "node"), _sets_of), "links")
     comps = ws.save(components(ws, links), "components")
 
@@ -385,8 +389,10 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80,
     # Equal rows of one document name a place twice.
     gone = places.join(per_node, "node").filter("place <> kept").select("place.*", F.col("at").alias("begin"), (F.col("at") + F.col("words")).alias("end")).distinct()
     gone = ws.save(gone, "gone-paragraphs")
-    runs = repeated_runs(ws, docs, found, parts).filter(F.col("end") - F.col("begin") >= min_words)
-    cuts = ws.save(gone.select("doc_id", "tkey", "begin", "end").union(runs), "cuts-apart")
+    # Repeated rows have the same places; one row of each counts.
+    around = ws.save(fetched.filter("node is null").select("doc_id", "tkey", "at", "side", "words").dropDuplicates(["doc_id", "tkey", "at", "side"]), "around")
+    passages = followed(runs, around).filter(F.col("end") - F.col("begin") >= min_words)
+    cuts = ws.save(gone.select("doc_id", "tkey", "begin", "end").union(passages), "cuts-apart")
 
     text = Window.partitionBy("doc_id", "tkey").orderBy("begin")
     before = F.max("end").over(text.rowsBetween(Window.unboundedPreceding, -1))
@@ -397,7 +403,7 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80,
     )
     removed = gone.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_list("idx")).alias("removed"))
     out = ws.save(cuts.join(removed, ["doc_id", "tkey"], "left"), "gone")
-    ws.drop("found", "nodes", "lists", "pairs", "wanted", "texts", "links", "components", "clusters", "keepers", "per-node", "gone-paragraphs", "runs", "ends", "around", "cuts-apart", *GROUP_TABLES)
+    ws.drop("found", "nodes", "pairs", "wanted", "fetched", "links", "components", "clusters", "keepers", "per-node", "gone-paragraphs", "runs", "around", "cuts-apart", *GROUP_TABLES)
     return out
 
 

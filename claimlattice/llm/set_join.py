@@ -49,7 +49,7 @@ SHORT = 4
 #: Entries of one key in one task from which on they go straight into the list.
 HOT = 32
 #: Members and tokens of one block of a group.
-BLOCK, BLOCK_TOKENS = 2048, 1 << 21
+BLOCK, BLOCK_TOKENS = 1024, 1 << 19
 #: Members that one task compares with a hub; a larger group goes to several.
 STAR = 256
 LIST = {"tok": "<u8", "node": "<i8", "n": "<u4", "pos": "<u4"}
