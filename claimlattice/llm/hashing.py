@@ -25,12 +25,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def byte_values(lower: bool) -> np.ndarray:
-    """A random odd-ish 64-bit value for each byte; with ``lower``, A-Z share those of a-z."""
-    values = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
-    if lower:
-        values[65:91] = values[97:123]
-    return values
+#: Bytes that are mixed together before sums are taken of them.
+WIDE = 8
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Keeps the first n bytes of a little-endian number.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(WIDE + 1)], np.uint64)
+
+
+def octets(data: np.ndarray) -> np.ndarray:
+    """At each place the number made of the bytes from there on (zeros behind the end)."""
+    padded = np.concatenate((data, np.zeros(WIDE, np.uint8)))
+    return np.ndarray(len(data), "<u8", padded, strides=(1,)).copy()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,17 +49,21 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _cache["up"], _cache["down"]
 
 
-def prefix_sums(data: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Running sums s with hash(data[i:j]) = (s[j] - s[i]) * down[i]."""
-    up, _ = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Running sums s with hash(values[i:j]) = (s[j] - s[i]) * down[i].
+
+    Sums modulo 2^64 are no fingerprint of bytes (some texts of two letters
+    agree in all of them), so the values must be mixed: see ``octets``.
+    """
+    up, _ = powers(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
     return sums
 
 
 def word_hashes(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Start and fingerprint of every word of a buffer of bytes."""
-    values, starts, hashes, lo, n = byte_values(lower), [], [], 0, len(data)
+    starts, hashes, lo, n = [], [], 0, len(data)
     while lo < n:
         hi = min(lo + PIECE, n)
         while hi < n:
@@ -67,7 +77,13 @@ def word_hashes(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
         inside[1:-1] = ~SPACE[piece]
         turn = np.diff(inside)
         begin, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-        sums = prefix_sums(piece, values)
+        # Of each place the bytes up to the word's end count.
+        ends = np.zeros(len(piece) + 1, np.int64)
+        ends[end] = end
+        ends = np.minimum.accumulate(np.where(ends > 0, ends, len(piece))[::-1])[::-1][1:] if len(end) else ends[1:]
+        reach = np.minimum(ends - np.arange(len(piece)), WIDE)
+        values = mix((octets(LOWER[piece] if lower else piece) & FIRST[reach]) + reach.astype(np.uint64) * _STEP)
+        sums = prefix_sums(values)
         hashes.append(mix((sums[end] - sums[begin]) * powers(len(piece) + 1)[1][begin]))
         starts.append(begin + lo)
         lo = hi

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .blobs import dealt, gathered, having, part_count
 from .common import Workspace
-from .hashing import byte_values, mix, powers, prefix_sums, slabs, texts_of
+from .hashing import WIDE, mix, octets, powers, prefix_sums, slabs, texts_of
 
 GRAM = 30
 #: Positions in a slab; window minima carry theirs in this many low bits.
@@ -54,9 +54,10 @@ def runs(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     data = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.array([len(p) for p in parts])
     ends = np.cumsum(sizes)
-    sums, down = prefix_sums(data, byte_values(False)), powers(len(data) + 1)[1]
+    sums, down = prefix_sums(mix(octets(data))), powers(len(data) + 1)[1]
     n = len(data) - GRAM + 1
-    gram = mix((sums[GRAM:] - sums[:-GRAM]) * down[:n])
+    # A string's sum is over all its octets.
+    gram = mix((sums[GRAM - WIDE + 1 :][:n] - sums[:n]) * down[:n])
     low = np.uint64((1 << BITS) - 1)
     least = (gram & ~low) | np.arange(n, dtype=np.uint64)
     span, reach = length - GRAM + 1, 1
@@ -74,7 +75,7 @@ def runs(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     begin = np.flatnonzero(new)
     first, last = windows[begin], windows[np.append(begin[1:], len(windows)) - 1]
     a, p = anchor[begin], piece[begin]
-    content = (sums[last + length] - sums[first]) * down[first]
+    content = (sums[last + length - WIDE + 1] - sums[first]) * down[first]
     place = ((a - first) << 16 | (last - first)).astype(np.uint64)
     base = (ends - sizes)[p]
     return p, first - base, last - base, mix(gram[a]), mix(content ^ mix(place + np.uint64(1)))
@@ -238,8 +239,8 @@ def _windows(length: int, parts: int):
                     size = mine[:, 1] - mine[:, 0]
                     at = np.repeat(mine[:, 0] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
                     part = raw[lo : lo + (1 << 20) + length]
-                    sums, down = prefix_sums(part, byte_values(False)), powers(len(part) + 1)[1]
-                    held.append((mix((sums[at + length] - sums[at]) * down[at]), np.full(len(at), doc, "<i8"), (at + lo).astype("<u4")))
+                    sums, down = prefix_sums(mix(octets(part))), powers(len(part) + 1)[1]
+                    held.append((mix((sums[at + length - WIDE + 1] - sums[at]) * down[at]), np.full(len(at), doc, "<i8"), (at + lo).astype("<u4")))
                     total += len(at)
                     if total >= 1 << 20:
                         yield from flush()
