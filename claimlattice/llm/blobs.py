@@ -46,8 +46,8 @@ def gathered(payloads: list[bytes], dtypes: dict[str, str]) -> dict[str, np.ndar
     return {name: np.concatenate(c) if c else np.zeros(0, dtypes[name]) for name, c in columns.items()}
 
 
-def having(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs(key, text)`` whose id may be among ``ids(key)``: a 1 MB bit filter.
+def having(docs: DataFrame, ids: DataFrame, key: str = "doc_id", more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``docs(key, text, *more)`` whose id may be among ``ids(key)``: a 1 MB bit filter.
 
     It spares a shuffle the texts that a later join would drop anyway.  False
     hits are dropped by that join; with very many ids all rows pass.
@@ -60,9 +60,10 @@ def having(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def kept(batches):
         for batch in batches:
-            s = batch.column(2).to_numpy(zero_copy_only=False)
+            s = batch.column(n).to_numpy(zero_copy_only=False)
             hit = (bits[s >> 6] >> (s & 63)) & 1
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=batch.schema.names[:2]).filter(pa.array(hit.astype(bool)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:n], names=batch.schema.names[:n]).filter(pa.array(hit.astype(bool)))
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.filter(F.col(key).isNotNull()).select(key, "text", slot.alias("s")).mapInArrow(kept, f"`{key}` {kind}, text string")
+    kept_columns = docs.select(key, "text", *more)
+    n, fields = len(kept_columns.columns), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept_columns.schema)
+    return docs.filter(F.col(key).isNotNull()).select(key, "text", *more, slot.alias("s")).mapInArrow(kept, fields)

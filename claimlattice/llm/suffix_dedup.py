@@ -11,7 +11,9 @@ the lexicographic one) and one of all bytes that the run's windows cover.
 Documents arrive in batches in order of doc_id.  Each batch gets an array of
 its own, is merge-scanned against the existing levels, and then joins them as
 a level of its own; levels of like size merge, so there are O(log n) levels.
-Key ranges of the arrays are independent and lie in different tasks.
+Key ranges of the arrays are independent and lie in different tasks.  With an
+``index`` folder the levels stay on shared storage, and later runs scan their
+documents against them and add a level (see ``Index``).
 
 A run found whole at an earlier place is a duplicate in all its windows.  If
 only the anchor's gram was found there, the windows are settled one by one:
@@ -26,7 +28,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blobs import dealt, gathered, having, part_count
@@ -106,13 +108,13 @@ def _entries(length: int, parts: int):
                 yield _tagged(dealt([doc[pick], np.zeros(len(pick), "<u8"), at[pick], at[pick] + more[pick] + np.uint32(length)], _doc_key(doc[pick]), parts), 1)
 
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, base = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             found = list(pieces(texts_of(batch.column(1)), length))
             for part in slabs([len(f[2]) for f in found], 1 << BITS - 1):
                 these = found[part]
                 p, first, last, gram, content = runs([f[2] for f in these], length)
                 if len(p):
-                    at = first + np.array([f[1] for f in these])[p]
+                    at = first + np.array([base[f[0]] + f[1] for f in these])[p]
                     held.append((gram, content, ids[np.array([f[0] for f in these])][p].astype("<i8"), at.astype("<u4"), (last - first).astype("<u4")))
                     total += len(p)
                 if total >= 1 << 19:
@@ -142,6 +144,77 @@ def _pick(entries: dict, index: np.ndarray) -> dict:
     return {k: v[index] for k, v in entries.items()}
 
 
+def merge(a: dict, b: dict) -> dict:
+    """Two sorted levels as one: entries of b take their places among those of a."""
+    at = np.searchsorted(a["both"], b["both"]) + np.arange(len(b["both"]))
+    out = {}
+    for k in a:
+        column = np.empty(len(a[k]) + len(b[k]), a[k].dtype)
+        rest = np.ones(len(column), bool)
+        rest[at] = False
+        column[at], column[rest] = b[k], a[k]
+        out[k] = column
+    return out
+
+
+def _with_keys(e: dict) -> dict:
+    return e | {"both": e["gram"] ^ mix(e["run"])}
+
+
+def _merged_level(key, table):
+    """The sorted entries of one part of two levels, merged."""
+    a, b = (_with_keys(gathered([x], ENTRY)) for x in (table.column("payload").to_pylist() + [b""])[:2])
+    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "payload": pa.array([_bytes(merge(a, b))], pa.binary())})
+
+
+def _bytes(e: dict) -> bytes:
+    return b"".join(e[k].astype(t).tobytes() for k, t in ENTRY.items())
+
+
+class Index:
+    """Levels on shared storage: folders ``parts-P/level-I-N`` with a sorted array for each of P key ranges.
+
+    I numbers the levels, N counts their entries.  A run adds a level; while
+    the last two are of like size, they merge into a new one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, parts: int):
+        self.spark, self.files = spark, spark._jvm.org.apache.hadoop.fs
+        kept = self._names(path)
+        self.parts = int(kept[0].split("-")[1]) if kept else parts
+        self.path = f"{path.rstrip('/')}/parts-{self.parts}"
+
+    def _at(self, path: str):
+        p = self.files.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, path: str) -> list[str]:
+        p, fs = self._at(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def names(self) -> list[str]:
+        """The levels, largest first; a level that is only half written does not count."""
+        found = [n for n in self._names(self.path) if n.startswith("level-") and self._at(f"{self.path}/{n}/_SUCCESS")[1].exists(self._at(f"{self.path}/{n}/_SUCCESS")[0])]
+        return sorted(found, key=lambda n: -int(n.split("-")[2]))
+
+    def blobs(self) -> list[DataFrame]:
+        return [self.spark.read.schema("part int, payload binary").parquet(f"{self.path}/{n}") for n in self.names()]
+
+    def add(self, level: DataFrame) -> None:
+        width = sum(np.dtype(t).itemsize for t in ENTRY.values())
+        number = 1 + max([int(n.split("-")[1]) for n in self.names()], default=0)
+        n = (level.agg(F.sum(F.octet_length("payload"))).first()[0] or 0) // width
+        if n:
+            level.write.parquet(f"{self.path}/level-{number}-{n}")
+        while len(names := self.names()) > 1 and 2 * (small := int(names[-1].split("-")[2])) > (large := int(names[-2].split("-")[2])):
+            number += 1
+            (a, b) = self.blobs()[-2:]
+            a.union(b).groupBy("part").applyInArrow(_merged_level, "part int, payload binary").write.parquet(f"{self.path}/level-{number}-{small + large}")
+            for name in names[-2:]:
+                p, fs = self._at(f"{self.path}/{name}")
+                fs.delete(p, True)
+
+
 class Family:
     """Levels of sorted entries (one for each distinct run), the largest first."""
 
@@ -162,20 +235,26 @@ class Family:
             self.levels.append(level)
         while len(self.levels) > 1 and len(self.levels[-1]["both"]) * 2 > len(self.levels[-2]["both"]):
             b, a = self.levels.pop(), self.levels.pop()
-            joined = {k: np.concatenate([a[k], b[k]]) for k in a}
-            self.levels.append(_pick(joined, np.argsort(joined["both"], kind="stable")))
+            self.levels.append(merge(a, b))
+
 
+def _scan(length: int, cuts: list[int], parts: int, keep: bool):
+    """Feeds the batches of one key range to a family; spans of duplicates (gram 0) and open runs, dealt by document (kind 1).
 
-def _scan(length: int, cuts: list[int], parts: int):
-    """Feeds the batches of one key range to a family; spans of duplicates (gram 0) and open runs, dealt by document."""
+    Kinds from 2 on are levels that stood before; with ``keep`` the entries
+    new to them come out as kind 3, sorted.
+    """
 
     def run(key, table):
-        table, spans = _kinds(table)
-        e = gathered(table.column("payload").to_pylist(), ENTRY)
-        e["both"] = e["gram"] ^ mix(e["run"])
+        part = table.column("part")[0].as_py()
+        kinds = table.column("kind").to_numpy()
+        stood = [_with_keys(gathered(table.filter(pa.array(kinds == k)).column("payload").to_pylist(), ENTRY)) for k in np.unique(kinds[kinds > 1])]
+        table, spans = _kinds(table.filter(pa.array(kinds < 2)))
+        e = _with_keys(gathered(table.column("payload").to_pylist(), ENTRY))
         e = _pick(e, np.lexsort((e["at"], e["doc"], e["both"])))
         batch = np.searchsorted(np.array(cuts, np.int64), e["doc"], "left") if cuts else np.zeros(len(e["doc"]), np.int64)
-        family, out = Family(), []
+        family, fresh, out = Family(), [], []
+        family.levels = stood
         for b in range(len(cuts) + 1):
             new = _pick(e, np.flatnonzero(batch == b))
             first = np.ones(len(new["both"]), bool)
@@ -185,15 +264,26 @@ def _scan(length: int, cuts: list[int], parts: int):
             copy = old | (new["doc"] != new["doc"][lead]) | (new["at"] != new["at"][lead])
             c = _pick(new, copy)
             out.append((c["doc"], np.zeros(len(c["doc"]), "<u8"), c["at"], c["at"] + c["more"] + np.uint32(length)))
-            family.add(_pick(new, np.flatnonzero(first & ~old)))
+            fresh.append(_pick(new, np.flatnonzero(first & ~old)))
+            family.add(fresh[-1])
         # Grams with several distinct runs: their windows are settled one by one.
         if family.levels:
             every = {k: np.concatenate([v[k] for v in family.levels]) for k in family.levels[0]}
             _, where, n = np.unique(every["gram"], return_inverse=True, return_counts=True)
-            o = _pick(every, np.flatnonzero(n[where] > 1))
+            some = n[where] > 1
+            if stood:
+                # Grams without a new run were settled when they came.
+                some &= np.isin(every["gram"], np.concatenate([f["gram"] for f in fresh]))
+            o = _pick(every, np.flatnonzero(some))
             out.append((o["doc"], np.maximum(o["gram"], 1), o["at"], o["at"] + o["more"] + np.uint32(1)))
         columns = [np.concatenate(c).astype(t) for c, t in zip(zip(*out), SPAN.values())]
-        return pa.concat_tables([spans, pa.Table.from_batches([dealt(columns, _doc_key(columns[0]), parts)])])
+        found = pa.concat_tables([spans, pa.Table.from_batches([dealt(columns, _doc_key(columns[0]), parts)])])
+        found = found.add_column(0, "kind", pa.array(np.ones(len(found), np.int32)))
+        if keep and sum(len(f["both"]) for f in fresh):
+            level = {k: np.concatenate([f[k] for f in fresh]) for k in fresh[0]}
+            level = _pick(level, np.argsort(level["both"], kind="stable"))
+            found = pa.concat_tables([found, pa.table({"kind": pa.array([3], pa.int32()), "part": pa.array([part], pa.int32()), "payload": pa.array([_bytes(level)], pa.binary())})])
+        return found
 
     return run
 
@@ -228,9 +318,9 @@ def _windows(length: int, parts: int):
             yield from _copies(h, doc, at, first, length, parts)
 
         for batch in batches:
-            for doc, text, opened in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, text, base, opened in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                spans = np.frombuffer(opened, "<u4").reshape(-1, 2).astype(np.int64)
+                spans = within(opened, base, len(raw))
                 for lo in range(0, len(raw), 1 << 20):
                     mine = spans[(spans[:, 1] > lo) & (spans[:, 0] < lo + (1 << 20))]
                     if not len(mine):
@@ -240,7 +330,7 @@ def _windows(length: int, parts: int):
                     at = np.repeat(mine[:, 0] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
                     part = raw[lo : lo + (1 << 20) + length]
                     sums, down = prefix_sums(mix(octets(part))), powers(len(part) + 1)[1]
-                    held.append((mix((sums[at + length - WIDE + 1] - sums[at]) * down[at]), np.full(len(at), doc, "<i8"), (at + lo).astype("<u4")))
+                    held.append((mix((sums[at + length - WIDE + 1] - sums[at]) * down[at]), np.full(len(at), doc, "<i8"), (at + lo + base).astype("<u4")))
                     total += len(at)
                     if total >= 1 << 20:
                         yield from flush()
@@ -279,9 +369,14 @@ def _settle(length: int, parts: int):
     return run
 
 
-def merged(spans: bytes) -> np.ndarray:
+def within(spans: bytes, base: int, size: int) -> np.ndarray:
+    """The spans that lie in a text of ``size`` bytes whose first has the number ``base``, as places in the text."""
+    s = np.frombuffer(spans, "<u4").reshape(-1, 2).astype(np.int64) - base
+    return s[(s[:, 0] >= 0) & (s[:, 0] < size)]
+
+
+def merged(s: np.ndarray) -> np.ndarray:
     """Sorted disjoint (begin, end) of some spans; touching ones are one."""
-    s = np.frombuffer(spans, "<u4").reshape(-1, 2).astype(np.int64)
     s = s[np.argsort(s[:, 0], kind="stable")]
     end = np.maximum.accumulate(s[:, 1])
     new = np.ones(len(s), bool)
@@ -292,8 +387,9 @@ def merged(spans: bytes) -> np.ndarray:
 def _cut(batches):
     for batch in batches:
         rows = []
-        for doc, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
-            raw, gone = text.encode("utf-8", "surrogatepass"), merged(spans)
+        for doc, text, base, spans in zip(*(c.to_pylist() for c in batch.columns)):
+            raw = text.encode("utf-8", "surrogatepass")
+            gone = merged(within(spans, base, len(raw)))
             edges = [0, *gone.reshape(-1).tolist(), len(raw)]
             kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
             rows.append((doc, hashlib.sha256(raw).hexdigest(), int((gone[:, 1] - gone[:, 0]).sum()), gone.tolist(), hashlib.sha256(kept).hexdigest()))
@@ -304,47 +400,75 @@ def _cut(batches):
         )
 
 
-def repeated_substrings(spark: SparkSession, docs: DataFrame, length: int = 100, batches: int = 4, part_bytes: int = 8 << 20, ws: Workspace | None = None) -> DataFrame:
+def _texts(docs: DataFrame, length: int, ws: Workspace, name: str) -> DataFrame:
+    """``doc_id, text, base``: the texts that take part, each once, and the number of its first byte in its document.
+
+    Different texts of one doc_id follow each other in order of their bytes.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
+    again = ws.save(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), name)
+    if again.isEmpty():
+        return docs.withColumn("base", F.lit(0).cast("long"))
+    several = docs.join(again, "doc_id", "left_semi").distinct()
+    before = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("doc_id").orderBy("text").rowsBetween(Window.unboundedPreceding, -1))
+    several = several.withColumn("base", F.coalesce(before, F.lit(0).cast("long")))
+    return docs.join(again, "doc_id", "left_anti").withColumn("base", F.lit(0).cast("long")).unionByName(several)
+
+
+def repeated_substrings(
+    spark: SparkSession, docs: DataFrame, length: int = 100, batches: int = 4, part_bytes: int = 8 << 20, index: str | None = None, earlier: DataFrame | None = None, ws: Workspace | None = None
+) -> DataFrame:
     """``doc_id, n_bytes, n_removed, removed, kept_sha256`` for every row of ``docs(doc_id, text)``.
 
     ``removed``: sorted disjoint [begin, end) of the bytes covered by a
     ``length``-byte string that also starts earlier (smaller doc_id, or same
     document, earlier start).  Null and empty texts have 0 bytes and, like
     texts shorter than ``length``, lose nothing; so do rows of a null doc_id.
-    Equal rows are one document; of an id's different texts only the smallest
-    is compared and the others stay whole.
+    Equal rows are one document; an id's different texts are one document too,
+    in order of their bytes.  Very long texts are worked through in pieces;
+    other columns are left out; an empty table gives no row.
+
+    ``index``: a folder on shared storage.  What stands there from former runs
+    (of other documents, of smaller ids, given as ``earlier(doc_id, text)``)
+    counts as earlier, and these documents are added to it.
     """
     ws = ws or Workspace(spark, "suffix-dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    compared = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    again = ws.save(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
-    if not again.isEmpty():
-        one = compared.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-        compared = compared.join(again, "doc_id", "left_anti").unionByName(one)
+    compared = _texts(docs, length, ws, "again")
     shares = [i / batches for i in range(1, batches)]
     cuts = (compared.agg(F.percentile_approx("doc_id", shares, 10000)).first()[0] or []) if shares else []
     cuts = sorted(set(cuts))
     parts = part_count(spark, docs, part_bytes)
-
-    schema = "part int, payload binary"
-    entries = compared.mapInArrow(_entries(length, parts), f"kind int, {schema}")
-    spans = entries.groupBy("part").applyInArrow(_scan(length, cuts, parts), schema)
-    found = ws.save(spans.groupBy("part").applyInArrow(_by_document, "doc_id long, spans binary, opened binary"), "found")
-
+    family = Index(spark, index, parts) if index else None
+    parts = family.parts if family else parts
+
+    schema = "kind int, part int, payload binary"
+    entries = compared.select("doc_id", "text", "base").mapInArrow(_entries(length, parts), schema)
+    for i, level in enumerate(family.blobs() if family else ()):
+        entries = entries.union(level.select(F.lit(2 + i).alias("kind"), "part", "payload"))
+    scanned = entries.groupBy("part").applyInArrow(_scan(length, cuts, parts, family is not None), schema)
+    if family:
+        scanned = ws.save(scanned, "scanned")
+    found = scanned.filter("kind = 1").groupBy("part").applyInArrow(_by_document, "doc_id long, spans binary, opened binary")
+    found = ws.save(found, "found")
+
+    known = compared.unionByName(_texts(earlier, length, ws, "again-earlier")) if earlier is not None else compared
     opened = found.filter("octet_length(opened) > 0").select("doc_id", "opened")
-    texts = having(compared, opened).join(opened, "doc_id").select("doc_id", "text", "opened")
-    windows = texts.mapInArrow(_windows(length, parts), f"kind int, {schema}")
-    copies = windows.groupBy("part").applyInArrow(_settle(length, parts), schema)
+    texts = having(known, opened, more=("base",)).join(opened, "doc_id").select("doc_id", "text", "base", "opened")
+    windows = texts.mapInArrow(_windows(length, parts), schema)
+    copies = windows.groupBy("part").applyInArrow(_settle(length, parts), "part int, payload binary")
     more = copies.groupBy("part").applyInArrow(_by_document, "doc_id long, spans binary, opened binary")
     more = ws.save(more.select("doc_id", "spans"), "more")
+    if family:
+        family.add(scanned.filter("kind = 3").select("part", "payload"))
 
     sure = found.filter("octet_length(spans) > 0").select("doc_id", "spans")
     gone = sure.union(more).groupBy("doc_id").agg(F.collect_list("spans").alias("s"))
     gone = ws.save(gone.select("doc_id", F.aggregate("s", F.lit(b""), lambda a, b: F.concat(a, b)).alias("spans")), "gone")
-    cut = having(compared, gone).join(gone, "doc_id").select("doc_id", "text", "spans")
+    cut = having(compared, gone, more=("base",)).join(gone, "doc_id").select("doc_id", "text", "base", "spans")
     cut = cut.mapInArrow(_cut, "doc_id long, sha string, n_removed long, removed array<array<long>>, kept_sha256 string")
     cut = ws.save(cut, "cut")
-    ws.drop("found", "more", "gone")
+    ws.drop("found", "more", "gone", "scanned")
     whole = docs.select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("sha")
     )

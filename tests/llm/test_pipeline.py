@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline as cp
 from claimlattice.llm.common import Workspace, table
-from claimlattice.llm.paragraphs import paragraph_spans
+from claimlattice.llm.paragraphs import paragraph_spans, without_repeats
 
 from .test_brute import components, shingle_set, similar
 
@@ -35,27 +35,50 @@ def test_one_of_each_group_stays(chain):
     assert sorted(chain[2].doc_id) == sorted({root[d] for d in sets})
 
 
-def test_repeated_passages_go(chain):
+def test_repeated_passages_go(chain, spark):
+    """Paragraphs by brute force over the same cutting; passages whatever the cutting."""
+    before = chain[2].sort_values("doc_id")
     first, places = {}, []
-    for r in chain[2].sort_values("doc_id").itertuples():
+    for r in before.itertuples():
         raw = r.text.encode()
         for j, (a, b) in enumerate(paragraph_spans(raw)):
             words = tuple(raw[a:b].lower().split())
             if len(words) >= 20:
-                places.append((r.doc_id, j, words))
+                at = len(raw[:a].split())
+                places.append((r.doc_id, j, words, at))
                 first.setdefault(words, (r.doc_id, j))
     sets = {p: {w[i : i + 5] for i in range(len(w) - 4)} for w, p in first.items()}
     root = components(sets, similar(sets, 80))
     gone = collections.defaultdict(set)
-    for d, j, words in places:
+    for d, j, words, at in places:
         if root[first[words]] != (d, j):
-            gone[d].add(j)
-    before = dict(zip(chain[2].doc_id, chain[2].text))
-    assert sorted(chain[3].doc_id) == sorted(before)
-    for r in chain[3].itertuples():
-        spans = paragraph_spans(before[r.doc_id].encode())
-        kept = [before[r.doc_id].encode()[a:b].split() for j, (a, b) in enumerate(spans) if j not in gone[r.doc_id]]
-        assert r.text.encode().split() == [w for k in kept for w in k] and r.n_chars == len(r.text)
+            gone[d].update(range(at, at + len(words)))
+
+    out = {r["doc_id"]: r for r in without_repeats(spark, spark.createDataFrame(before[["doc_id", "text"]])).collect()}
+    after = dict(zip(chain[3].doc_id, chain[3].text))
+    assert sorted(out) == sorted(after) == sorted(before.doc_id)
+    seen20, seen51, repeated, found = set(), set(), 0, 0
+    for r in before.itertuples():
+        words, low = r.text.encode().split(), r.text.encode().lower().split()
+        cut = {i for c in out[r.doc_id]["cuts"] for i in range(c["begin"], c["end"])}
+        # The text is what is left, the stage's text is that, and whole paragraphs are among the cuts.
+        assert after[r.doc_id] == out[r.doc_id]["text"] and after[r.doc_id].encode().split() == [w for i, w in enumerate(words) if i not in cut]
+        assert gone[r.doc_id] <= cut
+        # What else goes stands earlier, in runs of 20 words at least.
+        w20 = [tuple(low[i : i + 20]) for i in range(len(low) - 19)]
+        known = set()
+        for i, w in enumerate(w20):
+            if w in seen20:
+                known.update(range(i, i + 20))
+            seen20.add(w)
+        assert cut - gone[r.doc_id] <= known
+        # Passages of over 50 words that stand earlier go, but for a word or two at their ends.
+        w51 = [tuple(low[i : i + 51]) for i in range(len(low) - 50)]
+        for i, w in enumerate(w51):
+            if w in seen51:
+                repeated, found = repeated + 1, found + (len(cut & set(range(i, i + 51))) >= 46)
+        seen51.update(w51)
+    assert repeated == 0 or found / repeated > 0.95
 
 
 def test_mix_repeats_whole_documents(chain):
