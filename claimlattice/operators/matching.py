@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Up to so many phrases become one native expression.
-FOLDED = 64
+from ..session import checkpoint_folder
+
 #: Bytes of phrases in one automaton that is sent to the executors.
 AUTOMATON_BYTES = 32 << 20
 
@@ -87,6 +87,57 @@ def char_shingles(text: Column, n: int = 3) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))
 
 
+def word_shingles(text: Column, n: int = 5) -> Column:
+    """Fingerprints of the distinct runs of n words (lower-cased, set apart by white space); a shorter text is one run."""
+    words = F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    # Shifted copies side by side: a lambda that sliced by position would split the text anew for each.
+    many = F.greatest(F.size(words) - (n - 1), F.lit(1))
+    shifted = F.arrays_zip(*[F.slice(words, i + 1, many).alias(str(i)) for i in range(n)])
+    runs = F.transform(shifted, lambda x: F.xxhash64(F.concat_ws(" ", *[x[str(i)] for i in range(n)])))
+    return F.when(F.size(words) > 0, F.array_distinct(runs))
+
+
+def near_classes(docs: DataFrame, least: float = 0.8, n: int = 5, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): documents with the class of their text, and pairs of classes with Jaccard >= ``least``.
+
+    ``members(key, class)``: equal texts are one class, named by its smallest
+    key.  ``pairs(a, b, jaccard)``: classes whose sets of n-word shingles are
+    alike, a < b.  Null and wordless texts are in no class.
+    """
+    named = docs.select(key, F.md5(text).alias("digest"), F.col(text).alias("t"))
+    classes = named.filter(F.col("t").rlike("[^\\x20\\x09-\\x0D]")).groupBy("digest").agg(F.min(key).alias("c"), F.first("t").alias("t"))
+    members = named.select(key, "digest").join(classes.select("digest", F.col("c").alias("class")), "digest").select(key, "class")
+    # Sets are read several times; a checkpointed table spares making them anew.
+    checkpoint_folder(docs.sparkSession)
+    sets = classes.select("c", word_shingles(F.col("t"), n).alias("s")).checkpoint()
+    return members, class_pairs(sets, least)
+
+
+def clusters(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """``node, cluster`` of all nodes of undirected ``links(a, b)``: the smallest node reachable.
+
+    Large-star and small-star rounds, each checkpointed to the shared folder.
+    """
+    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct().checkpoint()
+    total, before = F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), None
+    for _ in range(most_rounds):
+        both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        near = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.filter("v > u").join(near, "u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")).distinct()
+        joined = large.join(large.groupBy("hi").agg(F.min("lo").alias("m")), "hi")
+        edges = joined.select("hi", F.col("m").alias("lo")).union(joined.filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct().checkpoint()
+        state = tuple(edges.agg(F.count(F.lit(1)), total).first())
+        if state == before:
+            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("cluster")).union(edges.select("lo", "lo").distinct())
+        before = state
+    raise RuntimeError("clusters did not settle")
+
+
+def mentions(text: Column, aliases: dict[str, tuple[str, ...]]) -> Column:
+    """Names whose aliases a text holds, in the order of the dictionary."""
+    return F.array_compact(F.array(*[F.when(has_any(text, words), F.lit(name)) for name, words in aliases.items()]))
+
+
 def near_pairs(docs: DataFrame, least: float = 0.8, n: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``a, b, jaccard`` of short texts with Jaccard of character n-grams >= ``least``.
 
@@ -107,19 +158,20 @@ def near_pairs(docs: DataFrame, least: float = 0.8, n: int = 3, key: str = "doc_
 
 
 def class_pairs(classes: DataFrame, least: float) -> DataFrame:
-    """``a, b, jaccard`` of the classes ``c, s`` whose sets have Jaccard >= ``least``, a < b."""
-    flat = classes.select("c", F.explode("s").alias("g"))
-    rarity = flat.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ranked = flat.join(rarity, "g").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("r"))
-    size = F.size("r")
-    prefix = F.slice("r", F.lit(1), (size - F.ceil(size * F.lit(least)) + 1).cast("int"))
-    ranked = ranked.select("c", F.transform("r", lambda x: x["g"]).alias("s"), F.transform(prefix, lambda x: x["g"]).alias("p"))
-    index = ranked.select("c", F.size("s").alias("n"), F.explode("p").alias("g"))
+    """``a, b, jaccard`` of the classes ``c, s`` whose sets (texts or fingerprints) have Jaccard >= ``least``, a < b.
+
+    Of each set's first |s| - ceil(least |s|) + 1 shingles, rarest first, those
+    that no other set has stand before all others and are not indexed.
+    """
+    flat = classes.select("c", F.size("s").alias("n"), F.explode("s").alias("g"))
+    shared = flat.join(flat.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "g")
+    own = Window.partitionBy("c")
+    place = F.row_number().over(own.orderBy("df", "g")) + F.col("n") - F.count(F.lit(1)).over(own)
+    index = shared.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1).select("c", "n", "g")
     x, y = index.alias("x"), index.alias("y")
     near = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.c") < F.col("y.c")) & (F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n")))
     near = near.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
-    sets = ranked.select("c", "s")
-    near = near.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
+    near = near.join(classes.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(classes.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     near = near.withColumn("jaccard", both / (F.size("sa") + F.size("sb") - both))
     return near.filter(F.col("jaccard") >= least).select("a", "b", "jaccard")

@@ -19,6 +19,8 @@ class Request:
     company: str | None = None
     ticker: str | None = None
     url: str | None = None
+    kind: str | None = None
+    status: str | None = None
     start: date | None = None
     end: date | None = None
     sources: tuple[str, ...] = ()
@@ -41,10 +43,10 @@ def in_days(at: Column, start: date | None, end: date | None) -> Column:
     return inside
 
 
-def search(items: DataFrame, request: Request, text: str = "text", at: str = "published_at", source: str = "source") -> DataFrame:
+def search(items: DataFrame, request: Request, text: str = "text", at: str = "published_at", source: str = "source", kind: str = "kind", status: str = "status") -> DataFrame:
     """Applies what the request names; filters on plain columns reach the scan."""
     found = keyword_search(items, request.keywords, request.match, text)
-    for column, value in (("company", request.company), ("ticker", request.ticker)):
+    for column, value in (("company", request.company), ("ticker", request.ticker), (kind, request.kind), (status, request.status)):
         if value:
             found = found.filter(F.col(column) == value)
     if request.url:
@@ -52,3 +54,14 @@ def search(items: DataFrame, request: Request, text: str = "text", at: str = "pu
     if request.start or request.end:
         found = found.filter(in_days(F.col(at), request.start, request.end))
     return found.filter(F.col(source).isin(*request.sources)) if request.sources else found
+
+
+def url_lookup(items: DataFrame, asked: DataFrame, url: str = "url") -> DataFrame:
+    """Items whose url is one of those asked for (``asked(url, ...)``), compared in normal form."""
+    wanted = asked.withColumn("looked_up", normal_url(F.col(url))).drop(url).filter("looked_up is not null")
+    return items.withColumn("looked_up", normal_url(F.col(url))).join(wanted, "looked_up").drop("looked_up")
+
+
+def drill_down(records: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Records with the rows of the result they name; records without a result go."""
+    return records.join(results, key)

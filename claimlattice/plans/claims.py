@@ -197,12 +197,42 @@ def exact_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
       n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
       c AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2)
     SELECT a, b, round(c / (na.n + nb.n - c), 6) AS jaccard FROM c JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE c / (na.n + nb.n - c) >= 0.8""")
-def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def near_duplicate_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns that are alike in characters."""
     asked = table(spark, sf_dir, "conversations").filter("role = 'user' and length(text) > 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     pairs = matching.near_pairs(asked, key="id")
     return pairs.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+NEAR_SQL = r"""t AS (SELECT min(doc_id) AS id, text FROM documents WHERE regexp_matches(text, '[^\x20\x09-\x0D]') GROUP BY text),
+      w AS (SELECT id, [x FOR x IN string_split_regex(lower(text), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM t),
+      g AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w)),
+      n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+      c AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2),
+      p AS (SELECT a, b, c / (na.n + nb.n - c) AS jaccard FROM c JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE c / (na.n + nb.n - c) >= 0.8)"""
+
+
+@query(f"WITH {NEAR_SQL} SELECT a, b, round(jaccard, 6) AS jaccard FROM p")
+def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of distinct texts, each named by its smallest document."""
+    _, pairs = matching.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pairs.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query(f"""WITH RECURSIVE {NEAR_SQL},
+      e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+      r(a, b) AS (SELECT id, id FROM t UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+      m AS (SELECT a AS id, min(b) AS cluster_id FROM r GROUP BY a)
+    SELECT d.doc_id, m.cluster_id, count(*) OVER (PARTITION BY m.cluster_id) AS n_similar FROM documents d JOIN t ON d.text = t.text JOIN m ON m.id = t.id""")
+def near_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its cluster of alike texts and how many documents are in it."""
+    members, pairs = matching.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    named = members.join(matching.clusters(pairs).withColumnRenamed("node", "class"), "class", "left")
+    named = named.select("doc_id", F.coalesce("cluster", "class").alias("cluster_id"))
+    sizes = named.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_similar"))
+    return named.join(sizes, "cluster_id").select("doc_id", "cluster_id", "n_similar")
+
+
 @query("""SELECT l.quality, l.toxic, count(*) AS n, count(*) FILTER (contains(d.text, 'free') OR contains(d.text, '@mail')) AS n_funnel
     FROM documents d JOIN labels l USING (doc_id) GROUP BY l.quality, l.toxic""")
 def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,10 +241,10 @@ def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labels, "doc_id").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"), F.count_if(funnel).alias("n_funnel"))
 
 
-@query("""WITH e AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 100 = 0),
+@query("""WITH e AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 20 = 0),
       s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS c
         FROM q JOIN e ON q.vec_id <> e.vec_id)
     SELECT query_id, vec_id, round(c, 4) AS cosine FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) <= 3""")
 def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return matching.cosine_top(rows, rows.filter("vec_id % 100 = 0"), 3).select("query_id", "vec_id", F.round("cosine", 4).alias("cosine"))
+    return matching.cosine_top(rows, rows.filter("vec_id % 20 = 0"), 3).select("query_id", "vec_id", F.round("cosine", 4).alias("cosine"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from ..streaming.feeds import alerts, bursts, drained, event_stream, running, shared_folder, windowed
+from ..streaming.feeds import alerts, bursts, drained, event_stream, gated_alerts, running, shared_folder, windowed
 from . import query
 
 SHOWN = "yyyy-MM-dd HH:mm:ss"
@@ -57,6 +57,16 @@ def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.date_format("window.start", SHOWN).alias("day"), "user_id", "n")
 
 
+@query("""SELECT e.event_id, c.c_custkey FROM events e JOIN customer c ON e.user_id = c.c_custkey WHERE e.event_type = 'purchase' AND c.c_mktsegment = 'BUILDING' AND c.c_acctbal > 0""")
+def stream_gated_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates go to members who watch them and have alerts on."""
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment", "c_acctbal")
+    watches, preferences = customer.filter("c_mktsegment = 'BUILDING'").select("user_id"), customer.select("user_id", (F.col("c_acctbal") > 0).alias("enabled"))
+    updates = _stream(spark, sf_dir).filter("event_type = 'purchase'")
+    out = drained(gated_alerts(updates, watches, preferences, "user_id", "user_id").select("event_id", "user_id"))
+    return out.select("event_id", F.col("user_id").alias("c_custkey"))
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One batch, so the state keeps every key until its end and the result is that of plain dedup."""

@@ -21,5 +21,26 @@ def session(name: str = "claimlattice", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+#: Used only where ``spark.checkpoint.dir`` is unset and Spark is local (tests).
+LOCAL_CHECKPOINTS = "/tmp/checkpoints/claimlattice"
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder for intermediate tables that all executors share."""
+    conf = spark.sparkContext.getConf()
+    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = LOCAL_CHECKPOINTS
+    return root.rstrip("/")
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Has ``DataFrame.checkpoint`` write to the shared folder, unless a folder is set."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import canonical_source
 
-ITEM = T.StructType.fromDDL("item_id bigint, source string, title string, body string, published_at timestamp, url string, company string, ticker string")
-REQUEST = T.StructType.fromDDL(
-    "mode string, question string, keywords array<string>, company string, ticker string, news_url string, post_url string, image_name string, start date, end date, sources array<string>, focus string"
-)
-RECORD = T.StructType.fromDDL("analyzed_at timestamp_ntz, query string, sources array<string>, score int, risk_level string")
+ITEM = "item_id bigint, source string, title string, body string, published_at timestamp, url string, company string, ticker string"
+REQUEST = "mode string, question string, keywords array<string>, company string, ticker string, news_url string, post_url string, image_name string, start date, end date, sources array<string>, focus string"
+RECORD = "analyzed_at timestamp_ntz, query string, sources array<string>, score int, risk_level string"
 
 
 def read_items(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame:
@@ -42,9 +40,32 @@ def append_history(records: DataFrame, path: str) -> None:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RECORD.add("analysis_date", "date")).parquet(path)
+    return spark.read.schema(f"{RECORD}, analysis_date date").parquet(path)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Uploaded images or audio as binary rows (path, modificationTime, length, content)."""
-    return spark.read.format("binaryFile").load(path)
+def read_files(spark: SparkSession, path: str, extract=None) -> DataFrame:
+    """Uploaded images or audio as binary rows (path, modificationTime, length, content).
+
+    ``extract`` (bytes -> text or null) is the hook for OCR or speech; its text
+    becomes a column, worked out in Arrow batches.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    if extract is None:
+        return files
+
+    @F.pandas_udf("string")
+    def text(content: pd.Series) -> pd.Series:
+        return content.map(extract)
+
+    return files.withColumn("text", text("content"))
+
+
+def put(entries: DataFrame, path: str) -> None:
+    """Appends ``key, value, put_at`` entries to a key-value table."""
+    entries.select("key", "value", "put_at").write.mode("append").parquet(path)
+
+
+def get(spark: SparkSession, path: str) -> DataFrame:
+    """``key, value``: the latest value of each key (of equal times the greatest value)."""
+    entries = spark.read.schema("key string, value string, put_at timestamp_ntz").parquet(path)
+    return entries.groupBy("key").agg(F.max_by("value", F.struct("put_at", "value")).alias("value"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 import pandas as pd
@@ -9,18 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: Used only where ``spark.checkpoint.dir`` is unset and Spark is local (tests).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/claimlattice"
-
+from ..session import shared_root
 
 def shared_folder(spark: SparkSession) -> str:
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = LOCAL_CHECKPOINTS
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A folder of its own for one stream; it goes when the program ends."""
+    folder = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+
+    def drop():
+        with contextlib.suppress(Exception):
+            if not spark._jsc.sc().isStopped():
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    atexit.register(drop)
+    return folder
 
 
 def event_stream(spark: SparkSession, path: str, at: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -59,6 +63,11 @@ def alerts(events: DataFrame, watches: DataFrame, key: str) -> DataFrame:
     return events.join(watches, key)
 
 
+def gated_alerts(filings: DataFrame, watches: DataFrame, preferences: DataFrame, key: str, member: str) -> DataFrame:
+    """Alerts only for members whose ``preferences(member, enabled)`` has them on; without a row they are off."""
+    return alerts(filings, watches, key).join(preferences.filter("enabled").select(member), member)
+
+
 class RunningCount(StatefulProcessor):
     """Per key: events so far, the sum of their values and the latest time."""
 
