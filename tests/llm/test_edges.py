@@ -196,3 +196,27 @@ def test_pipeline_stages_on_odd_rows(spark, sf, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         frame = stage(spark, frame, str(tmp_path))
     assert frame.count() == 0
+
+
+def test_quality_stage_scores_odd_rows(spark, tmp_path):
+    """With labels of both classes the first stage judges null, empty, long and repeated rows, clashing columns or not."""
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in (1, 2, 3, 4, 6, 7, 8, 9)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    frame = docs(spark).withColumns({c: F.lit("clash") for c in ("keep", "score", "text_score", "meta_score", "removed", "cuts", "node")})
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        frame = stage(spark, frame, str(tmp_path))
+        assert frame.columns == corpus_pipeline.COLUMNS
+    kept = frame.collect()
+    scored = {(r["doc_id"], r["text"]): r["keep"] for r in classify(spark, docs(spark), labels).collect()}
+    assert len({k for k in scored if scored[k]}) >= len(kept) > 0
+    assert all(any(d == r["doc_id"] and keep for (d, _), keep in scored.items()) for r in kept)
+
+
+def test_clashing_columns_are_replaced(spark):
+    odd = docs(spark).withColumns({c: F.lit("clash") for c in ("lang_pred", "rejected", "held_out", "size", "source_size", "target", "rate", "copies", "cuts", "words_removed", "node", "n_shingles")})
+    assert identify(odd, learn(docs(spark))).select("lang_pred").distinct().filter("lang_pred = 'clash'").count() == 0
+    mixed = mix(spark, odd)
+    assert dict(mixed.dtypes)["size"] == "bigint" and mixed.filter("held_out = 'clash'").count() == 11
+    cut = without_repeats(spark, odd)
+    assert dict(cut.dtypes)["words_removed"] == "bigint" and cut.count() == 11
+    assert similar_sets(spark, odd).count() == 11

@@ -180,7 +180,7 @@ def test_op5_uses_several_lengths(spark):
     sizes = [int(x) for x in RNG.integers(50, 3000, 800)]
     _, _, long, fill = best_fit(sizes, (512, 1024, 2048, 4096), 64)
     assert len(set(long)) >= 2 and sum(fill) / sum(long) > 0.97
-    assert sum(map(cost, long)) < cost(4096) * -(-sum(sizes) // 4096)
+    assert sum(map(cost, long)) < sum(map(cost, best_fit(sizes, (4096,), 64)[2]))
 
 
 def test_op9_components_of_other_numbers_never_link(spark):
