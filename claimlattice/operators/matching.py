@@ -177,38 +177,65 @@ def class_pairs(classes: DataFrame, least: float) -> DataFrame:
     return near.filter(F.col("jaccard") >= least).select("a", "b", "jaccard")
 
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, group: int = 4096) -> DataFrame:
+#: Vectors in a block that a task holds.
+VECTORS = 16384
+
+
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = VECTORS) -> DataFrame:
     """``query_id, vec_id, cosine``: the k nearest other vectors of each query, ties (at 9 digits) by vec_id.
 
-    Queries are sent in groups of at most about ``group``; each group reads
-    the vectors once, and a batch of them keeps k for a query.
+    Vectors are dealt into blocks of about ``block`` rows; queries travel to
+    every block as rows, so neither the driver nor a task holds more than a
+    block.  Each block keeps k for a query.
     """
-    groups = -(-queries.count() // group)
-    schema = "query_id long, vec_id long, cosine double"
-    found = vectors.sparkSession.createDataFrame([], schema)
-    for g in range(groups):
-        part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g).select("vec_id", "embedding").collect()
-        if part:
-            ids, q = np.array([r[0] for r in part]), np.array([r[1] for r in part], float)
-            found = found.union(vectors.select("vec_id", "embedding").mapInArrow(_nearest(ids, q / np.linalg.norm(q, axis=1, keepdims=True), k), schema))
+    blocks = max(1, -(-vectors.count() // block))
+    rows = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "vec_id", "embedding")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "vec_id", "embedding")
+    met = rows.union(asked).repartition("block").sortWithinPartitions("block", "asks")
+    found = met.mapInArrow(_nearest(k), "query_id long, vec_id long, cosine double")
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "vec_id")
     return found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r")
 
 
-def _nearest(ids: np.ndarray, queries: np.ndarray, k: int):
+def _nearest(k: int):
+    """Batches ``block, asks, vec_id, embedding``: the vectors of a block come before its queries."""
+
+    def units(column, n):
+        x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def best(ids, q, vec, x):
+        cosine = q @ x.T
+        cosine[ids[:, None] == vec[None, :]] = -2
+        shown = np.round(cosine, 9)
+        # Whatever ties with the k-th stays until the sort.
+        least = np.partition(shown, max(0, len(vec) - k), axis=1)[:, max(0, len(vec) - k)]
+        for i in range(len(ids)):
+            at = np.flatnonzero((shown[i] >= least[i]) & (cosine[i] > -2))
+            at = at[np.lexsort((vec[at], -shown[i, at]))][:k]
+            yield np.full(len(at), ids[i]), vec[at], cosine[i, at]
+
     def run(batches):
+        block, held, vec, x = None, [], None, None
         for batch in batches:
-            if not len(batch):
-                continue
-            vec = batch.column(0).to_numpy(zero_copy_only=False)
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), -1)
-            cosine = queries @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-            cosine[ids[:, None] == vec[None, :]] = -2
-            order = np.lexsort((np.broadcast_to(vec, cosine.shape), -np.round(cosine, 9)), axis=1)[:, :k]
-            q = np.repeat(np.arange(len(ids)), order.shape[1])
-            c = order.reshape(-1)
-            keep = cosine[q, c] > -2
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q[keep]]), pa.array(vec[c[keep]]), pa.array(cosine[q[keep], c[keep]])], names=["query_id", "vec_id", "cosine"])
+            blocks, asks, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            change = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(asks) != 0)) + 1
+            for lo, hi in zip([0, *change], [*change, len(batch)]):
+                if lo == hi:
+                    continue
+                if blocks[lo] != block:
+                    block, held, vec = blocks[lo], [], None
+                rows = units(batch.column(3).slice(lo, hi - lo), hi - lo)
+                if not asks[lo]:
+                    held.append((ids[lo:hi], rows))
+                elif held:
+                    if vec is None:
+                        vec, x = np.concatenate([h[0] for h in held]), np.vstack([h[1] for h in held])
+                    for part in range(lo, hi, 256):
+                        upto = min(part + 256, hi)
+                        out += best(ids[part:upto], rows[part - lo : upto - lo], vec, x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "cosine"])
 
     return run
 
