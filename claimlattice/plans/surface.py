@@ -201,3 +201,24 @@ def variant_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = table(spark, sf_dir, "customer").select("c_custkey", v.alias("v"))
     got = lambda path, kind: F.try_variant_get("v", path, kind)
     return parsed.select("c_custkey", got("$.c_name", "string").alias("name"), got("$.c_acctbal", "double").alias("balance"), got("$.none", "string").alias("missing"))
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS n_users, true AS approx_close, true AS sketch_close FROM events GROUP BY event_type")
+def approx_distinct_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate distinct counts and sketches stay within a tenth of the exact number."""
+    exact = F.count_distinct("user_id")
+    close = lambda estimate: F.abs(estimate - exact) <= 0.1 * exact
+    by = table(spark, sf_dir, "events").groupBy("event_type")
+    return by.agg(exact.alias("n_users"), close(F.approx_count_distinct("user_id", 0.02)).alias("approx_close"), close(F.hll_sketch_estimate(F.hll_sketch_agg("user_id", F.lit(14)))).alias("sketch_close"))
+
+
+@query("SELECT l_returnflag, unnest(CAST([0.1, 0.5, 0.9] AS DOUBLE[])) AS share, true AS close FROM (SELECT DISTINCT l_returnflag FROM lineitem)")
+def approx_percentile_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the rows of a group the named share, give or take a hundredth, lies at or below the approximate percentile."""
+    shares = (0.1, 0.5, 0.9)
+    prices = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("x"))
+    found = prices.groupBy("l_returnflag").agg(F.percentile_approx("x", list(shares), 10000).alias("at"))
+    below = [F.avg((F.col("x") <= F.get("at", F.lit(i))).cast("double")) for i in range(len(shares))]
+    ranks = prices.join(found, "l_returnflag").groupBy("l_returnflag").agg(*[b.alias(f"b{i}") for i, b in enumerate(below)])
+    rows = F.array(*[F.struct(F.lit(s).alias("share"), (F.abs(F.col(f"b{i}") - s) <= 0.01).alias("close")) for i, s in enumerate(shares)])
+    return ranks.select("l_returnflag", F.explode(rows).alias("r")).select("l_returnflag", "r.share", "r.close")
