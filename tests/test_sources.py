@@ -52,10 +52,10 @@ def test_keys_and_values(spark, tmp_path):
 
 def test_files_and_their_hook(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(b"\x89PNG 2330")
-    (tmp_path / "b.png").write_bytes(b"")
+    (tmp_path / "b.png").write_bytes(b"x")
     assert sources.read_files(spark, str(tmp_path)).select("length").count() == 2
-    found = sources.read_files(spark, str(tmp_path), lambda b: b[-4:].decode() if b else None)
-    assert {r["length"]: r["text"] for r in found.collect()} == {9: "2330", 0: None}
+    found = sources.read_files(spark, str(tmp_path), lambda b: b[-4:].decode() if b[:4] == b"\x89PNG" else None)
+    assert {r["length"]: r["text"] for r in found.collect()} == {9: "2330", 1: None}
 
 
 def test_binding_leaves_few_slots_alone(spark):
