@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import input_bytes
+from .common import input_bytes, lean
 
 #: Bits of the filter in ``having``: 1 MB, whatever the number of ids.
 FILTER_BITS = 1 << 23
@@ -58,6 +58,7 @@ def having(docs: DataFrame, ids: DataFrame, key: str = "doc_id", more: tuple[str
     for r in words:
         bits[r["w"]] = r["bits"]
 
+    @lean
     def kept(batches):
         for batch in batches:
             s = batch.column(n).to_numpy(zero_copy_only=False)

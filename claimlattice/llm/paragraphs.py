@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blobs import dealt, gathered, having, part_count
-from .common import Workspace, components
+from .common import Workspace, components, lean, lean_group
 from .hashing import chain, mix, shingles, shingles_of, slabs, text_words, texts_of
 from .set_join import GROUP_TABLES, LISTED, dealt_lists, group_links, hub_pairs, lists_of
 
@@ -177,6 +177,7 @@ def _occurrences(min_words: int, parts: int, bands: int, rows: int):
             out[:, b] = mix(out[:, b] + np.uint64(b + 1))
         return out
 
+    @lean
     def run(batches):
         seen: set[int] = set()
         held, total = [], 0
@@ -240,6 +241,7 @@ def _occurrences(min_words: int, parts: int, bands: int, rows: int):
     return run
 
 
+@lean_group
 def _band_lists(key, table):
     """Nodes of the bands that two nodes or more have."""
     c, length, _ = lists_of(table, BAND)
@@ -248,6 +250,7 @@ def _band_lists(key, table):
 
 
 def _unit_copies(parts: int):
+    @lean_group
     def run(key, table):
         _, copies = copies_of(gathered(table.column("payload").to_pylist(), UNIT))
         return pa.Table.from_batches([dealt(list(copies.values()), _text_key(copies["doc"], copies["tkey"]), parts)])
@@ -258,6 +261,7 @@ def _unit_copies(parts: int):
 RUN = "doc_id long, tkey long, begin int, end int, side string, at int, from_doc long, from_tkey long, from_at int"
 
 
+@lean_group
 def _runs(key, table):
     """Runs of copied units, once with the place that their begin comes from (l) and once with that of their end (r)."""
     c = gathered(table.column("payload").to_pylist(), COPY)
@@ -309,6 +313,7 @@ FETCHED = "node long, text binary, doc_id long, tkey long, at int, side string,
 def _fetch(min_words: int):
     """Of each text the wanted paragraphs (``node, text``), and the words before (l, backwards) or from (r) wanted places on."""
 
+    @lean
     def run(batches):
         for batch in batches:
             out = []
@@ -410,6 +415,7 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80,
 def _drop(names: list[str]):
     at_text, at_cuts = names.index("text"), names.index("cuts")
 
+    @lean
     def run(batches):
         for batch in batches:
             texts, lists = batch.column(at_text).to_pylist(), batch.column(at_cuts).to_pylist()

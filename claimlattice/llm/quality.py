@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, lean
 from .hashing import SPACE, shingles_of, slabs, text_words, texts_of
 
 #: Hashed columns of language and source in the metadata view.
@@ -179,6 +179,7 @@ def log_odds(view: dict, x: np.ndarray) -> np.ndarray:
 def gradients(judges: list[dict], forms: list[dict], models: list[np.ndarray], sure: float):
     """Per task, view and class: how many pool rows the other view is sure of, and their gradient for each model."""
 
+    @lean
     def run(batches):
         sums = [np.zeros((2, *m.shape)) for m in models]
         counts = np.zeros((2, 2), int)
@@ -265,6 +266,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labelled
     def rows(names):
         at = {c: i for i, c in enumerate(names)}
 
+        @lean
         def run(batches):
             for batch, text, slots in features(batches, at):
                 cells = [pa.array([r.tobytes() for r in c], pa.binary()) for c in (text.astype(np.float16), slots)]
@@ -311,6 +313,7 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep_from:
         return docs.select(*out, *none, F.lit(True).alias("keep"))
     at = {c: i for i, c in enumerate(names)}
 
+    @lean
     def score(batches):
         for batch, text, slots in features(batches, at):
             odds = [log_odds(v, x) for v, x in zip(model["views"], (text, meta_features(slots)))]

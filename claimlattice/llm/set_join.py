@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import dealt, gathered, having, part_count
-from .common import Workspace, components
+from .common import Workspace, components, lean, lean_group
 from .hashing import mix, shingles, slabs, texts_of
 
 #: The frequency sketch: counters, and rows into which they are cut on the way.
@@ -73,6 +73,7 @@ def node_of(tokens: np.ndarray) -> int:
 def _profile(k: int):
     """Per document its node and size; per task its counts for the sketch."""
 
+    @lean
     def run(batches):
         counts = np.zeros(BINS, np.int64)
         for batch in batches:
@@ -97,6 +98,7 @@ def _profile(k: int):
     return run
 
 
+@lean
 def _add_up(batches):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -135,6 +137,7 @@ def met(n):
 
 
 def _prefixes(k: int, percent: int, classes: np.ndarray, parts: int):
+    @lean
     def run(batches):
         seen: set[int] = set()
         held: list[tuple] = []
@@ -230,6 +233,7 @@ def reachable(n_a, pos_a, n_b, pos_b, percent: int):
 def _lists(percent: int):
     """Pairs of short lists with the times they met here (tok null), and rows of long lists."""
 
+    @lean_group
     def run(key, table):
         c, length, hot = lists_of(table, LIST)
         tok, node, n, pos = c["tok"], c["node"], c["n"].astype(np.int64), c["pos"].astype(np.int64)
@@ -272,6 +276,7 @@ def stars(percent: int, sets_of):
     the set of each of some texts.  One set is held at a time: the hub's.
     """
 
+    @lean
     def run(batches):
         key, hub = None, None
         for batch in batches:
@@ -344,6 +349,7 @@ def blocks(percent: int, sets_of):
     Batches hold ``hub, i, j, node, far, o, text``.
     """
 
+    @lean
     def run(batches):
         held: dict = {"key": None, "rows": {}}
 

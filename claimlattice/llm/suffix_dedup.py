@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blobs import dealt, gathered, having, part_count
-from .common import Workspace
+from .common import Workspace, lean, lean_group
 from .hashing import WIDE, mix, octets, powers, prefix_sums, slabs, texts_of
 
 GRAM = 30
@@ -86,6 +86,7 @@ def runs(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
 def _entries(length: int, parts: int):
     """Entries dealt by gram; runs that a task has seen before are duplicates at once."""
 
+    @lean
     def run(batches):
         held, total = [], 0
 
@@ -161,6 +162,7 @@ def _with_keys(e: dict) -> dict:
     return e | {"both": e["gram"] ^ mix(e["run"])}
 
 
+@lean_group
 def _merged_level(key, table):
     """The sorted entries of one part of two levels, merged."""
     a, b = (_with_keys(gathered([x], ENTRY)) for x in (table.column("payload").to_pylist() + [b""])[:2])
@@ -245,6 +247,7 @@ def _scan(length: int, cuts: list[int], parts: int, keep: bool):
     new to them come out as kind 3, sorted.
     """
 
+    @lean_group
     def run(key, table):
         part = table.column("part")[0].as_py()
         kinds = table.column("kind").to_numpy()
@@ -288,6 +291,7 @@ def _scan(length: int, cuts: list[int], parts: int, keep: bool):
     return run
 
 
+@lean_group
 def _by_document(key, table):
     """One row a document: its spans of duplicates and its open runs of windows, as (begin, end) pairs."""
     s = gathered(table.column("payload").to_pylist(), SPAN)
@@ -304,6 +308,7 @@ def _by_document(key, table):
 def _windows(length: int, parts: int):
     """Fingerprints of single windows, dealt by fingerprint; copies within a task are spans at once."""
 
+    @lean
     def run(batches):
         held, total = [], 0
 
@@ -357,6 +362,7 @@ def _copies(h, doc, at, first, length: int, parts: int):
 
 
 def _settle(length: int, parts: int):
+    @lean_group
     def run(key, table):
         table, spans = _kinds(table)
         w = gathered(table.column("payload").to_pylist(), WINDOW)
@@ -384,6 +390,7 @@ def merged(s: np.ndarray) -> np.ndarray:
     return np.stack([s[new, 0], end[np.append(np.flatnonzero(new)[1:], len(s)) - 1]], 1)
 
 
+@lean
 def _cut(batches):
     for batch in batches:
         rows = []

@@ -10,7 +10,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, components
+from .common import Workspace, components, lean
 
 #: Candidates in a block of sorted lists; shares of the lists read in turn; survivors that are resolved at once.
 BLOCK, DEPTHS, FEW = 8192, (1 / 8, 1 / 4, 1 / 2, 1), 64
@@ -155,6 +155,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, k: int = 5, every: int = 50,
 def _search(k: int):
     """Batches ``dims, block, asks, vec_id, v``: a block's candidates come before its queries."""
 
+    @lean
     def search(batches):
         key, held, lists = None, [], None
         for batch in batches:
@@ -220,6 +221,7 @@ def units(x: np.ndarray) -> np.ndarray:
 def _code(hashing: Hashing):
     """``rep, t, code``: a row for each table; t tells numbers of components apart as well."""
 
+    @lean
     def code(batches):
         for batch in batches:
             rep, dims = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -249,6 +251,7 @@ def linked(rep, links, a, b) -> pa.RecordBatch:
 def _pair_links(least: float, hashing: Hashing):
     """Links among pairs ``a, b`` of ids, but for those that a large bucket compares."""
 
+    @lean
     def run(batches):
         for batch in batches:
             if not len(batch):
@@ -316,6 +319,7 @@ def _bucket_links(least: float, hashing: Hashing):
         a, b = np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges])
         return linked(rep, links, rep[a], rep[b])
 
+    @lean
     def run(batches):
         held = None
         for batch in batches:
