@@ -247,11 +247,11 @@ def features(batches, at):
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, rounds: int = 3, sure: float = 0.97, ws: Workspace | None = None) -> dict | None:
-    """Models from the ``most_labelled`` labelled ids with the least hash of doc_id, and all unlabelled documents.
+    """Models from the ``most_labelled`` labelled ids with the least hash of doc_id, and all other documents.
 
     Null labels and ids do not count; of several labels of an id the majority
     does (a tie: good), and of several rows of a labelled id the one of the
-    least text.  None if the sample has not both classes.
+    least text.  Labelled ids beyond the sample count as unlabelled.  None if the sample has not both classes.
     """
     ws = ws or Workspace(spark, "quality")
     named = labels.filter("doc_id is not null and quality is not null").select("doc_id", "quality")
@@ -261,7 +261,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labelled
     columns = ["text", "lang", "source", "n_chars"]
     base = docs.filter("doc_id is not null").select("doc_id", *columns)
     known = base.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*columns)).alias("x")).select("doc_id", "quality", "x.*")
-    pool = base.join(labels.filter("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*columns)
+    # The sample is bounded, so it may be broadcast, and no text is shuffled.
+    pool = base.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").select(*columns)
 
     def rows(names):
         at = {c: i for i, c in enumerate(names)}
