@@ -144,7 +144,7 @@ def shingles(texts: list[bytes], k: int, lower: bool) -> tuple[np.ndarray, np.nd
     return *shingles_of(h, at[:-1], words, k), words
 
 
-def slabs(lengths, most: int = 2 * PIECE):
+def slabs(lengths, most: int = PIECE):
     """Slices of consecutive texts of about ``most`` bytes in all, one text at least."""
     begin, total = 0, 0
     for i, n in enumerate(lengths):

@@ -206,7 +206,7 @@ def _occurrences(min_words: int, parts: int, bands: int, rows: int):
                 text = np.searchsorted(bounds, begin[some], "right") - 1
                 held.append((node[some], docs[text], tkeys[text].astype("<u4"), (begin[some] - bounds[text]).astype("<u4"), n[some].astype("<u4")))
                 total += len(some)
-                if total >= 1 << 19:
+                if total >= 1 << 17:
                     yield from flush()
                     total = 0
 

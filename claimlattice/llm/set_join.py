@@ -49,7 +49,7 @@ SHORT = 4
 #: Entries of one key in one task from which on they go straight into the list.
 HOT = 32
 #: Members and tokens of one block of a group.
-BLOCK, BLOCK_TOKENS = 1024, 1 << 19
+BLOCK, BLOCK_TOKENS = 512, 1 << 18
 #: Members that one task compares with a hub; a larger group goes to several.
 STAR = 256
 LIST = {"tok": "<u8", "node": "<i8", "n": "<u4", "pos": "<u4"}
@@ -166,7 +166,7 @@ def _prefixes(k: int, percent: int, classes: np.ndarray, parts: int):
                 order = np.lexsort((tokens, rank))[:first] if n < 64 else _first(rank, tokens, first)
                 held.append((tokens[order], node, n))
                 total += first
-                if total >= 1 << 20:
+                if total >= 1 << 18:
                     yield from flush()
                     total = 0
         if held:
