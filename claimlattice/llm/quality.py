@@ -59,7 +59,8 @@ def text_features(texts: list[bytes]) -> np.ndarray:
         out[:, N_RATIO + block * GRAMS : N_RATIO + (block + 1) * GRAMS] = np.sqrt(counts / np.maximum(1, counts.sum(1, keepdims=True)))
     for i, text in enumerate(texts):
         raw = np.frombuffer(text, np.uint8)
-        # Shares are taken of a little more than there is, so that few words show no extremes.
+        # Shares are taken of a little more than there is, so that few words show no extremes.  What is taken
+        # by word and has no upper bound is taken by its logarithm: a megabyte without a space outgrows 16 bits.
         n = len(raw) + 6 * PRIOR
         count = np.bincount(raw, minlength=256)
         words = single[word_at[i] : word_at[i + 1]]
@@ -71,9 +72,9 @@ def text_features(texts: list[bytes]) -> np.ndarray:
         punct = count[PUNCTUATION]
         lines = count[10] + 1
         out[i, :16] = (
-            np.log1p(len(words)), n / k, caps / letters, count[48:58].sum() / n, letters / n, count[SPACE].sum() / n,
-            punct.sum() / k, (k - len(each)) / k, (len(two) - len(np.unique(two))) / k, ((each.max() - 1) / k) if len(each) else 0,
-            np.log1p(k / lines), count[128:].sum() / n, (count[46] + count[44]) / k, np.log1p(punct.max()), np.log1p(lines), len(words) == 0,
+            np.log1p(len(words)), np.log1p(n / k), caps / letters, count[48:58].sum() / n, letters / n, count[SPACE].sum() / n,
+            np.log1p(punct.sum() / k), (k - len(each)) / k, (len(two) - len(np.unique(two))) / k, ((each.max() - 1) / k) if len(each) else 0,
+            np.log1p(k / lines), count[128:].sum() / n, np.log1p((count[46] + count[44]) / k), np.log1p(punct.max()), np.log1p(lines), len(words) == 0,
         )
         out[i, 16:N_RATIO] = np.sqrt(punct / k)
     return out

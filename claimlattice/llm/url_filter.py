@@ -59,11 +59,11 @@ def interval_ends(rules: DataFrame) -> DataFrame:
     ``at`` lie between the two.
     """
     top = F.max_by(F.struct("verdict", "host", "path"), F.when(F.col("verdict") == "block", 1).otherwise(0))
-    rules = rules.groupBy(reversed_host(F.col("host")).alias("under"), F.col("path").alias("at")).agg(top.alias("rule"))
+    rules = rules.groupBy(reversed_host(F.col("host")).alias("under"), F.col("path").cast("binary").alias("at")).agg(top.alias("rule"))
     ends = F.array(
         F.struct(F.col("at"), F.lit(0).alias("past")),
-        # U+10FFFF sorts behind every character, so at + U+10FFFF ends the prefix's interval.
-        F.struct(F.concat("at", F.lit("\U0010ffff")).alias("at"), F.lit(2).alias("past")),
+        # No UTF-8 text holds the byte FF, so at + FF lies behind all that start with at.
+        F.struct(F.concat("at", F.unhex(F.lit("FF"))).alias("at"), F.lit(2).alias("past")),
     )
     events = rules.select("under", "rule", F.explode(ends).alias("e")).select("under", "e.at", "e.past", "rule")
     order = Window.partitionBy("under").orderBy("at", "past")
@@ -92,7 +92,7 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: DataFrame, default
 
     keys = named.select("host", "path").distinct().filter("host <> ''")
     keys = keys.select("host", "path", F.explode(enclosing(F.col("host"))).alias("under"))
-    events = keys.select("under", F.col("path").alias("at"), F.lit(1).alias("past"), "host", "path", F.lit(None).cast(ends.schema["top"].dataType).alias("top")).unionByName(
+    events = keys.select("under", F.col("path").cast("binary").alias("at"), F.lit(1).alias("past"), "host", "path", F.lit(None).cast(ends.schema["top"].dataType).alias("top")).unionByName(
         ends.select("under", "at", "past", F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "top")
     )
     # host last: urls under one (under, path) may be dealt to several ranges.
