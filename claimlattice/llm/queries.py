@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import null_safe
 from .common import table
+from .conversation_repair import repair
+from .conversation_sql import OP11_SQL
+from .digests import joined_sha256
 from .language import identify, learn
 from .mixing import mix
 from .packing import pack
@@ -71,6 +75,30 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark, pages, rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+#: Digest of no bytes.
+NOTHING = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The rows that ``op11_conversation_repair`` mends: dropped, emptied, unpunctuated, repeated or renamed by a hash of (conv_id, turn)."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fate = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20
+    text = F.when(fate == 1, "").when(fate == 2, F.regexp_replace(space("text"), "[.!?]", "")).otherwise(space("text"))
+    copies = F.when(fate == 0, 0).when(fate == 3, 2).otherwise(1)
+    rows = conversations.select("conv_id", "turn", F.when(fate == 4, "user").otherwise(space("role")).alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), copies)).alias("copy"))
+    return rows.drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    mended = repair(spark, damaged(conversations))
+    lines = mended.turns.select("conv_id", "at", "place", F.concat_ws(":", "role", "text").alias("line"))
+    digests = joined_sha256(lines, ["conv_id"], ["at", "place"], "line", "\n")
+    found = null_safe(null_safe(conversations.select("conv_id").distinct(), mended.report, ["conv_id"], "left"), digests, ["conv_id"], "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.lit(NOTHING)).alias("repaired_sha256"))
+
+
 OP10_SQL = r"""
 WITH cut AS (
   SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages
@@ -101,4 +129,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": OP10_SQL}
+    return {"op10_url_filter": OP10_SQL, "op11_conversation_repair": OP11_SQL}
