@@ -77,3 +77,36 @@ SELECT o.conv_id, coalesce(b.gaps, 0)::BIGINT AS gaps, coalesce(b.blank, 0)::BIG
 FROM (SELECT DISTINCT conv_id FROM conversations) o
 LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN mended m ON m.conv_id IS NOT DISTINCT FROM o.conv_id
 """
+
+OP13_SQL = rf"""
+WITH crc AS ({CRC_TABLE}),
+everyone AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, {crc("conv_id::VARCHAR")} % 9 AS shared
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), crc
+), turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), mixed AS (
+  SELECT e.conv_id, 0 AS own, t.place, t.role, t.text FROM everyone e JOIN turns t ON t.conv_id = e.base AND t.place <= e.shared
+  UNION ALL SELECT e.conv_id, 1, t.place, t.role, t.text FROM everyone e JOIN turns t ON t.conv_id = e.conv_id AND t.place > e.shared
+), paths AS (
+  SELECT e.conv_id, coalesce(list({{'role': m.role, 'text': m.text}} ORDER BY own, place) FILTER (m.conv_id IS NOT NULL), []) AS path
+  FROM everyone e LEFT JOIN mixed m ON m.conv_id = e.conv_id GROUP BY e.conv_id
+), nodes AS (
+  SELECT path[1:d] AS path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(path) = d), '')) AS ends_sha256
+  FROM (SELECT conv_id, path, unnest(range(len(path) + 1)) AS d FROM paths) GROUP BY ALL
+), children AS (
+  SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), known AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(n.path[depth].text) END AS saved
+  FROM nodes n LEFT JOIN children c USING (path)
+), sums AS (
+  SELECT path[1:d] AS path, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT path, n_children, saved, unnest(range(depth + 1)) AS d FROM known) GROUP BY 1
+)
+SELECT k.conv_id, k.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves::BIGINT AS n_leaves,
+  s.saved_tokens::BIGINT AS saved_tokens, k.ends_sha256
+FROM known k JOIN sums s USING (path) LEFT JOIN known p ON p.depth = k.depth - 1 AND p.path = k.path[1:k.depth - 1]
+"""

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import null_safe
-from .common import table
+from .common import Workspace, table
 from .conversation_repair import repair
-from .conversation_sql import OP11_SQL
+from .conversation_sql import OP11_SQL, OP13_SQL
 from .digests import joined_sha256
 from .language import identify, learn
 from .mixing import mix
 from .packing import pack
 from .paragraphs import without_repeats
+from .prefix_trie import joined_ends, prefix_trie, turns_of
 from .quality import classify
 from .set_join import similar_sets
 from .suffix_dedup import repeated_substrings
@@ -99,6 +100,35 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.lit(NOTHING)).alias("repaired_sha256"))
 
 
+#: Neighbouring conversations of ``op13_prefix_trie`` that begin alike, and the greatest number of turns that they share.
+SIBLINGS, MOST_SHARED = 5, 8
+
+
+def rebuilt(conversations: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(turns, all ids) of the conversations of ``op13_prefix_trie``: some first turns of another one, then their own later ones."""
+    turns = ws.save(turns_of(conversations, ws), "turns")
+    shared = (F.crc32(F.col("conv_id").cast("string")) % (MOST_SHARED + 1)).alias("shared")
+    base = (F.col("conv_id") - F.col("conv_id") % SIBLINGS).alias("base")
+    everyone = ws.save(conversations.filter("conv_id is not null").select("conv_id").distinct().select("conv_id", base, shared), "everyone")
+    heads = turns.filter(F.col("place") <= MOST_SHARED).select(F.col("conv_id").alias("base"), "place", "h1", "h2", "bytes")
+    heads = everyone.join(heads, "base").filter("place <= shared").select("conv_id", "place", F.lit(-1).cast("long").alias("_part"), "h1", "h2", "bytes")
+    # Later turns move up if the other conversation has fewer turns than are shared.
+    had = heads.groupBy("conv_id").agg(F.max("place").alias("had"))
+    moved = everyone.join(had, "conv_id", "left").select("conv_id", "shared", (F.coalesce("had", F.lit(0)) - F.col("shared")).alias("move"))
+    tails = turns.join(moved, "conv_id").filter("place > shared").select("conv_id", (F.col("place") + F.col("move")).alias("place"), "_part", "h1", "h2", "bytes")
+    return heads.unionByName(tails), everyone.select("conv_id")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "op13")
+    turns, everyone = rebuilt(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), ws)
+    trie = prefix_trie(spark, turns, everyone, ws)
+    found = trie.nodes.join(joined_ends(trie.ends, ws), ["conv_id", "depth"], "left")
+    return found.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved_bytes").alias("saved_tokens"), F.coalesce("sha256", F.lit(NOTHING)).alias("ends_sha256")
+    )
+
+
 OP10_SQL = r"""
 WITH cut AS (
   SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages
@@ -129,4 +159,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": OP10_SQL, "op11_conversation_repair": OP11_SQL}
+    return {"op10_url_filter": OP10_SQL, "op11_conversation_repair": OP11_SQL, "op13_prefix_trie": OP13_SQL}
