@@ -16,6 +16,7 @@ from .language import identify, learn
 from .mixing import mix
 from .packing import pack
 from .paragraphs import without_repeats
+from .personal_data import KINDS, find_personal
 from .prefix_trie import joined_ends, prefix_trie, turns_of
 from .quality import classify
 from .set_join import similar_sets
@@ -100,6 +101,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.lit(NOTHING)).alias("repaired_sha256"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(kind) for kind in KINDS], F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
 #: Neighbouring conversations of ``op13_prefix_trie`` that begin alike, and the greatest number of turns that they share.
 SIBLINGS, MOST_SHARED = 5, 8
 
