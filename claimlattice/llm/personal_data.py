@@ -185,29 +185,33 @@ def keyed(names: tuple[str, ...]) -> list[Column]:
 
 
 def reliabilities(patterns: DataFrame, rounds: int = 20) -> tuple[dict[str, float], dict[str, float]]:
-    """(log odds of each kind, log odds that each vote of a labeler adds), by expectation-maximisation.
+    """(log odds of each kind of base spans and of candidates, log odds that each vote of a labeler adds), by expectation-maximisation.
 
-    ``patterns``: kind, a column for each labeler, n.  Each labeler is taken
+    ``patterns``: kind, base, a column for each labeler, n.  Candidates are
+    taken to be as often false as real where there are few.  Each labeler is taken
     to be right rather than wrong by as much as ten spans' votes, which decides
     where the data have none that are false.
     """
-    prior = {k: 0.0 for k in KINDS}
+    groups = [f"{k}|base|{b}" for k in KINDS for b in (0, 1)]
+    prior = dict.fromkeys(groups, 0.0)
     worth = {f"{k}|{c}|{v}": 1.0 * v for k in KINDS for c in LABELERS for v in (-1, 0, 1)}
-    # Of ten spans: votes against, abstentions, votes for.
-    taken = {True: {-1: 1.0, 0: 3.0, 1: 6.0}, False: {-1: 6.0, 0: 3.0, 1: 1.0}}
+    # Of ten spans, real and false: votes against, abstentions, votes for.  Hardly a real span fails its check.
+    usual = {True: {-1: 1.0, 0: 3.0, 1: 6.0}, False: {-1: 6.0, 0: 3.0, 1: 1.0}}
+    taken = {c: usual for c in LABELERS} | {"check": usual | {True: {-1: 0.05, 0: 0.05, 1: 9.9}}}
     for _ in range(rounds):
-        chance = 1 / (1 + F.exp(-(F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in prior.items() for x in kv]), F.col("kind")), F.lit(0.0)) + weigh(worth, *keyed(LABELERS)))))
-        each = patterns.select("kind", "n", chance.alias("p"), F.explode(F.array(*[F.struct(F.lit(c).alias("labeler"), F.col(c).alias("vote")) for c in LABELERS])).alias("x"))
+        chance = 1 / (1 + F.exp(-weigh(prior | worth, *keyed(("base", *LABELERS)))))
+        each = patterns.select("kind", "n", chance.alias("p"), F.explode(F.array(*[F.struct(F.lit(c).alias("labeler"), F.col(c).alias("vote")) for c in ("base", *LABELERS)])).alias("x"))
         sums = each.groupBy("kind", "x.labeler", "x.vote").agg(F.sum(F.col("n") * F.col("p")).alias("real"), F.sum(F.col("n") * (1 - F.col("p"))).alias("false")).collect()
         real = {(r["kind"], r["labeler"], r["vote"]): r["real"] for r in sums}
         false = {(r["kind"], r["labeler"], r["vote"]): r["false"] for r in sums}
         new = {}
         for k in KINDS:
             totals = [sum(t.get((k, LABELERS[0], v), 0.0) for v in (-1, 0, 1)) for t in (real, false)]
-            prior[k] = log((totals[0] + 1) / (totals[1] + 1))
+            for b in (0, 1):
+                prior[f"{k}|base|{b}"] = log((real.get((k, "base", b), 0.0) + 5) / (false.get((k, "base", b), 0.0) + 5))
             for c in LABELERS:
                 for v in (-1, 0, 1):
-                    new[f"{k}|{c}|{v}"] = log((real.get((k, c, v), 0.0) + taken[True][v]) / (totals[0] + 10)) - log((false.get((k, c, v), 0.0) + taken[False][v]) / (totals[1] + 10))
+                    new[f"{k}|{c}|{v}"] = log((real.get((k, c, v), 0.0) + taken[c][True][v]) / (totals[0] + 10)) - log((false.get((k, c, v), 0.0) + taken[c][False][v]) / (totals[1] + 10))
         moved = max(abs(new[x] - worth[x]) for x in new)
         worth = new
         if moved < 1e-3:
@@ -216,10 +220,10 @@ def reliabilities(patterns: DataFrame, rounds: int = 20) -> tuple[dict[str, floa
 
 
 #: What the classifier sees, by kind.
-FEATURES = (*LABELERS, "glued", "size", "bias")
+FEATURES = (*LABELERS, "base", "glued", "size", "bias")
 
 
-def classifier(shapes: DataFrame, rounds: int = 15, ridge: float = 1.0) -> dict[str, float]:
+def classifier(shapes: DataFrame, rounds: int = 25, ridge: float = 0.01) -> dict[str, float]:
     """Weights of a logistic regression on chances: ``shapes`` has kind, FEATURES, n and real (the sum of chances).
 
     Each round takes a Newton step along every weight, shortened by the number
@@ -239,8 +243,8 @@ def find_personal(spark: SparkSession, docs: DataFrame, sure: float = 0.9, ws: W
     """``doc_id, spans`` for each row of ``docs(doc_id, text)``; spans are structs of kind, start, end, base, chance, sorted by kind and start.
 
     Base spans have no chance and always stay.  A candidate is added if the
-    classifier gives it a chance of at least ``sure`` and it overlaps no base
-    span; of candidates that overlap each other only the likeliest (then the
+    classifier gives it a chance of at least ``sure``, neither its check nor
+    the labelers' weighed votes are against it, and it overlaps no base span; of candidates that overlap each other only the likeliest (then the
     longest, then the first) stays.  Places are code points, ends exclusive.
     Null and empty texts have no spans; repeated rows each get theirs; a null
     doc_id is kept; other columns go; an empty table gives an empty one.
@@ -258,16 +262,17 @@ def find_personal(spark: SparkSession, docs: DataFrame, sure: float = 0.9, ws: W
     spans = spans.filter(F.col("name").isNull() | F.col("base") | ~overlaps).withColumn("beside", close & ~overlaps).drop("last_end", "next_start")
     spans = ws.save(voted(spans).drop("before", "after", "hit"), "spans")
 
-    named = spans.filter("name is not null")
-    patterns = ws.save(named.groupBy("kind", *LABELERS).agg(F.count(F.lit(1)).alias("n")), "patterns").coalesce(1)
+    named = spans.filter("name is not null").withColumn("base", F.col("base").cast("int"))
+    patterns = ws.save(named.groupBy("kind", "base", *LABELERS).agg(F.count(F.lit(1)).alias("n")), "patterns").coalesce(1)
     prior, worth = reliabilities(patterns)
-    odds = weigh(prior | {"": 0.0}, F.col("kind")) + weigh(worth, *keyed(LABELERS))
+    odds = weigh(prior | worth, *keyed(("base", *LABELERS)))
     seen = named.withColumn("bias", F.lit(1))
     shapes = seen.groupBy("kind", *FEATURES).agg(F.count(F.lit(1)).alias("n")).withColumn("real", F.col("n") / (1 + F.exp(-odds)))
     weights = classifier(ws.save(shapes, "shapes").coalesce(1))
 
     chance = 1 / (1 + F.exp(-weigh(weights, *keyed(FEATURES))))
-    judged = spans.withColumn("bias", F.lit(1)).withColumn("chance", F.when(~F.col("base"), chance))
+    judged = spans.withColumns({"bias": F.lit(1), "is_base": F.col("base"), "base": F.col("base").cast("int")})
+    judged = judged.withColumn("chance", F.when(~F.col("is_base"), F.when((F.col("check") >= 0) & (odds >= 0), chance).otherwise(0.0))).withColumn("base", F.col("is_base"))
     judged = judged.filter(F.col("name").isNull() | F.col("base") | (F.col("chance") >= sure)).select("_row", "doc_id", "kind", "start", "end", "base", "chance")
     # Candidates that overlap are one heap: it begins where none before reaches.
     added = F.coalesce(~F.col("base"), F.lit(False))

@@ -220,3 +220,18 @@ def test_clashing_columns_are_replaced(spark):
     cut = without_repeats(spark, odd)
     assert dict(cut.dtypes)["words_removed"] == "bigint" and cut.count() == 11
     assert similar_sets(spark, odd).count() == 11
+
+
+def test_quality_with_unspaced_labelled_text(spark):
+    """A megabyte without a space, of letters or of marks, leaves all scores finite and the good rows in."""
+    rows = [(i, " ".join(f"word{j} of" for j in range(i, i + 40)) + "." if i % 2 else "!!! $$$ " * 30, "en", "a", 9) for i in range(60)]
+    rows += [(60, "x" * 1_000_000, "en", "a", 1), (61, "!.," * 300_000, "en", "a", 1)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)] + [(60, 1, 0), (61, 0, 0)], "doc_id long, quality int, toxic int")
+    scored = {r["doc_id"]: r for r in classify(spark, docs(spark, rows), labels).collect()}
+    assert all(np.isfinite([r["text_score"], r["meta_score"], r["score"]]).all() for r in scored.values())
+    assert [scored[i]["keep"] for i in range(50, 60)] == [bool(i % 2) for i in range(50, 60)]
+
+
+def test_url_behind_the_last_character(spark):
+    pages = spark.createDataFrame([(1, "http://net/es/\U0010ffffx"), (2, "http://net/et/"), (3, "http://a.net/es/")], "page_id long, url string")
+    assert got(filter_urls(spark, pages, rules_frame(spark)), "page_id", "rule") == [(1, "net/es/"), (2, None), (3, "net/es/")]
