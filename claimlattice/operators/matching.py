@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder
+from .ordered import Save, carried_last
 
 #: Bytes of phrases in one automaton that is sent to the executors.
 AUTOMATON_BYTES = 32 << 20
@@ -240,15 +241,16 @@ def _nearest(k: int):
     return run
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, at: str, values: list[str], order: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: str, at: str, values: list[str], order: str, save: Save) -> DataFrame:
     """Each left row with the values of the latest right row of its key at or before its time.
 
     One sort of the union instead of a range join: linear, whatever the gaps.
+    The union is sorted in ranges of (key, time), and each range takes over the
+    last right row of those before it, so a key of any size is spread.
     ``order`` breaks ties among right rows of one time (the largest wins).
     """
     taken = F.struct(*[F.col(v).alias(v) for v in values])
     r = right.select(by, at, F.lit(0).alias("side"), F.col(order).alias("o"), taken.alias("v"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("row"))
     ll = left.select(by, at, F.lit(1).alias("side"), F.lit(None).cast(right.schema[order].dataType).alias("o"), F.lit(None).cast(r.schema["v"].dataType).alias("v"), F.struct("*").alias("row"))
-    w = Window.partitionBy(by).orderBy(at, "side", "o").rowsBetween(Window.unboundedPreceding, 0)
-    both = r.unionByName(ll).withColumn("v", F.last("v", ignorenulls=True).over(w)).filter("side = 1")
-    return both.select("row.*", *[F.col(f"v.{v}").alias(f"as_of_{v}") for v in values])
+    both = carried_last(r.unionByName(ll), [by], [at, "side", "o"], F.col("v"), save, "as-of").filter("side = 1")
+    return both.select("row.*", *[F.col(f"_last.{v}").alias(f"as_of_{v}") for v in values])

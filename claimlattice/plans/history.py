@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.intervals import overlapping
 from ..operators.matching import as_of
+from ..scratch import saver
 from ..session import table
 from . import query
 
@@ -91,7 +93,7 @@ def json_props_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asof_last_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     errors, purchases = (events.filter(F.col("event_type") == t).select("event_id", "user_id", "ts") for t in ("error", "purchase"))
-    return as_of(errors, purchases, "user_id", "ts", ["event_id"], "event_id").select("event_id", "as_of_event_id")
+    return as_of(errors, purchases, "user_id", "ts", ["event_id"], "event_id", saver(spark, "as-of")).select("event_id", "as_of_event_id")
 
 
 @query("""SELECT a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase'
@@ -104,6 +106,22 @@ def interval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["user_id", "bucket"]).filter(F.col("ts").between(F.col("from"), F.col("from") + F.expr("INTERVAL 2 HOURS"))).select("first_id", "second_id")
 
 
+@query("""WITH e AS (SELECT event_id, user_id, event_type, ts, CAST(floor(abs(value)) AS BIGINT) AS minutes, CAST(json_extract(props, '$.k') AS BIGINT) AS hours FROM events)
+    SELECT a.event_id AS claim_id, b.event_id AS filing_id, strftime(greatest(a.ts, b.ts), '%Y-%m-%d %H:%M:%S') AS since
+    FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type IN ('view', 'click') AND b.event_type = 'purchase'
+      AND a.ts <= b.ts + to_hours(b.hours) AND b.ts <= a.ts + to_minutes(a.minutes)""")
+def claim_filing_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims and the filings that are in force while they stand: both hold for as long as their row says."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    events = table(spark, sf_dir, "events").withColumn("at", micros)
+    a = events.filter("event_type in ('view', 'click')")
+    a = a.select("user_id", F.col("event_id").alias("claim_id"), F.col("at").alias("a_start"), (F.col("at") + F.floor(F.abs("value")) * 60_000_000).alias("a_end"))
+    b = events.filter("event_type = 'purchase'").withColumn("hours", F.from_json("props", "struct<k:long>")["k"])
+    b = b.select("user_id", F.col("event_id").alias("filing_id"), F.col("at").alias("b_start"), (F.col("at") + F.col("hours") * 3_600_000_000).alias("b_end"))
+    since = F.date_format(F.timestamp_micros(F.greatest("a_start", "b_start")), SHOWN)
+    return overlapping(a, b, ["user_id"]).select("claim_id", "filing_id", since.alias("since"))
+
+
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS cut FROM events),
       s AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
     SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS began, count(*) AS n_events FROM s GROUP BY user_id, n""")

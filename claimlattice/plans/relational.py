@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import null_safe, ranked, tile
+from ..operators.selection import quantiles
+from ..scratch import saver
 from ..session import table
 from . import query
 
@@ -41,10 +44,12 @@ def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_returnflag, l_linestatus, round(quantile_cont(l_quantity, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90,
       round(stddev_samp(l_discount), 6) AS sd, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1, 2""")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.percentile("l_quantity", 0.5), 4).alias("median"), F.round(F.percentile("l_extendedprice", 0.9), 4).alias("p90"),
-        F.round(F.stddev_samp("l_discount"), 6).alias("sd"), F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"),
-    )
+    """Quantiles by refined histograms: six groups hold all rows, and no task holds a group's values."""
+    keys = ["l_returnflag", "l_linestatus"]
+    lines = table(spark, sf_dir, "lineitem")
+    moments = lines.groupBy(*keys).agg(F.round(F.stddev_samp("l_discount"), 6).alias("sd"), F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"))
+    found = quantiles(lines, keys, {"median": ("l_quantity", 0.5), "p90": ("l_extendedprice", 0.9)}, saver(spark, "quantiles"))
+    return null_safe(moments, found, keys, "left").select(*keys, F.round("median", 4).alias("median"), F.round("p90", 4).alias("p90"), "sd", "r")
 
 
 @query()
@@ -55,12 +60,11 @@ def approx_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, CAST(ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) AS INTEGER) AS quartile
     FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderpriority)""")
 def rank_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("o_orderstatus")
-    by = w.orderBy("o_orderpriority")
-    ranked = table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.rank().over(by).cast("long").alias("rank"), F.dense_rank().over(by).cast("long").alias("dense_rank"), F.ntile(4).over(w.orderBy("o_totalprice", "o_orderkey")).alias("quartile")
-    )
-    return ranked
+    """Three statuses hold all rows: ranked in ranges with carried counts, not in three tasks."""
+    orders, save = table(spark, sf_dir, "orders"), saver(spark, "ranks")
+    by_priority = ranked(orders.select("o_orderkey", "o_orderstatus", "o_orderpriority"), ["o_orderstatus"], ["o_orderpriority"], save, "priority")
+    by_price = ranked(orders.select("o_orderkey", "o_orderstatus", "o_totalprice"), ["o_orderstatus"], ["o_totalprice", "o_orderkey"], save, "price")
+    return by_priority.select("o_orderkey", "rank", "dense_rank").join(by_price.select("o_orderkey", tile(4).alias("quartile")), "o_orderkey")
 
 
 @query("""SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running,
