@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from ..streaming.feeds import alerts, bursts, drained, event_stream, gated_alerts, running, shared_folder, windowed
+from ..streaming.ledger import KeyedTable, written_once
+from ..streaming.similar import SimilarPosts, follow
 from . import query
 
 SHOWN = "yyyy-MM-dd HH:mm:ss"
@@ -91,9 +93,57 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _updates(stream: DataFrame) -> DataFrame:
-    """Update mode has no file sink: each micro-batch is appended by foreachBatch."""
+    """Update mode has no file sink: each micro-batch overwrites the folder of its number, so a replayed one changes nothing."""
     spark = stream.sparkSession
     folder = shared_folder(spark)
-    writer = stream.writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("append").parquet(f"{folder}/out"))
+    writer = stream.writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
     writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+#: Files, and so micro-batches, that a table is dealt into.
+LANDINGS = 4
+
+
+def _landed(rows: DataFrame, at: str, parts: int = LANDINGS) -> DataFrame:
+    """A table as a stream of several files in order of time, one micro-batch each."""
+    spark = rows.sparkSession
+    folder = shared_folder(spark)
+    edges = rows.select(F.unix_micros(at).alias("t")).agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    step = ((edges["hi"] or 0) - (edges["lo"] or 0)) // parts + 1
+    for i in range(parts):
+        # One folder after another: a file source takes files by the time they were written.
+        rows.filter(F.floor((F.unix_micros(at) - (edges["lo"] or 0)) / step) == i).coalesce(1).write.parquet(f"{folder}/in/n{i}")
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    return reader.parquet(f"{folder}/in")
+
+
+@query("""SELECT DISTINCT user_id, event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day FROM events""")
+def stream_daily_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One alert for each member, kind and day, whatever batches the events come in; the state of a day goes when the watermark has passed it."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    daily = _landed(events, "ts").withWatermark("ts", "1 hour").withColumn("window", F.window("ts", "1 day"))
+    out = drained(daily.dropDuplicates(["user_id", "event_type", "window"]).select("user_id", "event_type", "window"))
+    return out.select("user_id", "event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"))
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id")
+def stream_keyed_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running totals by key in a table that each micro-batch is put into once."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    totals = _landed(events, "ts").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    folder = shared_folder(spark)
+    kept = KeyedTable(spark, f"{folder}/table", totals.schema, ["user_id"], compact_every=2)
+    written_once(totals, kept, f"{folder}/checkpoint")
+    return kept.get().select("user_id", "n", F.round("total", 2).alias("total"))
+
+
+@query()
+def stream_similar_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of alike documents that have three posts or more within ten hours; a document is posted at minute doc_id of 2024."""
+    posted = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 60)
+    posts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", posted.alias("at"))
+    folder = shared_folder(spark)
+    state = SimilarPosts(spark, f"{folder}/state")
+    follow(_landed(posts, "at"), state, f"{folder}/checkpoint")
+    return state.bursts("10 hours", 3).select("cluster", F.date_format("window.start", SHOWN).alias("began"), "n")
