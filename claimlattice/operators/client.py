@@ -47,6 +47,11 @@ def outcome(status: Column, error: Column) -> Column:
     return F.when(status >= 400, F.coalesce(F.nullif(error, F.lit("")), F.lit(FAILED)))
 
 
+def failure_note(message: Column) -> Column:
+    """What the waiting page shows of a failed call; null if there is no message."""
+    return F.concat(F.lit(FAILED + "："), message)
+
+
 def bind_summary(pages: DataFrame, result: str = "result") -> DataFrame:
     """Binds a JSON result to a page's slots; an invalid or missing result leaves the page as it was.
 

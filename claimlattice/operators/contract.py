@@ -32,7 +32,9 @@ def requests(bodies: DataFrame, body: str = "body") -> DataFrame:
     """
     fields = F.from_json(F.col(body), "map<string,string>")
     raw = F.get_json_object(body, "$.question")
-    typed_boolean = F.col(body).rlike(r'"question"\s*:\s*(true|false)\s*[,}]')
+    # The type of the top-level value, not of one of that name further down.
+    top = F.try_variant_get(F.try_parse_json(F.col(body)), "$.question", "variant")
+    typed_boolean = F.coalesce(F.schema_of_variant(top) == "BOOLEAN", F.lit(False))
     value = F.when(typed_boolean, F.initcap("raw")).otherwise(F.coalesce("given", F.lit("None")))
     out = bodies.withColumn("fields", fields).withColumn("given", F.try_element_at("fields", F.lit("question"))).withColumn("raw", raw)
     out = out.withColumn("question", F.coalesce(F.when(F.map_contains_key("fields", F.lit("question")), strip(value)), F.lit("")))

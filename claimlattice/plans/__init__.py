@@ -23,4 +23,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from . import claims, display, history, relational, search, streams, surface  # noqa: F401
+    from . import asked, claims, display, history, relational, search, streams, surface  # noqa: F401
