@@ -9,6 +9,7 @@ from ..session import table
 from ..streaming.feeds import alerts, bursts, drained, event_stream, gated_alerts, running, shared_folder, windowed
 from ..streaming.ledger import KeyedTable, written_once
 from ..streaming.similar import SimilarPosts, follow
+from ..streaming.timers import LateSplit, unanswered
 from . import query
 
 SHOWN = "yyyy-MM-dd HH:mm:ss"
@@ -147,3 +148,39 @@ def stream_similar_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = SimilarPosts(spark, f"{folder}/state")
     follow(_landed(posts, "at"), state, f"{folder}/checkpoint")
     return state.bursts("10 hours", 3).select("cluster", F.date_format("window.start", SHOWN).alias("began"), "n")
+
+
+@query("""WITH o AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'), p AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase')
+    SELECT event_id, user_id FROM o WHERE ts + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+      AND NOT EXISTS (SELECT 1 FROM p WHERE p.user_id = o.user_id AND p.ts BETWEEN o.ts AND o.ts + INTERVAL 6 HOUR)""")
+def stream_unanswered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors that no purchase of the member follows within six hours: event-time timers over several batches."""
+    spark = spark.newSession()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = table(spark, sf_dir, "events").filter("event_type in ('error', 'purchase')").withColumn("ts", F.col("ts").cast("timestamp"))
+    # The newest event of any kind moves the watermark.
+    last = table(spark, sf_dir, "events").select(F.max(F.col("ts").cast("timestamp")).alias("ts"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"), F.lit("end").alias("event_type"))
+    rows = events.select("ts", "event_id", "user_id", "event_type").unionByName(last)
+    stream = _landed(rows, "ts").withWatermark("ts", "1 hour")
+    cases = stream.select(F.coalesce("user_id", F.lit(-1)).alias("key"), F.coalesce("event_id", F.lit(-1)).alias("id"), "ts", (F.col("event_type") == "error").alias("opens"))
+    return drained(unanswered(cases, 6 * 3600)).select(F.col("id").alias("event_id"), F.col("key").alias("user_id"))
+
+
+@query("""WITH b AS (SELECT *, CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS moved, CAST(floor((epoch_us(ts) - lo) / ((hi - lo) // 4 + 1)) AS BIGINT) AS part
+      FROM events, (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events)),
+    p AS (SELECT event_id, ts, least(part + moved, 3) AS batch FROM b), w AS (SELECT batch, max(ts) AS newest FROM p GROUP BY batch)
+    SELECT event_id, coalesce(ts < (SELECT max(newest) FROM w WHERE w.batch < p.batch) - INTERVAL 1 HOUR, false) AS late FROM p""")
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all events comes one batch later: what is late by more than an hour goes to an output of its own."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    edges = events.agg(F.unix_micros(F.min("ts")).alias("lo"), F.unix_micros(F.max("ts")).alias("hi")).first()
+    part = F.floor((F.unix_micros("ts") - (edges["lo"] or 0)) / (((edges["hi"] or 0) - (edges["lo"] or 0)) // LANDINGS + 1))
+    batch = F.least(part + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0), F.lit(LANDINGS - 1))
+    folder = shared_folder(spark)
+    split = LateSplit(spark, folder, events.schema, ["event_id"], "ts", 3600)
+    # The order of arrival is a time of its own.
+    arrived = events.withColumn("arrival", F.timestamp_seconds(batch))
+    writer = _landed(arrived, "arrival").writeStream.foreachBatch(lambda rows, n: split.add(rows.select("event_id", "ts"), n))
+    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    one = lambda kept, late: kept.get().select("event_id", F.lit(late).alias("late"))
+    return one(split.in_time, False).unionByName(one(split.late, True))
