@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import company_of, keyword_list, normal_url, number_of, source_list, ticker_of, url_host
+from ..operators.entities import entity_spans, words_of
 from ..operators.search import Request, keyword_search, search
 from ..session import table
 from . import query
@@ -88,3 +89,24 @@ def entity_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike("[0-9]{4,}"))
     found = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("([0-9]{4,})"), 1)))
     return docs.select("doc_id", F.array_join(found, ",").alias("numbers"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+    g AS (SELECT doc_id, unnest(range(len(w) - 1)) AS place, w FROM d WHERE len(w) > 1),
+    b AS (SELECT doc_id, place, w[place + 1] || ' ' || w[place + 2] AS surface FROM g),
+    a AS (SELECT item_id AS entity, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:2], ' ') AS form FROM benchmark WHERE len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) > 1),
+    -- levenshtein counts bytes here, so letters of two bytes are written as capitals.
+    c AS (SELECT surface, translate(surface, 'áàâäçéèêëíîïñóôöúùûüßœ', 'ABCDEFGHIJKLMNOPQRSTUV') AS x FROM (SELECT DISTINCT surface FROM b)),
+    e AS (SELECT entity, translate(form, 'áàâäçéèêëíîïñóôöúùûüßœ', 'ABCDEFGHIJKLMNOPQRSTUV') AS y FROM a),
+    v AS (SELECT surface, min({'distance': levenshtein(x, y), 'entity': entity}) AS m FROM c
+      JOIN e ON abs(length(x) - length(y)) <= 1 AND levenshtein(x, y) <= CASE WHEN length(y) >= 5 THEN 1 ELSE 0 END GROUP BY surface),
+    h AS (SELECT doc_id, place, surface, m, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM b JOIN v USING (surface)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY place) AS r FROM h)
+    SELECT doc_id, CAST(place AS INTEGER) AS place, surface, m.entity AS entity, CAST(m.distance AS INTEGER) AS distance FROM k WHERE r % 2 = 1""")
+def alias_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of each official text as an alias of it, found in all documents within one edit."""
+    w = F.transform(words_of(F.col("text")), lambda x: x["word"])
+    official = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entity"), w.alias("w")).filter(F.size("w") > 1)
+    aliases = official.select("entity", F.array_join(F.slice("w", 1, 2), " ").alias("alias"))
+    found = entity_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), aliases, most_words=2)
+    return found.select("doc_id", "place", "surface", "entity", "distance")

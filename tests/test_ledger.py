@@ -59,3 +59,16 @@ def test_clusters_do_not_depend_on_batches(spark, tmp_path):
     assert {r["id"]: r["cluster"] for r in state.clusters().collect()} == cluster
     counts = {r["cluster"]: r["n"] for r in state.bursts("1 day", 3).collect()}
     assert counts == {c: n for c in set(cluster.values()) if (n := list(cluster.values()).count(c)) >= 3}
+
+
+def test_late_rows_go_to_their_own_table(spark, tmp_path):
+    from claimlattice.streaming.timers import LateSplit
+
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("ts", T.TimestampType())])
+    rows = lambda *x: spark.createDataFrame([(i, s) for i, s in x], "id long, s long").select("id", F.timestamp_seconds("s").alias("ts"))
+    split = LateSplit(spark, str(tmp_path), schema, ["id"], "ts", 10)
+    batches = [rows((1, 100), (2, 50), (3, None)), rows((4, 89), (5, 90), (6, 130)), rows((7, 119), (8, 500), (9, 120))]
+    for n in (0, 1, 1, 2, 0, 2):
+        split.add(batches[n], n)
+    ids = lambda kept: sorted(r["id"] for r in kept.get().collect())
+    assert (ids(split.in_time), ids(split.late)) == ([1, 2, 5, 6, 8, 9], [3, 4, 7])
