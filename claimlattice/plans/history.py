@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.user import register, skewness
 from ..operators.intervals import overlapping
 from ..operators.matching import as_of
 from ..scratch import saver
@@ -128,3 +129,18 @@ def claim_filing_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("s"))
     return by.agg(F.count(F.lit(1)).alias("n_events")).select("user_id", F.date_format("s.start", SHOWN).alias("began"), "n_events")
+
+
+@query("""WITH g AS (SELECT event_id, user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 2 HOUR THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT user_id, event_id, CAST(sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g""")
+def session_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions by a table function that says itself how its input is dealt and sorted."""
+    register(spark)
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    found = spark.sql("SELECT * FROM sessions(TABLE(SELECT * FROM {events}), gap => 7200000000)", events=events)
+    return found.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "session")
+
+
+@query("SELECT event_type, count(value) AS n, round(skewness(value), 5) AS skew FROM events GROUP BY event_type")
+def value_skewness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skewness(table(spark, sf_dir, "events"), "event_type", "value").select("event_type", "n", F.round("skew", 5).alias("skew"))

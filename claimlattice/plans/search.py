@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import company_of, keyword_list, normal_url, number_of, source_list, ticker_of, url_host
 from ..operators.entities import entity_spans, words_of
 from ..operators.search import Request, keyword_search, search
+from ..operators.terms import agreeing
 from ..session import table
 from . import query
 
@@ -110,3 +111,21 @@ def alias_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = official.select("entity", F.array_join(F.slice("w", 1, 2), " ").alias("alias"))
     found = entity_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), aliases, most_words=2)
     return found.select("doc_id", "place", "surface", "entity", "distance")
+
+
+_TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
+
+@query(rf"""WITH p AS (SELECT page_id, term, count(*) AS n FROM (SELECT page_id, unnest({_TERMS.format("regexp_replace(html, '<[^>]*>', ' ', 'g')")}) AS term FROM pages) GROUP BY ALL),
+    b AS (SELECT item_id, term, count(*) AS n FROM (SELECT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+    r AS (SELECT term, ln(1 + (SELECT count(DISTINCT item_id) FROM benchmark) / count(*)) AS idf FROM b GROUP BY term),
+    pw AS (SELECT page_id, term, n * idf / sqrt(sum((n * idf) ** 2) OVER (PARTITION BY page_id)) AS w FROM p JOIN r USING (term)),
+    bw AS (SELECT item_id, term, n * idf / sqrt(sum((n * idf) ** 2) OVER (PARTITION BY item_id)) AS w FROM b JOIN r USING (term)),
+    s AS (SELECT page_id, item_id, round(sum(pw.w * bw.w), 9) AS cosine FROM pw JOIN bw USING (term) GROUP BY ALL)
+    SELECT page_id, item_id, round(cosine, 5) AS cosine, CAST(row_number() OVER (PARTITION BY page_id ORDER BY cosine DESC, item_id) AS INTEGER) AS rank FROM s WHERE cosine >= 0.1
+    QUALIFY rank <= 3""")
+def news_filing_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three official texts that each page agrees with most by its rare words."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id"), F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
+    found = agreeing(pages, table(spark, sf_dir, "benchmark"), 0.1, 3, "page_id")
+    return found.select("page_id", "item_id", F.round("cosine", 5).alias("cosine"), "rank")
