@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources
 from ..operators import client, contract, matching, scoring
 from ..operators.search import Request, drill_down, search, url_lookup
-from ..session import shared_root, table
+from ..operators.sketches import daily_sketches, merged
+from ..scratch import saver, scratch_folder
+from ..session import table
 from . import query
 
 #: Aliases and categories that the driver's tables can hold.
@@ -19,7 +19,7 @@ CATEGORIES = {"insider": ("scum", "loser"), "urgency": ("free",), "guru": ("idio
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch_folder(spark, name)
 
 
 @query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'question' ELSE 'keyword' END AS target, source AS value FROM documents")
@@ -222,3 +222,37 @@ def approx_percentile_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = prices.join(found, "l_returnflag").groupBy("l_returnflag").agg(*[b.alias(f"b{i}") for i, b in enumerate(below)])
     rows = F.array(*[F.struct(F.lit(s).alias("share"), (F.abs(F.col(f"b{i}") - s) <= 0.01).alias("close")) for i, s in enumerate(shares)])
     return ranks.select("l_returnflag", F.explode(rows).alias("r")).select("l_returnflag", "r.share", "r.close")
+
+
+@query("""WITH e AS (SELECT * FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20')
+    SELECT a.event_type AS first, b.event_type AS second, true AS both_close, true AS only_first_close, true AS median_close
+    FROM (SELECT DISTINCT event_type FROM e) a JOIN (SELECT DISTINCT event_type FROM e) b ON a.event_type < b.event_type""")
+def sketches_of_a_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by day, merged over sixteen days: members whom two kinds of events share, and whom only the first has,
+    within a twentieth of all of the first; the median within a fiftieth of ranks.  Exact counts beside them."""
+    events = table(spark, sf_dir, "events")
+    day = F.col("ts").cast("date")
+    daily = saver(spark, "sketches")(daily_sketches(events, day, "event_type", "user_id", "value"), "daily")
+    found = merged(daily, "2024-01-05", "2024-01-20", "event_type")
+    a, b = found.select(F.col("event_type").alias("first"), F.col("keys").alias("x"), F.kll_sketch_get_quantile_double("quantiles", F.lit(0.5)).alias("median")), found.select(F.col("event_type").alias("second"), F.col("keys").alias("y"))
+    pairs = a.join(b, F.col("first") < F.col("second"))
+    estimate = F.theta_sketch_estimate
+    pairs = pairs.select("first", "second", "median", estimate(F.theta_intersection("x", "y")).alias("both"), estimate(F.theta_difference("x", "y")).alias("only_first"))
+
+    inside = events.filter(day.between("2024-01-05", "2024-01-20"))
+    have = inside.select("event_type", "user_id").distinct()
+    mine, theirs = have.select(F.col("event_type").alias("first"), "user_id"), have.select(F.col("event_type").alias("second"), "user_id")
+    both = mine.join(theirs, "user_id").filter("first < second").groupBy("first", "second").agg(F.count(F.lit(1)).alias("n_both"))
+    sizes = mine.groupBy("first").agg(F.count_distinct("user_id").alias("n_first"))
+    below = inside.select(F.col("event_type").alias("first"), "value").join(pairs.select("first", "median").distinct(), "first").groupBy("first").agg(F.avg((F.col("value") <= F.col("median")).cast("double")).alias("below"))
+    exact = pairs.join(both, ["first", "second"], "left").na.fill(0, ["n_both"]).join(sizes, "first").join(below, "first")
+    close = lambda x, y: F.abs(x - y) <= 0.05 * F.col("n_first")
+    return exact.select(
+        "first", "second", close(F.col("both"), F.col("n_both")).alias("both_close"), close(F.col("only_first"), F.col("n_first") - F.col("n_both")).alias("only_first_close"),
+        (F.abs(F.col("below") - 0.5) <= 0.02).alias("median_close"),
+    )
+
+
+@query("SELECT page_id, url_decode(replace(url, '/', '%2F')) AS url FROM pages")
+def url_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.try_url_decode(F.replace("url", F.lit("/"), F.lit("%2F"))).alias("url"))
