@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import saver
 from ..session import checkpoint_folder
 from .ordered import Save, carried_last
 
@@ -241,7 +242,7 @@ def _nearest(k: int):
     return run
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, at: str, values: list[str], order: str, save: Save) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: str, at: str, values: list[str], order: str, save: Save | None = None) -> DataFrame:
     """Each left row with the values of the latest right row of its key at or before its time.
 
     One sort of the union instead of a range join: linear, whatever the gaps.
@@ -249,6 +250,7 @@ def as_of(left: DataFrame, right: DataFrame, by: str, at: str, values: list[str]
     last right row of those before it, so a key of any size is spread.
     ``order`` breaks ties among right rows of one time (the largest wins).
     """
+    save = save or saver(left.sparkSession, "as-of")
     taken = F.struct(*[F.col(v).alias(v) for v in values])
     r = right.select(by, at, F.lit(0).alias("side"), F.col(order).alias("o"), taken.alias("v"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("row"))
     ll = left.select(by, at, F.lit(1).alias("side"), F.lit(None).cast(right.schema[order].dataType).alias("o"), F.lit(None).cast(r.schema["v"].dataType).alias("v"), F.struct("*").alias("row"))
