@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from ..scratch import saver
 from ..session import checkpoint_folder
 from .ordered import Save, carried_last
+from .phrases import cost, hits_by_anchor
 
-#: Bytes of phrases in one automaton that is sent to the executors.
-AUTOMATON_BYTES = 32 << 20
+#: Most bytes (``phrases.cost``) of phrases in an automaton that is sent to the executors; larger tables travel as rows.
+AUTOMATON_BYTES = 4 << 20
 
 
 def has_any(text: Column, phrases) -> Column:
@@ -25,25 +26,23 @@ def has_all(text: Column, phrases) -> Column:
     return reduce(lambda a, b: a & b, [F.contains(text, F.lit(p)) for p in phrases], F.lit(True))
 
 
-def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str = "text", phrase_key: str = "item_id", phrase: str = "text") -> DataFrame:
+def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str = "text", phrase_key: str = "item_id", phrase: str = "text", most_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """``key, phrase_key`` of all pairs in which the document contains the phrase.
 
-    A theta join would compare every document with every phrase.  Here an
-    automaton of the phrases reads each text once, so the cost is linear in
-    the texts.  The phrases travel in groups of at most AUTOMATON_BYTES, by
-    hash of their key; each further group reads the texts once more.  Null
-    and empty phrases hit nothing.
+    A theta join would compare every document with every phrase.  Phrases of
+    up to ``most_bytes`` go to the executors as an automaton that reads each
+    text once; beyond that, texts and phrases are dealt out by anchors (see
+    ``phrases``) and nothing that grows reaches the driver.  Null and empty
+    phrases hit nothing; rows that repeat are hit as often as they stand.
     """
     terms = phrases.filter(F.col(phrase).isNotNull() & (F.col(phrase) != "")).select(F.col(phrase_key).alias("k"), F.col(phrase).alias("p"))
-    size = terms.agg(F.sum(F.octet_length("p"))).first()[0] or 0
-    groups = -(-size // AUTOMATON_BYTES)
+    if cost(terms, "p") > most_bytes:
+        return hits_by_anchor(docs, phrases, key, text, phrase_key, phrase)
     types = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{phrase_key}` {phrases.schema[phrase_key].dataType.simpleString()}"
-    found = docs.sparkSession.createDataFrame([], types)
-    for g in range(groups):
-        part = [(r["k"], r["p"]) for r in terms.filter(F.pmod(F.xxhash64("p"), F.lit(groups)) == g).collect()]
-        if part:
-            found = found.union(docs.select(key, text).mapInArrow(_hits(part, key, phrase_key), types))
-    return found
+    held = [(r["k"], r["p"]) for r in terms.collect()]
+    if not held:
+        return docs.sparkSession.createDataFrame([], types)
+    return docs.select(key, text).mapInArrow(_hits(held, key, phrase_key), types)
 
 
 def _hits(terms: list[tuple], key: str, phrase_key: str):
