@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..scratch import saver
 from ..session import checkpoint_folder
@@ -88,14 +89,51 @@ def char_shingles(text: Column, n: int = 3) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))
 
 
-def word_shingles(text: Column, n: int = 5) -> Column:
-    """Fingerprints of the distinct runs of n words (lower-cased, set apart by white space); a shorter text is one run."""
-    words = F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    # Shifted copies side by side: a lambda that sliced by position would split the text anew for each.
-    many = F.greatest(F.size(words) - (n - 1), F.lit(1))
-    shifted = F.arrays_zip(*[F.slice(words, i + 1, many).alias(str(i)) for i in range(n)])
-    runs = F.transform(shifted, lambda x: F.xxhash64(F.concat_ws(" ", *[x[str(i)] for i in range(n)])))
-    return F.when(F.size(words) > 0, F.array_distinct(runs))
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_shingles(raw: bytes, n: int = 5) -> np.ndarray:
+    """Fingerprints of the distinct runs of n words (set apart by white space); a shorter text is one run."""
+    text = np.frombuffer(raw, np.uint8)
+    inside = (text != 32) & ((text < 9) | (text > 13))
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))).reshape(-1, 2)
+    if not len(edges):
+        return np.zeros(0, np.uint64)
+    sizes = edges[:, 1] - edges[:, 0]
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(sizes.sum()) - np.repeat(first, sizes)
+    words = _mix(np.add.reduceat(_mix(text[inside] + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(1 << 62)), first) + sizes.astype(np.uint64))
+    runs = np.zeros(max(1, len(words) - n + 1), np.uint64)
+    for i in range(min(n, len(words))):
+        runs = _mix(runs * np.uint64(3) + words[i : i + len(runs)])
+    return np.unique(runs)
+
+
+def shingled(texts: DataFrame, n: int = 5) -> DataFrame:
+    """``c, s``: the shingles of ``texts(c, t)``, lower-cased."""
+    return texts.select("c", F.lower("t")).mapInArrow(_shingled(n), f"c {texts.schema['c'].dataType.simpleString()}, s array<long>")
+
+
+def _shingled(n: int):
+    """Batches ``c, t`` become ``c, s``, written before they take much memory."""
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
+            sets, begin, held = [], 0, 0
+            for i in range(len(texts)):
+                sets.append(word_shingles(texts[i].as_py(), n).view(np.int64))
+                held += len(sets[-1])
+                if held > 1 << 20 or i + 1 == len(texts):
+                    ends = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(sets)))
+                    yield pa.RecordBatch.from_arrays([ids.slice(begin, len(sets)), lists], names=["c", "s"])
+                    sets, begin, held = [], i + 1, 0
+
+    return run
 
 
 def near_classes(docs: DataFrame, least: float = 0.8, n: int = 5, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -108,10 +146,7 @@ def near_classes(docs: DataFrame, least: float = 0.8, n: int = 5, key: str = "do
     named = docs.select(key, F.md5(text).alias("digest"), F.col(text).alias("t"))
     classes = named.filter(F.col("t").rlike("[^\\x20\\x09-\\x0D]")).groupBy("digest").agg(F.min(key).alias("c"), F.first("t").alias("t"))
     members = named.select(key, "digest").join(classes.select("digest", F.col("c").alias("class")), "digest").select(key, "class")
-    # Sets are read several times; a checkpointed table spares making them anew.
-    checkpoint_folder(docs.sparkSession)
-    sets = classes.select("c", word_shingles(F.col("t"), n).alias("s")).checkpoint()
-    return members, class_pairs(sets, least)
+    return members, class_pairs(shingled(classes.select("c", "t"), n), least)
 
 
 def clusters(links: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -119,6 +154,7 @@ def clusters(links: DataFrame, most_rounds: int = 40) -> DataFrame:
 
     Large-star and small-star rounds, each checkpointed to the shared folder.
     """
+    checkpoint_folder(links.sparkSession)
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct().checkpoint()
     total, before = F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), None
     for _ in range(most_rounds):
@@ -158,26 +194,74 @@ def near_pairs(docs: DataFrame, least: float = 0.8, n: int = 3, key: str = "doc_
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
 
+#: Cells of the frequency sketch that orders shingles: at most so many small rows reach the driver, whatever the texts.
+CELLS = 1 << 20
+
+
 def class_pairs(classes: DataFrame, least: float) -> DataFrame:
     """``a, b, jaccard`` of the classes ``c, s`` whose sets (texts or fingerprints) have Jaccard >= ``least``, a < b.
 
-    Of each set's first |s| - ceil(least |s|) + 1 shingles, rarest first, those
-    that no other set has stand before all others and are not indexed.
+    Two such sets share one of the first |s| - ceil(least |s|) + 1 shingles in
+    any one order, here rarest first by a frequency sketch of fixed size; a
+    shingle alone in its cell is in one set only and needs no index.  So a
+    fifth of the shingles at most is shuffled, and common ones only of sets
+    that have hardly any others.  A pair is compared where its common prefix
+    begins, if what follows on both sides can still reach the overlap.
     """
-    flat = classes.select("c", F.size("s").alias("n"), F.explode("s").alias("g"))
-    shared = flat.join(flat.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "g")
-    own = Window.partitionBy("c")
-    place = F.row_number().over(own.orderBy("df", "g")) + F.col("n") - F.count(F.lit(1)).over(own)
-    index = shared.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1).select("c", "n", "g")
+    spark = classes.sparkSession
+    prints = F.col("s") if classes.schema["s"].dataType.elementType == LongType() else F.transform("s", lambda g: F.xxhash64(g))
+    save = saver(spark, "class-pairs")
+    classes = save(classes.select("c", "s", prints.alias("h")), "classes")
+    id_type = classes.schema["c"].dataType.simpleString()
+    counts = classes.select("h").mapInArrow(_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    found, order = counts.toPandas(), np.zeros(CELLS, np.int64)
+    order[found["cell"].to_numpy()] = found["n"].to_numpy()
+    index = save(classes.select("c", "h").mapInArrow(_prefixes(order, least), f"c {id_type}, n int, g long, place int"), "index")
     x, y = index.alias("x"), index.alias("y")
-    near = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.c") < F.col("y.c")) & (F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n")))
-    near = near.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * F.lit(least / (1 + least)) - F.lit(1e-9))
+    rest = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    fits = (F.col("x.g") == F.col("y.g")) & (F.col("x.c") < F.col("y.c")) & (F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n"))
+    near = x.join(y, fits).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.least("x.place", "y.place").alias("place"), (need - rest).alias("short"))
+    # Of the first shingle that both share, nothing in common stands before.
+    near = near.groupBy("a", "b").agg(F.min_by("short", "place").alias("short")).filter("short <= 0").select("a", "b")
     near = near.join(classes.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(classes.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     near = near.withColumn("jaccard", both / (F.size("sa") + F.size("sb") - both))
     return near.filter(F.col("jaccard") >= least).select("a", "b", "jaccard")
 
 
+def _sets(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values and sizes of the lists of a column."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+
+
+def _cells(batches):
+    """How many shingles of a task fall into each cell; cells without any give no row."""
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        counts += np.bincount(_sets(batch.column(0))[0] & (CELLS - 1), minlength=CELLS)
+    cell = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(counts[cell])], names=["cell", "n"])
+
+
+def _prefixes(order: np.ndarray, least: float):
+    """Batches ``c, h``: the shingles of each set's prefix with their places, but for those that no other set has."""
+
+    def run(batches):
+        for batch in batches:
+            h, sizes = _sets(batch.column(1))
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            df = order[h & (CELLS - 1)]
+            by = np.lexsort((h, df, owner))
+            place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+            n = sizes[owner]
+            taken = (place <= n - np.ceil(n * least - 1e-9) + 1) & (df[by] > 1)
+            columns = [batch.column(0).take(pa.array(owner[taken])), pa.array(n[taken].astype(np.int32)), pa.array(h[by][taken]), pa.array(place[taken].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["c", "n", "g", "place"])
+
+    return run
+
+
 #: Vectors in a block that a task holds.
 VECTORS = 16384
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.matching import clusters, word_shingles
+from ..operators.matching import clusters, shingled
 from ..session import checkpoint_folder
 from .ledger import KeyedTable
 
@@ -54,7 +54,7 @@ class SimilarPosts:
         checkpoint_folder(self.spark)
         known = self.posts.get()
         new = rows.filter("id is not null").groupBy("id").agg(F.min(F.struct("text", "at")).alias("x")).select("id", "x.*").join(known.select("id"), "id", "left_anti")
-        new = new.select("id", "at", word_shingles(F.col("text"), self.words).alias("s")).filter("s is not null")
+        new = shingled(new.filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(F.struct("id", "at").alias("c"), F.col("text").alias("t")), self.words).select("c.*", "s")
         # A set's id is a fingerprint of its shingles, whatever batch it comes in.
         new = new.withColumn("shingles", F.array_sort("s")).withColumn("set_id", F.xxhash64("shingles")).checkpoint()
         sets = new.groupBy("set_id").agg(F.first("shingles").alias("shingles")).checkpoint()
