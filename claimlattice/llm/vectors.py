@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, components, lean
 
-#: Candidates in a block of sorted lists; shares of the lists read in turn; survivors that are resolved at once.
-BLOCK, DEPTHS, FEW = 8192, (1 / 8, 1 / 4, 1 / 2, 1), 64
+#: Candidates in a block of sorted lists; shares of the lists read in turn; survivors that are resolved at once; queries that read together.
+BLOCK, DEPTHS, FEW, QUERIES = 8192, (1 / 8, 1 / 4, 1 / 2, 1), 64, 64
 #: Scores between blocks are decimals of 38 digits, results are longs: both stop at their ends.
 MOST, LONG = 10**38 - 1, 2**63
 
@@ -42,66 +42,85 @@ class Lists:
         self.distinct = len(np.unique(vec_ids)) == len(vec_ids)
         #: Entries read and rows resolved so far.
         self.read = self.resolved = 0
+        self.depths: list[tuple] = []
+
+    def depth(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """What reading on to the i-th depth brings: its entries as rows of values (0 elsewhere), one column for each
+        end of each list (first those read from the greatest value down), which entries are still open then, the
+        values at both fronts, and how many entries of a list are read so far."""
+        while len(self.depths) <= i:
+            n, size = self.values.shape
+            done = self.depths[-1][3] if self.depths else 0
+            upto = min(n, max(done + 1, int(np.ceil(n * DEPTHS[len(self.depths)]))))
+            new, open_ = np.zeros((n, 2 * size)), self.depths[-1][1].copy() if self.depths else np.ones((n, 2 * size), np.float32)
+            for at, part in ((0, slice(n - upto, n - done)), (size, slice(done, upto))):
+                rows, column = self.order[:, part], np.arange(size)[:, None]
+                new[rows, column + at] = self.sorted[:, part]
+                open_[rows, column + at] = 0
+            self.depths.append((new, open_, np.concatenate([self.sorted[:, n - upto], self.sorted[:, upto - 1]]), upto))
+        return self.depths[i]
 
     def best(self, query_id: int, w: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, vec_id) for a query, ties to the smaller vec_id.
-
-        Every list is read from the end that its weight favours, those of
-        great weight deeper.  Of a row, the entries read give a part of its
-        score; the rest lies between what the lists' fronts and far ends
-        allow, and within the product of the norms of what is unread of row
-        and query.  A row stays while its upper bound reaches the k-th best
-        lower bound.  What was never read is an outsider with nothing but the
-        fronts' bound, so reading ends when no outsider can qualify and few rows
-        are left; where a quarter rules hardly any row out, the lists are read to
-        their ends next.
+        return self.best_of([query_id], w[None, :], k)[0]
+
+    def best_of(self, query_ids, w: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+        """The k best (score, vec_id) for each query, ties to the smaller vec_id.
+
+        Every list is read in turn from the end that a query's weight favours.
+        Of a row, the entries read give a part of its score; the rest lies
+        between what the lists' fronts and far ends allow, and within the
+        product of the norms of what is unread of row and query.  A row stays
+        while its upper bound reaches the k-th best lower bound.  What was
+        never read is an outsider with nothing but the fronts' bound, so a
+        query's reading ends when no outsider can qualify and few rows are left,
+        whose final scores are resolved; or at the ends of the lists.  Queries
+        of one block read the same depths, so a depth is one product of their
+        weights with the entries that it brings.
         """
-        if self.peak * np.abs(w).max() * len(w) >= 2**53:
-            return self.exact(query_id, w, k)
-        n, size = self.values.shape
-        alive = np.flatnonzero(self.ids != query_id)
-        part, rest_w, rest_x = np.zeros(n), np.full(n, w @ w), self.norms.copy()
-        open_ = np.ones((size, n), np.float32)
-        used = np.argsort(-np.abs(w), kind="stable")[: np.count_nonzero(w)]
-        if not len(used):
-            return self.first([0] * len(alive), alive, k)
-        share = np.abs(w) / np.median(np.abs(w[used]))
-        done = np.zeros(size, int)
-        far = np.where(w > 0, self.sorted[:, 0], self.sorted[:, -1]) * w
-        slack = 1e-5 * (np.sqrt(self.norms * (w @ w)) + np.abs(w).sum() * self.peak) + 1e-9
-        idle = False
-        for depth in DEPTHS:
-            if depth == 1 or idle:
-                # The lists are read to their ends, which leaves nothing open.
-                self.read += n * len(used) - done.sum()
-                part = self.values @ w
-                alive = alive[part[alive] >= self.bar(alive, part[alive], k)]
+        out: list = [None] * len(w)
+        top = np.abs(w).max(1, initial=0)
+        for i in np.flatnonzero(self.peak * top * w.shape[1] >= 2**53):
+            out[i] = self.exact(query_ids[i], w[i], k)
+        left = np.array([i for i in range(len(w)) if out[i] is None], int)
+        signs = np.hstack([w >= 0, w < 0])
+        split = np.hstack([w, w]) * signs
+        part = np.zeros((len(w), len(self.ids)))
+        alive = [np.flatnonzero(self.ids != q) for q in query_ids]
+        far = np.concatenate([self.sorted[:, 0], self.sorted[:, -1]])
+        norms = np.sqrt(self.norms)
+        seen = np.zeros((len(w), len(self.ids)))
+        for d in range(len(DEPTHS)):
+            if not len(left):
                 break
-            front, steps = np.zeros(size), []
-            for j in used:
-                upto = min(n, max(int(done[j]) + 1, int(np.ceil(n * depth * share[j]))))
-                steps.append(slice(done[j], upto) if w[j] < 0 else slice(n - upto, n - done[j]))
-                done[j] = upto
-                front[j] = self.sorted[j, upto - 1 if w[j] < 0 else n - upto]
-            rows, x = (np.concatenate([of[j, s] for j, s in zip(used, steps)]) for of in (self.order, self.sorted))
-            long = [s.stop - s.start for s in steps]
-            weight = np.repeat(w[used], long)
-            part += np.bincount(rows, weight * x, n)
-            rest_w -= np.bincount(rows, weight * weight, n)
-            rest_x -= np.bincount(rows, x * x, n)
-            open_.reshape(-1)[np.repeat(used * n, long) + rows] = 0
-            self.read += len(rows)
-            unread = np.sqrt(np.maximum(0, rest_w[alive]) * np.maximum(0, rest_x[alive]))
-            between = np.stack([w * front, far]).astype(np.float32) @ open_
-            upper = part[alive] + np.minimum(between[0, alive], unread) + slack[alive]
-            lower = part[alive] + np.maximum(between[1, alive], -unread) - slack[alive]
-            before = len(alive)
-            alive = alive[upper >= self.bar(alive, lower, k)]
-            idle = depth >= 1 / 4 and 10 * len(alive) > 9 * before
-            if len(alive) <= FEW:
-                break
-        self.resolved += len(alive)
-        return self.first([int(s) for s in self.values[alive] @ w], alive, k)
+            new, open_, front, upto = self.depth(d)
+            part[left] += split[left] @ new.T
+            self.read += int((w[left] != 0).sum()) * (upto - (self.depths[d - 1][3] if d else 0))
+            last = upto == len(self.ids)
+            if not last:
+                # Bounds are taken in single precision; the slack covers what that loses.
+                v = split[left]
+                high, low, rest_w = ((m.astype(np.float32) @ open_.T) for m in (v * front, v * far, v * v))
+                seen[left] += signs[left].astype(np.float32) @ (new.astype(np.float32) ** 2).T
+                rest_x = self.norms * (1 + 1e-5) - seen[left] * (1 - 1e-5)
+                weight = np.sqrt((v * v).sum(1))
+                unread = np.sqrt(np.maximum(0, rest_w * (1 + 1e-5) + 1e-5 * weight[:, None] ** 2) * np.maximum(0, rest_x))
+                slack = 1e-5 * (np.outer(weight, norms) + np.abs(v).sum(1)[:, None] * self.peak) + 1e-9
+                upper = part[left] + np.minimum(high, unread) + slack
+                lower = part[left] + np.maximum(low, -unread) - slack
+            going = []
+            for at, i in enumerate(left):
+                rows = alive[i]
+                sure, most = (part[i][rows],) * 2 if last else (lower[at][rows], upper[at][rows])
+                alive[i] = rows = rows[most >= self.bar(rows, sure, k)]
+                if last:
+                    out[i] = self.first([int(x) for x in part[i][rows]], rows, k)
+                elif len(rows) <= FEW:
+                    self.resolved += len(rows)
+                    out[i] = self.first([int(x) for x in self.values[rows] @ w[i]], rows, k)
+                else:
+                    going.append(i)
+            left = np.array(going, int)
+        return out
 
     def bar(self, rows: np.ndarray, lower: np.ndarray, k: int) -> float:
         """The k-th best lower bound; of several rows of one vec_id the best counts."""
@@ -173,8 +192,10 @@ def _search(k: int):
                     continue
                 if lists is None and held:
                     lists = Lists(np.concatenate([h[0] for h in held]), np.vstack([h[1] for h in held]))
-                for query, w in zip(ids[lo:hi], x) if lists else ():
-                    out += [(int(query), v, s) for s, v in lists.best(query, w, k)]
+                for at in range(lo, hi, QUERIES) if lists else ():
+                    asked = slice(at, min(at + QUERIES, hi))
+                    for query, best in zip(ids[asked], lists.best_of(ids[asked], x[asked.start - lo : asked.stop - lo], k)):
+                        out += [(int(query), v, s) for s, v in best]
             q, v, s = zip(*out) if out else ((),) * 3
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array([Decimal(x) for x in s], pa.decimal128(38, 0))], names=["query_id", "vec_id", "score"])
 

@@ -84,11 +84,20 @@ def test_op4_reads_lists_and_resolves_few(sf):
     for i in queries:
         assert sorted((-s, v) for s, v in lists.best(ids[i], x[i], 5)) == [(s, v) for s, v in best_five(list(ids), x / 256, ids[i])]
     assert lists.resolved <= 64 * len(queries) < 0.05 * len(queries) * len(ids)
-    # Vectors with clear neighbours need less than the whole lists.
+    together = Lists(ids, x).best_of(ids[queries], x[queries], 5)
+    assert together == [lists.best(ids[i], x[i], 5) for i in queries]
+    # Vectors with clear neighbours need less than the whole lists, and what is unread is not touched.
     near = x[:1] + RNG.normal(size=(6, 64))
     few = Lists(np.arange(2006), np.floor(np.vstack([x, near])))
-    few.best(0, x[0], 5)
+    want = few.best(0, x[0], 5)
     assert few.read < 0.9 * few.values.size
+    again = Lists(np.arange(2006), np.floor(np.vstack([x, near])))
+    depth = few.depths[-1][3]
+    assert depth < 2006 / 2
+    # Between the fronts (and but for the far ends, which bound) nothing may count.
+    for j in range(64):
+        again.sorted[j, depth : 2006 - depth] = np.nan
+    assert again.best(0, x[0], 5) == want and again.read == few.read
 
 
 def test_op4_large_components(spark):
