@@ -12,6 +12,7 @@ from .common import Workspace, table
 from .conversation_repair import repair
 from .conversation_sql import OP11_SQL, OP13_SQL
 from .digests import joined_sha256
+from .exact_sql import OP2_SQL, OP4_SQL, OP6_SQL
 from .language import identify, learn
 from .mixing import mix
 from .packing import pack
@@ -24,7 +25,6 @@ from .suffix_dedup import repeated_substrings
 from .url_filter import filter_urls, rules_frame
 from .vectors import near_vectors, top_k
 
-
 #: Rows whose crc32 of doc_id has this remainder by 4 are held out.
 HELD_OUT = 2
 
@@ -168,4 +168,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": OP10_SQL, "op11_conversation_repair": OP11_SQL, "op13_prefix_trie": OP13_SQL}
+    return {"op2_set_join": OP2_SQL, "op4_top_k": OP4_SQL, "op6_suffix_dedup": OP6_SQL, "op10_url_filter": OP10_SQL, "op11_conversation_repair": OP11_SQL, "op13_prefix_trie": OP13_SQL}
