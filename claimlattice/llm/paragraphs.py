@@ -5,8 +5,10 @@ leaves ``min_words`` words on both sides within the line, so no piece of a line
 is too short to take part; sentences of over ``LONG`` words are also cut at
 words that the word itself picks (by a hash).  Lines of under ``min_words``
 words are joined up to that number, and what falls short goes to the paragraph
-before.  Only short lines that open a text, under ``min_words`` words in all up
-to the first longer line or the end, take no part.
+before.  A text of under ``min_words`` words is compared whole.  Short lines that
+open a longer text are no paragraph of their own: they go with the words behind
+them where both repeat (below), and stay where only they do, as any other
+repeat of under ``min_words`` words within a text.
 
 Equal word sequences are one node; nodes that share a MinHash band are joined
 and verified by exact Jaccard of their 5-word shingles, and of each component
@@ -16,7 +18,10 @@ other but compared with the most central of them (see ``set_join``).
 A passage that starts and ends within other paragraphs shares no paragraph with
 its copies.  So texts are cut a second time, into units that begin where a
 word pair's hash is least among its ``REACH`` neighbours: such places depend on
-the words around them alone and recur in every copy.  Equal units lead from an
+the words around them alone and recur in every copy.  Where few words alternate
+the least hash recurs within reach, and every ``TIES``-th such place begins a
+unit, so a long repetition is a row of equal units (up to ``REACH`` words at its
+begin may stay in a copy).  Equal units lead from an
 occurrence to the earliest one; neighbouring ones are a run, and from the ends of a
 run both texts are followed word by word as far as they agree.  Runs of at
 least ``min_words`` words go as well.
@@ -47,8 +52,13 @@ CUT = 16
 SENTENCE = re.compile(rb"[.!?][\x20\x09-\x0D]+")
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BAND = {"tok": "<u8", "node": "<i8", "n": "<u4"}
-#: Units: no two begin within so many words; words followed from the ends of a run.
-REACH, FOLLOW = 6, 48
+#: Units: no two begin within so many words; of places that tie, one in so many begins a unit.
+REACH, TIES = 6, 8
+#: What begins a unit is settled by so many words on either side.  Texts that agree so far beyond
+#: the end of a unit have it in common, so nobody who follows a run needs to look further.
+SETTLED = 2 * REACH + 2
+#: Stands for a paragraph's number where a whole text is compared.
+WHOLE = -1
 UNIT = {"node": "<u8", "doc": "<i8", "tkey": "<u4", "at": "<u4", "n": "<u4"}
 COPY = {"doc": "<i8", "tkey": "<u4", "at": "<u4", "n": "<u4", "from_doc": "<i8", "from_tkey": "<u4", "from_at": "<u4"}
 
@@ -131,7 +141,13 @@ def units(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before, behind = np.full(len(h), none), np.full(len(h), none)
     for j in range(1, REACH + 1):
         before, behind = np.minimum(before, wide[place - j]), np.minimum(behind, wide[place + j])
-    begin = np.union1d(np.flatnonzero((pair < before) & (pair <= behind)), bounds[:-1][np.diff(bounds) > 0])
+    least = np.flatnonzero((pair <= before) & (pair <= behind) & (pair != none))
+    # Places within reach of each other tie; they are counted from the first of them.
+    first = np.ones(len(least), bool)
+    first[1:] = np.diff(place[least]) > REACH
+    number = np.arange(len(least))
+    number -= np.maximum.accumulate(np.where(first, number, 0))
+    begin = np.union1d(least[number % TIES == 0], bounds[:-1][np.diff(bounds) > 0])
     return begin, np.diff(np.append(begin, len(h)))
 
 
@@ -214,8 +230,10 @@ def _occurrences(min_words: int, parts: int, bands: int, rows: int):
                 spans = [(i, j, base[i] + a, base[i] + b) for i, t in enumerate(texts) for j, (a, b) in enumerate(paragraph_spans(t, min_words))]
                 text, idx, a, b = np.array(spans, np.int64).reshape(-1, 4).T
                 first, last = np.searchsorted(starts, a), np.searchsorted(starts, b)
-                enough = last - first >= min_words
-                text, idx, first, words = text[enough], idx[enough], first[enough], (last - first)[enough]
+                words, size = last - first, np.diff(bounds)[text]
+                idx[size < min_words] = WHOLE
+                enough = (words >= min_words) | (words == size) & (size > 0)
+                text, idx, first, words = text[enough], idx[enough], first[enough], words[enough]
                 if not len(text):
                     continue
                 flat, ends = shingles_of(h, first, words, WORDS)
@@ -319,18 +337,26 @@ def _fetch(min_words: int):
             out = []
             for doc, tkey, text, wanted in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 raw = text.encode("utf-8", "surrogatepass")
-                spans, h = None, None
+                spans, h, begin = None, None, None
                 for w in wanted:
                     at, side = w["at"], w["side"]
                     if side is None:
                         spans = paragraph_spans(raw, min_words) if spans is None else spans
                         if at < len(spans):
-                            a, b = spans[at]
+                            a, b = spans[at] if at != WHOLE else (0, len(raw))
                             out.append((w["node"], raw[a:b], None, None, None, None, None))
                         continue
                     if h is None:
-                        h = (text_words([raw], True)[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    words = h[max(0, at - FOLLOW) : at][::-1] if side == "l" else h[at : at + FOLLOW]
+                        _, h, bounds = text_words([raw], True)
+                        begin = units(h, bounds)[0]
+                        h = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    # To the begin of the unit before, or the end of the one from there on.
+                    if side == "l":
+                        i = np.searchsorted(begin, at) - 1
+                        words = h[max(0, begin[i] - SETTLED) if i >= 0 else 0 : at][::-1]
+                    else:
+                        i = np.searchsorted(begin, at, "right")
+                        words = h[at : begin[i] + SETTLED if i < len(begin) else len(h)]
                     out.append((None, None, doc, tkey, at, side, words.tolist()))
             columns = zip(*out) if out else ((),) * 7
             types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()))
@@ -351,10 +377,11 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80,
     """``doc_id, tkey, removed, cuts, n_removed, words_removed``: per document that loses some,
     the numbers of its paragraphs to go and the word ranges [begin, end) to cut.
 
-    ``tkey`` tells texts of one doc_id apart.  Earliest: smallest doc_id, then
+    A text that goes as a whole, having under ``min_words`` words, has a cut and no
+    number.  ``tkey`` tells texts of one doc_id apart.  Earliest: smallest doc_id, then
     tkey, then place.  Equal rows are one document, so a repeated row is no
-    copy of itself.  Null, empty and short texts, and rows of a null doc_id,
-    lose nothing; an empty table gives no row.  Ties cannot be: places differ.
+    copy of itself.  Null and empty texts, and rows of a null doc_id, lose
+    nothing; an empty table gives no row.  Ties cannot be: places differ.
     Very long texts are worked through whole, one at a time.
     """
     ws = ws or Workspace(spark, "paragraphs")
@@ -406,7 +433,7 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80,
     cuts = cuts.groupBy("doc_id", "tkey").agg(
         F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("cuts"), F.count(F.lit(1)).cast("int").alias("n_removed"), F.sum(F.col("end") - F.col("begin")).cast("long").alias("words_removed")
     )
-    removed = gone.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_list("idx")).alias("removed"))
+    removed = gone.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_list(F.when(F.col("idx") != WHOLE, F.col("idx")))).alias("removed"))
     out = ws.save(cuts.join(removed, ["doc_id", "tkey"], "left"), "gone")
     ws.drop("found", "nodes", "pairs", "wanted", "fetched", "links", "components", "clusters", "keepers", "per-node", "gone-paragraphs", "runs", "around", "cuts-apart", *GROUP_TABLES)
     return out
