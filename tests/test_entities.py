@@ -3,6 +3,7 @@
 import random
 import re
 
+from claimlattice.operators import entities
 from claimlattice.operators.entities import entity_spans
 
 
@@ -36,3 +37,25 @@ def test_spans_are_those_of_a_loop(spark):
                     free = at + n
     got = entity_spans(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(aliases, "entity string, alias string"))
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_only_likely_places_become_rows(spark, monkeypatch):
+    """Of 20,000 sequences those near an alias leave the scan, not all to meet the aliases later."""
+    rng = random.Random(9)
+    docs = [(i, " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(100)) + " first bnk") for i in range(100)]
+    written = {}
+    real = entities.saver
+
+    def watch(*a):
+        save = real(*a)
+
+        def seen(df, name):
+            written[name] = save(df, name)
+            return written[name]
+
+        return seen
+
+    monkeypatch.setattr(entities, "saver", watch)
+    got = entity_spans(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([("bank", "First Bank")], "entity string, alias string"))
+    assert got.filter("surface = 'first bnk' and place = 100 and distance = 1").count() == got.count() == 100
+    assert written["places"].count() == 100
