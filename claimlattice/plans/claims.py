@@ -163,12 +163,14 @@ def evidence_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT source, n_hits, n_similar, CASE WHEN source = 'OFFICIAL' AND n_hits = 0 THEN '未支持' WHEN source = 'SOCIAL' AND n_similar >= 5 THEN '高風險'
       WHEN source = 'NEWS' AND n_hits = 0 THEN '需留意' ELSE '支持' END AS verdict FROM hits""")
 def cross_check_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = matching.copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    hits = matching.phrase_hits(docs, table(spark, sf_dir, "benchmark"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = matching.phrase_hits(texts, table(spark, sf_dir, "benchmark"))
+    # Texts are not needed behind their digests and the terms that they hold.
+    docs = matching.copies(texts.withColumn("funnel", matching.has_any(F.col("text"), TERMS["funnel"])), keep_text=False)
     alike = (F.col("n_copies") > 1).cast("long").alias("similar")
     official = matching.supported(docs, hits).select(F.lit("OFFICIAL").alias("source"), alike)
     news = table(spark, sf_dir, "pages").filter(F.contains("html", F.lit(TERMS["absolute"][0]))).select(F.lit("NEWS").alias("source"), F.lit(0).cast("long").alias("similar"))
-    social = docs.filter(matching.has_any(F.col("text"), TERMS["funnel"])).select(F.lit("SOCIAL").alias("source"), alike)
+    social = docs.filter("funnel").select(F.lit("SOCIAL").alias("source"), alike)
     counts = official.unionByName(news).unionByName(social).groupBy("source").agg(F.count(F.lit(1)).alias("n_hits"), F.sum("similar").alias("n_similar"))
     sources = spark.createDataFrame([("OFFICIAL",), ("NEWS",), ("SOCIAL",)], "source string")
     zero = F.lit(0).cast("long")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from claimlattice.operators import matching, phrases
@@ -56,3 +57,18 @@ def test_both_ways_agree_on_the_tables(spark, sf):
     small = sorted(tuple(r) for r in matching.phrase_hits(docs, official).collect())
     assert small and small == sorted(tuple(r) for r in matching.phrase_hits(docs, official, most_bytes=0).collect())
     assert matching.phrase_hits(docs, official.limit(0), most_bytes=0).count() == 0
+
+
+def test_texts_come_in_short_batches(spark, monkeypatch):
+    """A task never holds more than a few hundred texts, however many its share has; nor do texts travel with their counts."""
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def sizes(held, key, phrase_key):
+        return lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(b)]), pa.array([0])], names=[key, phrase_key]) for b in batches)
+
+    monkeypatch.setattr(matching, "_hits", sizes)
+    docs = spark.range(3000).selectExpr("id as doc_id", "'some text' as text").coalesce(1)
+    found = matching.phrase_hits(docs, spark.createDataFrame([(1, "text")], "item_id long, text string"))
+    assert max(r["doc_id"] for r in found.collect()) <= 500
+    counted = matching.copies(docs, keep_text=False)
+    assert counted.columns == ["doc_id", "n_copies"] and counted.filter("n_copies <> 3000").count() == 0
