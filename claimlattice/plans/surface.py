@@ -128,9 +128,8 @@ def unsupported_by_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims that neither an official text nor a news title supports."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     titles = table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("text"))
-    official = matching.phrase_hits(docs, table(spark, sf_dir, "benchmark")).select("doc_id")
-    news = matching.phrase_hits(docs, titles, phrase_key="page_id").select("doc_id")
-    return matching.unsupported(docs.select("doc_id"), official.union(news))
+    phrases = table(spark, sf_dir, "benchmark").select("text").union(titles.select("text"))
+    return matching.unsupported(docs.select("doc_id"), matching.holding(docs, phrases))
 
 
 @query("SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, count(*) AS n, sum(CAST(value AS INTEGER)) AS score FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-13' AND event_type = 'view' GROUP BY 1")

@@ -72,3 +72,20 @@ def test_texts_come_in_short_batches(spark, monkeypatch):
     assert max(r["doc_id"] for r in found.collect()) <= 500
     counted = matching.copies(docs, keep_text=False)
     assert counted.columns == ["doc_id", "n_copies"] and counted.filter("n_copies <> 3000").count() == 0
+
+
+def test_any_phrase_makes_no_pairs_with_short_ones(spark, monkeypatch):
+    """Short phrases of all texts go no further than the automaton; longer ones are found by anchors."""
+    rng = random.Random(11)
+    long = [(100 + i, f"headline number {i} of the long kind, with more to say") for i in range(40)]
+    short = [(i, "".join(rng.choices("abc", k=rng.randint(1, 3)))) for i in range(30)] + [(50, None), (51, "")]
+    docs = [(i, "".join(rng.choices("xyz ", k=50)) + (rng.choice(short[:30])[1] if i % 3 == 0 else "") + (rng.choice(long)[1] if i % 5 == 0 else "")) for i in range(200)] + [(900, None), (901, "")]
+    met = []
+    real = matching.hits_by_anchor
+    monkeypatch.setattr(matching, "hits_by_anchor", lambda d, p, *a: met.extend(r["p"] for r in p.collect()) or real(d, p, *a))
+    d, p = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(short + long, "item_id long, text string")
+    for most, through in ((500, 40), (0, 40 + len({t for _, t in short if t})), (1 << 20, 0)):
+        met.clear()
+        got = matching.holding(d, p, most_bytes=most if most != 500 else sum(len(t) + 64 for t in {t for _, t in short if t}))
+        assert {r["doc_id"] for r in got.collect()} == {i for i, _ in brute(docs, short + long)}
+        assert len(met) == through
