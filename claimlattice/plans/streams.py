@@ -107,15 +107,29 @@ LANDINGS = 4
 
 
 def _landed(rows: DataFrame, at: str, parts: int = LANDINGS) -> DataFrame:
-    """A table as a stream of several files in order of time, one micro-batch each."""
+    """A table as a stream of several landings in order of time, one micro-batch each.
+
+    Every task that reads the table writes its own file of a landing, so none
+    reads or writes a landing alone, also if the table stands in order of time;
+    empty files make up for tasks that had nothing to write.
+    """
     spark = rows.sparkSession
     folder = shared_folder(spark)
     edges = rows.select(F.unix_micros(at).alias("t")).agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
     step = ((edges["hi"] or 0) - (edges["lo"] or 0)) // parts + 1
+    width = max(1, rows.rdd.getNumPartitions())
+    rows.limit(0).coalesce(1).write.parquet(f"{folder}/blank")
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    files = hadoop.Path(folder).getFileSystem(conf)
+    written = lambda path: [f.getPath() for f in files.listStatus(hadoop.Path(path)) if f.getPath().getName().startswith("part-")]
+    blank = written(f"{folder}/blank")[0]
     for i in range(parts):
         # One folder after another: a file source takes files by the time they were written.
-        rows.filter(F.floor((F.unix_micros(at) - (edges["lo"] or 0)) / step) == i).coalesce(1).write.parquet(f"{folder}/in/n{i}")
-    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+        landing = f"{folder}/in/n{i}"
+        rows.filter(F.floor((F.unix_micros(at) - (edges["lo"] or 0)) / step) == i).coalesce(width).write.parquet(landing)
+        for j in range(width - len(written(landing))):
+            hadoop.FileUtil.copy(files, blank, files, hadoop.Path(f"{landing}/part-blank-{j}.parquet"), False, conf)
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", width).option("recursiveFileLookup", "true")
     return reader.parquet(f"{folder}/in")
 
 
