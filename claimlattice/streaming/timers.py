@@ -8,6 +8,8 @@ Spark's own operators would drop without a trace.
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +23,10 @@ class OpenCases(StatefulProcessor):
     """Cases (id to time) and answers (times) of a key, in microseconds.
 
     A case is answered by any answer from its time to ``within`` later, in
-    whatever order the rows come.  Its timer fires once the watermark has
-    passed its end, when no further answer can count.
+    whatever order the rows come.  A key has one timer, for the case that ends
+    first: it fires once the watermark has passed that end, when no further
+    answer can count, settles all cases that have ended and goes on to the next.
+    What a key holds is read and written once a call, not once a row.
     """
 
     def __init__(self, within: int):
@@ -30,33 +34,51 @@ class OpenCases(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.cases = handle.getMapState("cases", "id long", "at long")
-        self.answers = handle.getListState("answers", "at long")
+        self.held = handle.getValueState("held", "ids array<long>, ats array<long>, answers array<long>, timer long")
+
+    def _read(self) -> tuple[dict[int, int], list[int], int | None]:
+        """Open cases, answers, and when the timer fires (milliseconds)."""
+        ids, ats, answers, timer = self.held.get() if self.held.exists() else ([], [], [], None)
+        return dict(zip(ids, ats)), list(answers), timer
+
+    def _write(self, cases: dict[int, int], answers: list[int], timer: int | None) -> None:
+        """A case that ends before the timer fires moves it; without cases and answers nothing is kept."""
+        due = min((-(-(at + self.within) // 1000) for at in cases.values()), default=None)
+        if due is not None and (timer is None or due < timer):
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            timer = due
+        if cases or answers:
+            self.held.update((list(cases), list(cases.values()), answers, timer))
+        elif self.held.exists():
+            self.held.clear()
 
     def handleInputRows(self, key, rows, timerValues):
+        cases, answers, timer = self._read()
         for pdf in rows:
-            for i, at, opens in zip(pdf["id"], pdf["at"], pdf["opens"]):
-                if opens:
-                    self.cases.updateValue((int(i),), (int(at),))
-                    self.handle.registerTimer(-(-(int(at) + self.within) // 1000))
-                else:
-                    self.answers.appendValue((int(at),))
+            opens = pdf["opens"].to_numpy(dtype=bool)
+            ids, ats = pdf["id"].to_numpy(), pdf["at"].to_numpy()
+            cases.update(zip(ids[opens].tolist(), ats[opens].tolist()))
+            answers += ats[~opens].tolist()
+        self._write(cases, answers, timer)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        answers = sorted(a for (a,) in self.answers.get()) if self.answers.exists() else []
-        held = [(i[0], at[0]) for i, at in self.cases.iterator()]
-        due = [(i, at) for i, at in held if at + self.within <= upto]
-        open_from = min((at for _, at in held if at + self.within > upto), default=None)
-        none = [i for i, at in due if not any(at <= a <= at + self.within for a in answers)]
-        for i, _ in due:
-            self.cases.removeKey((i,))
-        # Answers before both the watermark and all open cases can meet nothing any more.
+        cases, answers, _ = self._read()
+        # The watermark may have passed more ends than the one that the timer stands for.
         least = timerValues.getCurrentWatermarkInMs() * 1000
-        kept = [(a,) for a in answers if a >= (least if open_from is None else min(least, open_from))]
-        if len(kept) < len(answers):
-            self.answers.put(kept) if kept else self.answers.clear()
+        upto = max(expiredTimerInfo.getExpiryTimeInMs() * 1000, least)
+        answers.sort()
+        none = []
+        for i, at in [(i, at) for i, at in cases.items() if at + self.within <= upto]:
+            first = bisect.bisect_left(answers, at)
+            if first == len(answers) or answers[first] > at + self.within:
+                none.append(i)
+            del cases[i]
+        # Answers before both the watermark and all open cases can meet nothing any more.
+        answers = answers[bisect.bisect_left(answers, min([least, *cases.values()])) :]
+        self._write(cases, answers, None)
         yield pd.DataFrame({"key": pd.Series([key[0]] * len(none), dtype="int64"), "id": pd.Series(none, dtype="int64")})
 
     def close(self) -> None:
