@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import company_of, keyword_list, normal_url, number_of, source_list, ticker_of, url_host
@@ -113,6 +113,11 @@ def alias_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "place", "surface", "entity", "distance")
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A positive double rounded as SQL engines do that scale it; ``F.round`` takes its decimal form, which differs at halves."""
+    return F.floor(x * 10.0**digits + 0.5) / 10.0**digits
+
+
 _TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
 
@@ -128,4 +133,4 @@ def news_filing_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three official texts that each page agrees with most by its rare words."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id"), F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
     found = agreeing(pages, table(spark, sf_dir, "benchmark"), 0.1, 3, "page_id")
-    return found.select("page_id", "item_id", F.round("cosine", 5).alias("cosine"), "rank")
+    return found.select("page_id", "item_id", rounded(F.col("cosine"), 5).alias("cosine"), "rank")

@@ -4,9 +4,13 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 
 from claimlattice.operators import terms
+from claimlattice.plans import search
+
+from .conftest import SF
 
 
 def vectors(texts, idf=None):
@@ -80,3 +84,13 @@ def test_a_cosine_that_rounds_up_to_the_least(spark):
         if 0.01 < least < 0.1 and 3e-10 < least - cosine < 4.5e-10:
             break
     assert (1, 1, 2) in [(r[0], r[1], r[3]) for r in agreeing(spark, queries, items, least, 2).collect()]
+
+
+def test_cosines_are_rounded_as_in_sql(spark, monkeypatch):
+    """Cosines that end in a half at the sixth digit."""
+    values = [(n, (10 * n + 5) / 1e6) for n in range(10_000, 30_000)]
+    found = spark.createDataFrame(values, "item_id long, cosine double").selectExpr("1L AS page_id", "item_id", "cosine", "1 AS rank")
+    monkeypatch.setattr(search, "agreeing", lambda *_: found)
+    got = {r["item_id"]: r["cosine"] for r in search.news_filing_agreement(spark, SF).collect()}
+    want = duckdb.connect().execute("SELECT n, round((10 * n + 5) / 1e6::DOUBLE, 5) FROM range(10000, 30000) t(n)").fetchall()
+    assert got == dict(want)
