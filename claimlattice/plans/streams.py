@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from ..streaming.feeds import alerts, bursts, drained, event_stream, gated_alerts, running, shared_folder, windowed
-from ..streaming.ledger import KeyedTable, written_once
+from ..streaming.ledger import CODEC, KeyedTable, written_once
 from ..streaming.similar import SimilarPosts, follow
 from ..streaming.timers import LateSplit, unanswered
 from . import query
@@ -104,6 +104,8 @@ def _updates(stream: DataFrame) -> DataFrame:
 
 #: Files, and so micro-batches, that a table is dealt into.
 LANDINGS = 4
+#: Bytes of a row group of a landing: a micro-batch is read by many tasks also where its rows stand in few files.
+GROUP = 4 << 20
 
 
 def _landed(rows: DataFrame, at: str, parts: int = LANDINGS) -> DataFrame:
@@ -126,7 +128,7 @@ def _landed(rows: DataFrame, at: str, parts: int = LANDINGS) -> DataFrame:
     for i in range(parts):
         # One folder after another: a file source takes files by the time they were written.
         landing = f"{folder}/in/n{i}"
-        rows.filter(F.floor((F.unix_micros(at) - (edges["lo"] or 0)) / step) == i).coalesce(width).write.parquet(landing)
+        rows.filter(F.floor((F.unix_micros(at) - (edges["lo"] or 0)) / step) == i).coalesce(width).write.option("compression", CODEC).option("parquet.block.size", GROUP).parquet(landing)
         for j in range(width - len(written(landing))):
             hadoop.FileUtil.copy(files, blank, files, hadoop.Path(f"{landing}/part-blank-{j}.parquet"), False, conf)
     reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", width).option("recursiveFileLookup", "true")

@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Texts take a third less than with Spark's default.
+CODEC = "zstd"
+
 
 class KeyedTable:
     """Rows by key; of several puts of a key the one of the greatest batch holds."""
@@ -38,13 +41,16 @@ class KeyedTable:
         """The entry is an empty file: it is there as a whole or not at all."""
         self._files().create(self._path("ledger", name), False).close()
 
+    def has(self, batch: int) -> bool:
+        done = [n for _, n in self.entries()]
+        return f"put-{batch:012d}" in done or any(n.startswith("whole-") and int(n.split("-")[1]) >= batch for n in done)
+
     def put(self, rows: DataFrame, batch: int) -> bool:
         """Writes a batch's rows; False if the ledger has that batch already."""
-        name = f"put-{batch:012d}"
-        done = [n for _, n in self.entries()]
-        if name in done or any(n.startswith("whole-") and int(n.split("-")[1]) >= batch for n in done):
+        if self.has(batch):
             return False
-        rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.folder}/data/{name}")
+        name = f"put-{batch:012d}"
+        rows.select(*self.schema.fieldNames()).write.mode("overwrite").option("compression", CODEC).parquet(f"{self.folder}/data/{name}")
         self._enter(name)
         if len(self._live()) > self.every:
             self.compact()
@@ -62,7 +68,7 @@ class KeyedTable:
             return
         last = live[-1][0]
         name = f"whole-{last:012d}"
-        self.get().write.mode("overwrite").parquet(f"{self.folder}/data/{name}")
+        self.get().write.mode("overwrite").option("compression", CODEC).parquet(f"{self.folder}/data/{name}")
         self._enter(name)
         # Readers of the state before this one may still run: what it replaced goes with the next compaction.
         for b, n in self.entries():
@@ -70,10 +76,14 @@ class KeyedTable:
                 self._files().delete(self._path("ledger", n), False)
                 self._files().delete(self._path("data", n), True)
 
+    def _nothing(self) -> DataFrame:
+        """No rows, known as such to the optimizer: joins with them go from plans."""
+        return self.spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema]).limit(0)
+
     def get(self) -> DataFrame:
         parts = [self.spark.read.schema(self.schema).parquet(f"{self.folder}/data/{n}").withColumn("_batch", F.lit(b)) for b, n in self._live()]
         if not parts:
-            return self.spark.createDataFrame([], self.schema)
+            return self._nothing()
         rows = parts[0]
         for more in parts[1:]:
             rows = rows.unionByName(more)
@@ -84,6 +94,21 @@ class KeyedTable:
         return rows.groupBy(*self.keys).agg(newest).select(*self.keys, "_row.*").select(*self.schema.fieldNames())
 
 
+class Log(KeyedTable):
+    """Rows that no later put changes: they are written once, never shuffled or compacted, and read by column."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema):
+        super().__init__(spark, folder, schema, [])
+
+    def compact(self) -> None:
+        pass
+
+    def get(self, first: int = 0, last: int | None = None) -> DataFrame:
+        """Rows of the batches from ``first`` to ``last``."""
+        paths = [f"{self.folder}/data/{n}" for b, n in self.entries() if b >= first and (last is None or b <= last)]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self._nothing()
+
+
 def written_once(stream: DataFrame, table: KeyedTable, checkpoint: str, mode: str = "update") -> None:
     """Runs a stream over all that is there; each micro-batch is one put."""
     writer = stream.writeStream.outputMode(mode).foreachBatch(lambda rows, n: table.put(rows, n))
